@@ -17,16 +17,6 @@ LADDER_MEAN = 30.0
 LADDER_TAIL = 1e-12
 
 
-def keep_fraction(key: str, fraction: float, seed: int = SEED) -> Column:
-    """Bernoulli filter on a hash of the key."""
-    return hash_uniform(seed, "sample", key) < F.lit(min(float(fraction), 1.0))
-
-
-def sample_rows(df: DataFrame, key: str, fraction: float, seed: int = SEED) -> DataFrame:
-    """Sample without replacement; independent of partitioning, unlike ``df.sample``."""
-    return df if fraction >= 1.0 else df.where(keep_fraction(key, fraction, seed))
-
-
 def poisson_ladder(mean: float) -> list[float]:
     """Cumulative Poisson probabilities until the tail is below ``LADDER_TAIL``."""
     cumulative, term, total, i = [], math.exp(-mean), 0.0, 0
@@ -38,9 +28,8 @@ def poisson_ladder(mean: float) -> list[float]:
     return cumulative
 
 
-def copy_count(key: str, fraction: float, seed: int = SEED) -> Column:
-    """Number of copies of a row when sampling with replacement: Poisson(fraction)."""
-    u = hash_uniform(seed, "copies", key)
+def poisson_copies(u: Column, fraction: float) -> Column:
+    """Poisson(fraction) copies for a uniform draw; ``u`` should be a plain column."""
     if fraction > LADDER_MEAN:
         whole = math.floor(fraction)
         return F.lit(whole) + F.when(u < F.lit(fraction - whole), 1).otherwise(0)
@@ -51,18 +40,42 @@ def copy_count(key: str, fraction: float, seed: int = SEED) -> Column:
     return case.otherwise(len(ladder))
 
 
-def explode_copies(df: DataFrame, copies: Column, name: str = "copy") -> DataFrame:
-    """Repeat each row ``copies`` times, numbered from 1; zero copies drop the row."""
-    counted = df.withColumn("_copies", copies).where(F.col("_copies") >= 1)
-    return counted.select("*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias(name)
-                          ).drop("_copies")
+def with_copies(df: DataFrame, key: str, fraction: float, seed: int = SEED,
+                name: str = "copies", among: Column | None = None) -> DataFrame:
+    """Add the number of copies of each row and drop rows that get none.
+
+    Up to fraction 1 a row is kept once or dropped (sampling without replacement), beyond
+    it is drawn Poisson(fraction) times. Rows outside ``among`` are always kept once. The
+    draw is its own column, so the hash is computed once per row.
+    """
+    tag = "sample" if fraction <= 1.0 else "copies"
+    draw = hash_uniform(seed, tag, key)
+    drawn = df.withColumn("_u", draw if among is None else F.when(among, draw))
+    if fraction <= 1.0:
+        count = F.when(F.col("_u") < F.lit(float(fraction)), 1).otherwise(0)
+    else:
+        count = poisson_copies(F.col("_u"), fraction)
+    if among is not None:
+        count = F.when(F.col("_u").isNull(), 1).otherwise(count)
+    return drawn.withColumn(name, count).drop("_u").where(F.col(name) >= 1)
+
+
+def sample_rows(df: DataFrame, key: str, fraction: float, seed: int = SEED) -> DataFrame:
+    """Bernoulli sample on a hash of the key, so unlike ``df.sample`` it does not depend on
+    partitioning; a fraction of 1 or more keeps every row."""
+    if fraction >= 1.0:
+        return df
+    return df.where(hash_uniform(seed, "sample", key) < F.lit(float(fraction)))
+
+
+def number_copies(df: DataFrame, copies: str = "copies", name: str = "copy") -> DataFrame:
+    """Repeat each row as often as ``copies`` says, numbered from 1."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(copies)
 
 
 def replicate_rows(df: DataFrame, key: str, fraction: float, seed: int = SEED) -> DataFrame:
     """Bernoulli sample up to fraction 1, Poisson copies beyond; adds ``copy``."""
-    if fraction <= 1.0:
-        return sample_rows(df, key, fraction, seed).withColumn("copy", F.lit(1))
-    return explode_copies(df, copy_count(key, fraction, seed))
+    return number_copies(with_copies(df, key, fraction, seed))
 
 
 def choose_nearest(neighbors: DataFrame, n: int) -> DataFrame:

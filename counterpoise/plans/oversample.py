@@ -13,7 +13,7 @@ from counterpoise.operators.classes import (
     SamplingPlan, is_minority, minority_rows, partners_per_row, sampling_plan)
 from counterpoise.operators.neighbors import BROADCAST_ROWS, knn_join
 from counterpoise.operators.sampling import (
-    SEED, choose_nearest, choose_random, copy_count, keep_fraction, replicate_rows)
+    SEED, choose_nearest, choose_random, number_copies, with_copies)
 from counterpoise.operators.synthesis import (
     gap_draw, interpolate, interpolate_entries, synthetic_key)
 
@@ -39,21 +39,11 @@ def chosen_partners(
     than n neighbours to be found.
     """
     # Copies of a base row share its neighbours: they are found once, then repeated.
-    base = minority
-    copies = None
-    if plan.fraction <= 1.0:
-        base = replicate_rows(minority, key, plan.fraction, seed)
-    else:
-        copies = copy_count(key, plan.fraction, seed)
-        base = minority.withColumn("copies", copies).where(F.col("copies") >= 1)
     found = knn_join(
-        base, minority, k=plan.n if choose == "nearest" else k, key=key, features=features,
-        metric=metric, query_columns=["copy" if copies is None else "copies"], vectors=True,
-        strategy=strategy, n_candidates=plan.n_pos)
-    if copies is None:
-        found = found.withColumnRenamed("q_copy", "copy")
-    else:
-        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("q_copies"))))
+        with_copies(minority, key, plan.fraction, seed), minority,
+        k=plan.n if choose == "nearest" else k, key=key, features=features, metric=metric,
+        query_columns=["copies"], vectors=True, strategy=strategy, n_candidates=plan.n_pos)
+    found = number_copies(found, "q_copies")
     found = found.select("qid", "copy", "rank", "nid", "dist", "qvec", "nvec")
     if choose == "nearest":
         return choose_nearest(found, plan.n)
@@ -64,14 +54,8 @@ def passed_through(df: DataFrame, key: str, features: Features, label: str, mino
                    plan: SamplingPlan, seed: int = SEED) -> DataFrame:
     """Majority rows as they are and sampled minority rows with their copies, in one scan."""
     positive = is_minority(label, minority)
-    if plan.fraction <= 1.0:
-        kept = df if plan.fraction == 1.0 else df.where(
-            ~positive | keep_fraction(key, plan.fraction, seed))
-        kept = kept.withColumn("_copy", F.lit(1))
-    else:
-        copies = F.when(positive, copy_count(key, plan.fraction, seed)).otherwise(1)
-        kept = df.withColumn("_copies", copies).where(F.col("_copies") >= 1).withColumn(
-            "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    kept = number_copies(with_copies(df, key, plan.fraction, seed, "_copies", among=positive),
+                         "_copies", "_copy")
     name = F.col(key).cast("string")
     own = F.when(positive, F.concat_ws(":", F.lit("orig"), name, F.col("_copy").cast("string"))
                  ).otherwise(F.concat_ws(":", F.lit("maj"), name))
