@@ -32,23 +32,19 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def raw_distances(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
-    """Squared (euclidean) or plain (manhattan) sums, feature by feature in order.
+def floor_of(metric: str) -> float:
+    """Raw sums up to this are a rounded distance of zero."""
+    return ZERO_SUM if metric == "manhattan" else ZERO_SQUARE
 
-    Entries that are no neighbour (zero after rounding, or undefined) become NaN.
-    """
-    total = np.zeros((len(q), len(c)))
-    gap = np.empty_like(total)
-    # Infinite features give undefined or infinite gaps on purpose.
+
+def raw_distance(gaps, metric: str) -> np.ndarray:
+    """Squared (euclidean) or plain (manhattan) sum of gaps, added in feature order."""
+    total = None
+    # Infinite features give undefined or infinite sums on purpose.
     with np.errstate(invalid="ignore", over="ignore"):
-        for j in range(q.shape[1]):
-            np.subtract(q[:, j, None], c[None, :, j], out=gap)
-            if metric == "manhattan":
-                np.abs(gap, out=gap)
-            else:
-                np.multiply(gap, gap, out=gap)
-            total += gap
-    total[total <= (ZERO_SUM if metric == "manhattan" else ZERO_SQUARE)] = np.nan
+        for gap in gaps:
+            term = np.abs(gap, out=gap) if metric == "manhattan" else np.square(gap, out=gap)
+            total = term if total is None else np.add(total, term, out=total)
     return total
 
 
@@ -72,32 +68,58 @@ def kth_smallest(raw: np.ndarray, k: int) -> np.ndarray:
     return np.where(np.isnan(kth), np.inf, kth)
 
 
+def rough_distances(q: np.ndarray, c: np.ndarray, norms: np.ndarray, metric: str):
+    """Raw distances up to a slack, less a shift per query: (rough, shift, slack).
+
+    Squared distances come from one matrix product, whose rounding error the slack
+    covers; they only decide which pairs are looked at exactly.
+    """
+    if metric == "euclidean":
+        own = np.einsum("ij,ij->i", q, q)
+        slack = 2.0**-50 * (q.shape[1] + 8) * (own + norms.max())
+        if np.isfinite(slack).all():
+            rough = q @ (-2.0 * c.T)
+            rough += norms
+            return rough, own, slack
+    with np.errstate(invalid="ignore", over="ignore"):
+        rough = raw_distance((q[:, j, None] - c[None, :, j] for j in range(q.shape[1])), metric)
+    return rough, np.zeros(len(q)), np.zeros(len(q))
+
+
 def nearest(q: np.ndarray, c: np.ndarray, k: int, metric: str, radius: np.ndarray | None = None):
     """Top k candidates of every query by (rounded distance, candidate position).
 
-    ``c`` must be in key order, so that positions break ties like keys do. ``radius``
-    optionally gives a rounded distance per query beyond which nothing can count.
+    ``c`` must be in key order, so that positions break ties like keys do, and hold no
+    point more than k times. ``radius`` optionally gives a rounded distance per query
+    beyond which nothing can count.
     Returns (query position, candidate position, distance, rank from 1).
     """
     if len(q) and len(c) and q.shape[1] != c.shape[1]:
         raise ValueError("query and candidate vectors differ in length")
     found = []
     step = max(1, TILE // max(1, len(c)))
+    # Of the 2k nearest points at most k are copies of the query itself, so the 2k-th
+    # distance, even among a part of the candidates, bounds the k-th true neighbour.
+    stride = max(1, min(8, len(c) // max(256, 16 * k)))
+    with np.errstate(over="ignore"):
+        norms = np.einsum("ij,ij->i", c, c) if len(c) else np.empty(0)
     for start in range(0, len(q) if len(c) else 0, step):
-        raw = raw_distances(q[start:start + step], c, metric)
-        if radius is None:
-            # A cheap bound from a part of the columns thins the rest out exactly.
-            stride = max(1, len(c) // max(256, 16 * k))
-            bound = kth_smallest(raw[:, ::stride], k)
-            bound = raw_bound(rounded(bound, metric), metric)
-        else:
-            bound = raw_bound(radius[start:start + step], metric)
-        close = raw <= bound[:, None]
-        if close.sum() > 64 * k * len(raw):
-            bound = np.minimum(bound, raw_bound(rounded(kth_smallest(raw, k), metric), metric))
-            close = raw <= bound[:, None]
-        qi, ci = np.nonzero(close)
-        dist = rounded(raw[qi, ci], metric)
+        part = q[start:start + step]
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough, shift, slack = rough_distances(part, c, norms, metric)
+            bound = kth_smallest(rough[:, ::stride], 2 * k) + shift + slack
+            bound = raw_bound(rounded(np.maximum(bound, 0.0), metric), metric)
+            if radius is not None:
+                bound = np.minimum(bound, raw_bound(radius[start:start + step], metric))
+            close = rough <= (bound + slack - shift)[:, None]
+        qi, ci = np.divmod(np.flatnonzero(close), len(c))
+        with np.errstate(invalid="ignore", over="ignore"):
+            raw = raw_distance((part[qi, j] - c[ci, j] for j in range(q.shape[1])), metric)
+        valid = raw > floor_of(metric)
+        dist = rounded(raw, metric)
+        if radius is not None:
+            valid &= dist <= radius[start + qi]
+        qi, ci, dist = qi[valid], ci[valid], dist[valid]
         order = np.lexsort((dist, qi))  # stable: equal distances stay in key order
         qi, ci, dist = qi[order], ci[order], dist[order]
         rank = np.arange(len(qi)) - np.searchsorted(qi, qi) + 1
@@ -109,6 +131,15 @@ def nearest(q: np.ndarray, c: np.ndarray, k: int, metric: str, radius: np.ndarra
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
+def at_most_k_copies(points: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the first k rows of every distinct point, in order."""
+    _, group = np.unique(points, axis=0, return_inverse=True)
+    group = group.ravel()
+    order = np.argsort(group, kind="stable")
+    rank = np.arange(len(group)) - np.searchsorted(group[order], group[order])
+    return np.sort(order[rank < k])
+
+
 def best_cut(part: np.ndarray, per_cell: int, min_cell: int):
     """Median cut of the widest feature that leaves enough points on both sides."""
     if len(part) <= per_cell:
@@ -194,15 +225,21 @@ class Cells:
         for start in range(0, len(q), step):
             part = slice(start, start + step)
             near = self.points[home[part]]
-            total = np.zeros(near.shape[:2])
             with np.errstate(invalid="ignore", over="ignore"):
-                for j in range(q.shape[1]):
-                    gap = q[part, j, None] - near[:, :, j]
-                    total += np.abs(gap) if self.metric == "manhattan" else gap * gap
-            total[total <= (ZERO_SUM if self.metric == "manhattan" else ZERO_SQUARE)] = np.nan
+                total = raw_distance((q[part, j, None] - near[:, :, j]
+                                      for j in range(q.shape[1])), self.metric)
+            total[total <= floor_of(self.metric)] = np.nan
             out[part] = rounded(kth_smallest(total, k), self.metric)
         return out
 
+    def _gaps(self, q, qi, node):
+        """Per feature, how far each query lies outside the slab of a node."""
+        with np.errstate(invalid="ignore"):
+            for j in range(q.shape[1]):
+                x = q[qi, j]
+                gap = np.maximum(self.low[node, j] - x, x - self.high[node, j])
+                yield np.where(gap > 0, gap, 0.0)  # inside, or undefined
+
     def reached(self, q: np.ndarray, radius: np.ndarray):
         """All (query, cell) pairs whose cell may hold a row within the query's radius.
 
@@ -219,13 +256,7 @@ class Cells:
             qi, node = qi[~ends], node[~ends]
             qi = np.repeat(qi, 2)
             node = self.child[node].reshape(-1)
-            total = np.zeros(len(qi))
-            with np.errstate(invalid="ignore", over="ignore"):
-                for j in range(q.shape[1]):
-                    x = q[qi, j]
-                    gap = np.maximum(self.low[node, j] - x, x - self.high[node, j])
-                    gap = np.where(gap > 0, gap, 0.0)  # inside the slab, or undefined
-                    total += gap if self.metric == "manhattan" else gap * gap
+            total = raw_distance(self._gaps(q, qi, node), self.metric)
             inside = rounded(total, self.metric) <= radius[qi]
             qi, node = qi[inside], node[inside]
         return np.concatenate(done_q), np.concatenate(done_cell)

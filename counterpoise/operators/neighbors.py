@@ -31,12 +31,13 @@ from counterpoise.operators import kernel
 
 STRATEGIES = ("auto", "broadcast", "cells")
 
-BROADCAST_ROWS = 16_384
-BROADCAST_BYTES = 16 << 20
-CELL_ROWS = 2_048
-MAX_CELLS = 16_384
+BROADCAST_ROWS = 32_768
+BROADCAST_BYTES = 32 << 20
+CELL_ROWS = 512
+MAX_CELLS = 65_536
 SAMPLE_BYTES = 64 << 20
 BLOCK_BYTES = 1 << 20
+BLOCK_ROWS = 2_048
 QUERY_BLOCK_ROWS = 1_024
 ROUTE_ROWS = 4_096
 
@@ -78,7 +79,7 @@ def knn_join(
     if strategy != "cells":
         small = None
         if strategy == "broadcast" or _may_broadcast(c, n_candidates):
-            small = _collect_small(c)
+            small = _collect_small(c, k)
         if small is not None:
             return _finish(_broadcast_join(q, c, small, k, metric), q, c, vectors)
         if strategy == "broadcast":
@@ -90,12 +91,16 @@ def _may_broadcast(c: DataFrame, n_candidates: int | None) -> bool:
     return (c.count() if n_candidates is None else n_candidates) <= BROADCAST_ROWS
 
 
-def _collect_small(c: DataFrame) -> pa.Table | None:
+def _collect_small(c: DataFrame, k: int) -> pa.Table | None:
     """The candidates in key order, or None when they exceed the proven bound."""
     table = c.limit(BROADCAST_ROWS + 1).toArrow()
     if table.num_rows > BROADCAST_ROWS or table.nbytes > BROADCAST_BYTES:
         return None
-    return table.sort_by("nid").combine_chunks()
+    table = table.sort_by("nid").combine_chunks()
+    if not table.num_rows:
+        return table
+    points = kernel.matrix(table.column("nvec").combine_chunks())
+    return table.take(pa.array(kernel.at_most_k_copies(points, k))).combine_chunks()
 
 
 def _found_schema(q: DataFrame, c: DataFrame, ranked: bool) -> T.StructType:
@@ -146,10 +151,12 @@ def _broadcast_join(q: DataFrame, c: DataFrame, small: pa.Table, k: int, metric:
 def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str) -> DataFrame:
     # Among exact copies only the k lowest keys can ever be chosen. The row limit is
     # applied before the shuffle too, so a hot copy shrinks to k rows per map task.
-    copies = Window.partitionBy("nvec").orderBy("nid")
-    c = materialize(c.withColumn("_copy", F.row_number().over(copies))
-                    .where(F.col("_copy") <= k).drop("_copy"))
-    cells = _cut_cells(c, k, metric)
+    # The hash in front spares the sort most comparisons of whole vectors.
+    copies = Window.partitionBy("_hash", "nvec").orderBy("nid")
+    c = materialize(c.withColumn("_hash", F.xxhash64("nvec"))
+                    .withColumn("_copy", F.row_number().over(copies))
+                    .where(F.col("_copy") <= k).drop("_hash", "_copy"))
+    cells, n_candidates = _cut_cells(c, k, metric)
     if cells is None:
         return q.sparkSession.createDataFrame([], _found_schema(q, c, ranked=True))
     d = cells.points.shape[2]
@@ -208,9 +215,13 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str) -> DataFrame:
     radius_field = T.StructField("radius", T.FloatType())
     housed = c.mapInArrow(house, T.StructType([cell_field, *c.schema.fields]))
     routed = q.mapInArrow(route, T.StructType([cell_field, radius_field, *q.schema.fields]))
-    block = max(64, min(CELL_ROWS, BLOCK_BYTES // (8 * d)))
+    block = max(64, min(BLOCK_ROWS, BLOCK_BYTES // (8 * d)))
     blocks = _pack_by_cell(housed, "crows", block, "nid")
     asked = _pack_by_cell(routed, "qrows", min(block, QUERY_BLOCK_ROWS))
+    if n_candidates * 16 * d <= BROADCAST_BYTES:
+        # Few enough candidates by count to hand out whole: spread the query blocks evenly.
+        blocks = F.broadcast(blocks)
+        asked = asked.repartition(_parallelism(q), "cell", F.col("qrows")[0]["qid"])
     met = asked.join(blocks, "cell").mapInArrow(meet, _found_schema(q, c, ranked=False))
     best = Window.partitionBy("qid").orderBy("dist", "nid")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -234,22 +245,20 @@ def _pack_by_cell(rows: DataFrame, name: str, block_rows: int, *order: str) -> D
             .mapInArrow(run, packed).withColumnRenamed("rows", name))
 
 
-def _cut_cells(c: DataFrame, k: int, metric: str) -> kernel.Cells | None:
-    """Cut cells from a sample whose size is bounded by the number of cells."""
+def _cut_cells(c: DataFrame, k: int, metric: str) -> tuple[kernel.Cells | None, int]:
+    """Cells cut from a sample whose size is bounded, and the number of candidates."""
     size = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("nvec")).alias("d")).first()
-    if not size["n"]:
-        return None
+    n, d = size["n"], size["d"]
+    if not n:
+        return None, 0
     per_cell = max(32, 2 * (k + 1))
     # Boxes prune little in many dimensions; larger cells then mean fewer copies sent.
-    rows = CELL_ROWS * max(1, size["d"] // 8)
-    most = max(1, min(MAX_CELLS, SAMPLE_BYTES // (8 * size["d"] * per_cell)))
-    wanted = max(1, min(most, -(-size["n"] // rows)))
-    share = min(1.0, wanted * per_cell / size["n"])
+    rows = CELL_ROWS * max(1, d // 4)
+    most = max(1, min(MAX_CELLS, SAMPLE_BYTES // (8 * d * per_cell)))
+    wanted = max(1, min(most, -(-n // rows)))
+    share = min(1.0, wanted * per_cell / n)
     draw = F.pmod(F.xxhash64("nid"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    sample = c.where(draw) if share < 1.0 else c
-    points = sample.select("nvec").limit(2 * wanted * per_cell + per_cell).toArrow()
-    points = points.combine_chunks().to_batches()
-    found = kernel.matrix(points[0].column(0)) if points else np.empty((0, size["d"]))
-    if not len(found):
-        found = np.zeros((0, size["d"]))
-    return kernel.Cells.from_sample(found, per_cell, k + 1, metric)
+    sample = (c.where(draw) if share < 1.0 else c).select("nvec")
+    drawn = sample.limit(2 * wanted * per_cell + per_cell).toArrow().column(0).combine_chunks()
+    points = kernel.matrix(drawn) if len(drawn) else np.empty((0, d))
+    return kernel.Cells.from_sample(points, per_cell, k + 1, metric), n
