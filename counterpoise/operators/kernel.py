@@ -262,18 +262,51 @@ class Cells:
         return np.concatenate(done_q), np.concatenate(done_cell)
 
 
+def tighten(best: np.ndarray, qi: np.ndarray, dist: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Fold newly found distances into each query's k smallest so far."""
+    new = np.full_like(best, np.inf)
+    new[qi, rank - 1] = dist
+    return np.sort(np.concatenate([best, new], axis=1), axis=1)[:, :best.shape[1]]
+
+
 def pack(batches, block_rows: int):
-    """Turn rows sorted by cell into one row per (cell, block of rows)."""
+    """Turn rows sorted by cell into one row per (cell, block of at most ``block_rows``)."""
+    held = None
     for batch in batches:
         if not batch.num_rows:
             continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         cells = batch.column("cell").to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
         ends = np.r_[starts[1:], len(cells)]
         cuts = np.concatenate([np.arange(s, e, block_rows) for s, e in zip(starts, ends)])
-        offsets = pa.array(np.r_[cuts, len(cells)], pa.int32())
-        fields = [f for f in batch.schema if f.name != "cell"]
-        rows = pa.StructArray.from_arrays([batch.column(f.name) for f in fields], fields=fields)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cells[cuts], pa.int32()), pa.ListArray.from_arrays(offsets, rows)],
-            names=["cell", "rows"])
+        held = batch.slice(cuts[-1])  # the last block may go on in the next batch
+        if len(cuts) > 1:
+            yield _blocks(batch.slice(0, cuts[-1]), cuts)
+    if held is not None:
+        yield _blocks(held, np.array([0, held.num_rows]))
+
+
+def _blocks(batch: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
+    """Rows between consecutive cuts as one list each."""
+    fields = [f for f in batch.schema if f.name != "cell"]
+    rows = pa.StructArray.from_arrays([batch.column(f.name) for f in fields], fields=fields)
+    return pa.RecordBatch.from_arrays(
+        [batch.column("cell").take(pa.array(cuts[:-1])),
+         pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rows)],
+        names=["cell", "rows"])
+
+
+def side_by_side(left, li, right, ri, dist, rank, names) -> pa.RecordBatch:
+    """Query and candidate rows side by side, in the order of ``names``."""
+    made = {"dist": pa.array(dist), "rank": pa.array(rank)}
+    columns = []
+    for name in names:
+        if name in made:
+            columns.append(made[name])
+        elif name in left.schema.names:
+            columns.append(left.column(name).take(li))
+        else:
+            columns.append(right.column(name).take(ri))
+    return pa.RecordBatch.from_arrays(columns, names=list(names))

@@ -16,6 +16,7 @@ Two ways to run, one result:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -31,15 +32,24 @@ from counterpoise.operators import kernel
 
 STRATEGIES = ("auto", "broadcast", "cells")
 
+# Candidate rows and bytes that may travel to every task.
 BROADCAST_ROWS = 32_768
 BROADCAST_BYTES = 32 << 20
+# Up to this width cells are small and prune well; beyond it they are few and large.
+PRUNED_WIDTH = 8
 CELL_ROWS = 512
+CELL_BYTES = 256 << 20
+TASKS_PER_SLOT = 4
+# Bounds of what the driver plans with.
 MAX_CELLS = 65_536
 SAMPLE_BYTES = 64 << 20
-BLOCK_BYTES = 1 << 20
-BLOCK_ROWS = 2_048
+# Bounds of what one call of the kernel holds.
+BLOCK_ROWS = 32_768
+BLOCK_BYTES = 8 << 20
 QUERY_BLOCK_ROWS = 1_024
+QUERY_BLOCK_BYTES = 1 << 20
 ROUTE_ROWS = 4_096
+SENT_ROWS = 65_536
 
 
 def knn_join(
@@ -76,15 +86,16 @@ def knn_join(
     q = q.where(measurable(F.col("qvec")))
     c = c.where(measurable(F.col("nvec")))
 
+    out = _found_schema(q, c, vectors)
     if strategy != "cells":
         small = None
         if strategy == "broadcast" or _may_broadcast(c, n_candidates):
             small = _collect_small(c, k)
         if small is not None:
-            return _finish(_broadcast_join(q, c, small, k, metric), q, c, vectors)
+            return _broadcast_join(q, small, k, metric, out)
         if strategy == "broadcast":
             raise ValueError(f"more than {BROADCAST_ROWS} candidate rows: too many to broadcast")
-    return _finish(_cell_join(q, c, k, metric), q, c, vectors)
+    return _cell_join(q, c, k, metric, out)
 
 
 def _may_broadcast(c: DataFrame, n_candidates: int | None) -> bool:
@@ -103,18 +114,12 @@ def _collect_small(c: DataFrame, k: int) -> pa.Table | None:
     return table.take(pa.array(kernel.at_most_k_copies(points, k))).combine_chunks()
 
 
-def _found_schema(q: DataFrame, c: DataFrame, ranked: bool) -> T.StructType:
-    fields = list(q.schema.fields) + list(c.schema.fields)
-    fields.append(T.StructField("dist", T.FloatType()))
-    if ranked:
-        fields.append(T.StructField("rank", T.IntegerType()))
-    return T.StructType([T.StructField(f.name, f.dataType) for f in fields])
-
-
-def _finish(found: DataFrame, q: DataFrame, c: DataFrame, vectors: bool) -> DataFrame:
-    carried = [n for n in q.columns + c.columns if n[:2] in ("q_", "n_")]
-    return found.select("qid", "rank", "nid", "dist", *carried,
-                        *(["qvec", "nvec"] if vectors else []))
+def _found_schema(q: DataFrame, c: DataFrame, vectors: bool) -> T.StructType:
+    types = {f.name: f.dataType for f in [*q.schema.fields, *c.schema.fields]}
+    types |= {"rank": T.IntegerType(), "dist": T.FloatType()}
+    names = ["qid", "rank", "nid", "dist", *[n for n in types if n[:2] in ("q_", "n_")]]
+    names += ["qvec", "nvec"] if vectors else []
+    return T.StructType([T.StructField(n, types[n]) for n in names])
 
 
 def _parallelism(df: DataFrame) -> int:
@@ -123,32 +128,28 @@ def _parallelism(df: DataFrame) -> int:
                int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _broadcast_join(q: DataFrame, c: DataFrame, small: pa.Table, k: int, metric: str) -> DataFrame:
+def _broadcast_join(q: DataFrame, small: pa.Table, k: int, metric: str,
+                    out: T.StructType) -> DataFrame:
     shared = q.sparkSession.sparkContext.broadcast(small)
+    names = out.fieldNames()
 
     def run(batches):
-        table = shared.value
-        payload = table.combine_chunks().to_batches()
-        points = np.empty((0, 0))
-        if payload:
-            points = kernel.matrix(payload[0].column("nvec"))
+        rows = shared.value.combine_chunks().to_batches()
         for batch in batches:
-            if not batch.num_rows or not payload:
+            if not batch.num_rows or not rows:
                 continue
             qi, ci, dist, rank = kernel.nearest(
-                kernel.matrix(batch.column("qvec")), points, k, metric)
-            left, right = batch.take(pa.array(qi)), payload[0].take(pa.array(ci))
-            yield pa.RecordBatch.from_arrays(
-                [*left.columns, *right.columns, pa.array(dist), pa.array(rank)],
-                names=[*left.schema.names, *right.schema.names, "dist", "rank"])
+                kernel.matrix(batch.column("qvec")), kernel.matrix(rows[0].column("nvec")),
+                k, metric)
+            yield kernel.side_by_side(batch, pa.array(qi), rows[0], pa.array(ci), dist, rank,
+                                      names)
 
     # The work per query is far larger than the row, so spread queries by key rather
     # than by input split.
-    spread = q.repartition(_parallelism(q), "qid")
-    return spread.mapInArrow(run, _found_schema(q, c, ranked=True))
+    return q.repartition(_parallelism(q), "qid").mapInArrow(run, out)
 
 
-def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str) -> DataFrame:
+def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructType) -> DataFrame:
     # Among exact copies only the k lowest keys can ever be chosen. The row limit is
     # applied before the shuffle too, so a hot copy shrinks to k rows per map task.
     # The hash in front spares the sort most comparisons of whole vectors.
@@ -156,10 +157,19 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str) -> DataFrame:
     c = materialize(c.withColumn("_hash", F.xxhash64("nvec"))
                     .withColumn("_copy", F.row_number().over(copies))
                     .where(F.col("_copy") <= k).drop("_hash", "_copy"))
-    cells, n_candidates = _cut_cells(c, k, metric)
-    if cells is None:
-        return q.sparkSession.createDataFrame([], _found_schema(q, c, ranked=True))
-    d = cells.points.shape[2]
+    size = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("nvec")).alias("d")).first()
+    n, d = size["n"], size["d"]
+    if not n:
+        return q.sparkSession.createDataFrame([], out)
+    tasks = TASKS_PER_SLOT * _parallelism(q)
+    if d <= PRUNED_WIDTH:
+        wanted, salts = -(-n // CELL_ROWS), 1
+    else:
+        # Boxes prune little in many dimensions: nearly every query visits every cell.
+        # A grid of (cell, salt) then copies queries and candidates about equally often.
+        wanted = max(math.isqrt(tasks), n * 8 * d // CELL_BYTES, 1)
+        salts = -(-tasks // wanted)
+    cells = _cut_cells(c, n, d, wanted, k, metric)
     shared = q.sparkSession.sparkContext.broadcast(vars(cells))
 
     def house(batches):
@@ -179,52 +189,61 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str) -> DataFrame:
                 points = kernel.matrix(part.column("qvec"))
                 radius = grid.radius(points, k)
                 qi, cell = grid.reached(points, radius)
-                for at in range(0, len(qi), 16 * ROUTE_ROWS):
-                    rows = qi[at:at + 16 * ROUTE_ROWS]
+                for at in range(0, len(qi), SENT_ROWS):
+                    rows = qi[at:at + SENT_ROWS]
                     sent = part.take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell[at:at + 16 * ROUTE_ROWS], pa.int32()),
+                        [pa.array(cell[at:at + SENT_ROWS], pa.int32()),
                          pa.array(radius[rows]), *sent.columns],
                         names=["cell", "radius", *sent.schema.names])
 
+    names = [f for f in out.fieldNames() if f != "rank"]
+
     def meet(batches):
+        last, best = None, None
         for batch in batches:
             left, right = batch.column("qrows"), batch.column("crows")
-            lrows, rrows = left.flatten(), right.flatten()
-            lcols, rcols = lrows.flatten(), rrows.flatten()
-            lnames = [f.name for f in lrows.type]
-            rnames = [f.name for f in rrows.type]
-            points = kernel.matrix(lcols[lnames.index("qvec")])
-            targets = kernel.matrix(rcols[rnames.index("nvec")])
-            radius = lcols[lnames.index("radius")].to_numpy(zero_copy_only=False)
+            lrows = pa.RecordBatch.from_struct_array(left.flatten())
+            rrows = pa.RecordBatch.from_struct_array(right.flatten())
+            points = kernel.matrix(lrows.column("qvec"))
+            targets = kernel.matrix(rrows.column("nvec"))
+            radius = lrows.column("radius").to_numpy(zero_copy_only=False)
             loff = left.offsets.to_numpy() - left.offsets[0].as_py()
             roff = right.offsets.to_numpy() - right.offsets[0].as_py()
             for i in range(batch.num_rows):
                 ls, rs = slice(loff[i], loff[i + 1]), slice(roff[i], roff[i + 1])
-                qi, ci, dist, _ = kernel.nearest(points[ls], targets[rs], k, metric, radius[ls])
-                if not len(qi):
-                    continue
-                li, ri = pa.array(qi + loff[i]), pa.array(ci + roff[i])
-                columns = [a.take(li) for n, a in zip(lnames, lcols) if n != "radius"]
-                columns += [a.take(ri) for a in rcols]
-                names = [n for n in lnames if n != "radius"] + rnames
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(dist)],
-                                                 names=[*names, "dist"])
+                this = (batch.column("cell")[i].as_py(), lrows.column("qid")[ls.start].as_py())
+                if this != last:  # else: the same queries meet the cell's next block
+                    last, best = this, np.full((ls.stop - ls.start, k), np.inf, np.float32)
+                qi, ci, dist, rank = kernel.nearest(
+                    points[ls], targets[rs], k, metric, np.minimum(radius[ls], best[:, -1]))
+                if len(qi):
+                    best = kernel.tighten(best, qi, dist, rank)
+                    yield kernel.side_by_side(lrows, pa.array(qi + ls.start), rrows,
+                                              pa.array(ci + rs.start), dist, rank, names)
 
     cell_field = T.StructField("cell", T.IntegerType())
     radius_field = T.StructField("radius", T.FloatType())
     housed = c.mapInArrow(house, T.StructType([cell_field, *c.schema.fields]))
     routed = q.mapInArrow(route, T.StructType([cell_field, radius_field, *q.schema.fields]))
-    block = max(64, min(BLOCK_ROWS, BLOCK_BYTES // (8 * d)))
-    blocks = _pack_by_cell(housed, "crows", block, "nid")
-    asked = _pack_by_cell(routed, "qrows", min(block, QUERY_BLOCK_ROWS))
-    if n_candidates * 16 * d <= BROADCAST_BYTES:
+    blocks = _pack_by_cell(housed, "crows", min(BLOCK_ROWS, BLOCK_BYTES // (8 * d) + 1), "nid")
+    asked = _pack_by_cell(routed, "qrows",
+                          min(QUERY_BLOCK_ROWS, QUERY_BLOCK_BYTES // (8 * d) + 1))
+    first = F.col("qrows")[0]["qid"]
+    on = ["cell"]
+    if n * 16 * d <= BROADCAST_BYTES:
         # Few enough candidates by count to hand out whole: spread the query blocks evenly.
         blocks = F.broadcast(blocks)
-        asked = asked.repartition(_parallelism(q), "cell", F.col("qrows")[0]["qid"])
-    met = asked.join(blocks, "cell").mapInArrow(meet, _found_schema(q, c, ranked=False))
-    best = Window.partitionBy("qid").orderBy("dist", "nid")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        asked = asked.repartition(_parallelism(q), "cell", first)
+    elif salts > 1:
+        on = ["cell", "salt"]
+        asked = asked.withColumn("salt", F.pmod(F.xxhash64(first), F.lit(salts)).cast("int"))
+        blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = asked.join(blocks, on).select("cell", "qrows", "crows").mapInArrow(
+        meet, T.StructType([f for f in out.fields if f.name != "rank"]))
+    order = Window.partitionBy("qid").orderBy("dist", "nid")
+    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(*out.fieldNames())
 
 
 def _pack_by_cell(rows: DataFrame, name: str, block_rows: int, *order: str) -> DataFrame:
@@ -245,20 +264,13 @@ def _pack_by_cell(rows: DataFrame, name: str, block_rows: int, *order: str) -> D
             .mapInArrow(run, packed).withColumnRenamed("rows", name))
 
 
-def _cut_cells(c: DataFrame, k: int, metric: str) -> tuple[kernel.Cells | None, int]:
-    """Cells cut from a sample whose size is bounded, and the number of candidates."""
-    size = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("nvec")).alias("d")).first()
-    n, d = size["n"], size["d"]
-    if not n:
-        return None, 0
+def _cut_cells(c: DataFrame, n: int, d: int, wanted: int, k: int, metric: str) -> kernel.Cells:
+    """About ``wanted`` cells, cut from a candidate sample whose size is bounded."""
     per_cell = max(32, 2 * (k + 1))
-    # Boxes prune little in many dimensions; larger cells then mean fewer copies sent.
-    rows = CELL_ROWS * max(1, d // 4)
-    most = max(1, min(MAX_CELLS, SAMPLE_BYTES // (8 * d * per_cell)))
-    wanted = max(1, min(most, -(-n // rows)))
+    wanted = min(wanted, MAX_CELLS, max(1, SAMPLE_BYTES // (8 * d * per_cell)))
     share = min(1.0, wanted * per_cell / n)
     draw = F.pmod(F.xxhash64("nid"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
     sample = (c.where(draw) if share < 1.0 else c).select("nvec")
     drawn = sample.limit(2 * wanted * per_cell + per_cell).toArrow().column(0).combine_chunks()
     points = kernel.matrix(drawn) if len(drawn) else np.empty((0, d))
-    return kernel.Cells.from_sample(points, per_cell, k + 1, metric), n
+    return kernel.Cells.from_sample(points, per_cell, k + 1, metric)

@@ -28,16 +28,14 @@ def poisson_ladder(mean: float) -> list[float]:
     return cumulative
 
 
-def poisson_copies(u: Column, fraction: float) -> Column:
-    """Poisson(fraction) copies for a uniform draw; ``u`` should be a plain column."""
+def poisson_copies(draw: str, fraction: float) -> Column:
+    """Poisson(fraction) copies for a column of uniform draws."""
     if fraction > LADDER_MEAN:
         whole = math.floor(fraction)
-        return F.lit(whole) + F.when(u < F.lit(fraction - whole), 1).otherwise(0)
+        return F.lit(whole) + F.when(F.col(draw) < F.lit(fraction - whole), 1).otherwise(0)
     ladder = poisson_ladder(fraction)
-    case = F.when(u < F.lit(ladder[0]), 0)
-    for copies, bound in enumerate(ladder[1:], start=1):
-        case = case.when(u < F.lit(bound), copies)
-    return case.otherwise(len(ladder))
+    steps = " ".join(f"WHEN {draw} < {bound!r}D THEN {i}" for i, bound in enumerate(ladder))
+    return F.expr(f"CASE {steps} ELSE {len(ladder)} END")
 
 
 def with_copies(df: DataFrame, key: str, fraction: float, seed: int = SEED,
@@ -54,7 +52,7 @@ def with_copies(df: DataFrame, key: str, fraction: float, seed: int = SEED,
     if fraction <= 1.0:
         count = F.when(F.col("_u") < F.lit(float(fraction)), 1).otherwise(0)
     else:
-        count = poisson_copies(F.col("_u"), fraction)
+        count = poisson_copies("_u", fraction)
     if among is not None:
         count = F.when(F.col("_u").isNull(), 1).otherwise(count)
     return drawn.withColumn(name, count).drop("_u").where(F.col(name) >= 1)
