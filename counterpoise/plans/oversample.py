@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterpoise.functions.distance import check_metric
 from counterpoise.functions.features import (
     Features, feature_names, feature_vector, is_array_column)
+from counterpoise.functions.keys import with_row_key
 from counterpoise.materialize import materialize
 from counterpoise.operators.classes import (
-    SamplingPlan, is_minority, minority_rows, partners_per_row, sampling_plan)
+    SamplingPlan, is_minority, majority_rows, minority_rows, partners_per_row, sampling_plan)
 from counterpoise.operators.neighbors import BROADCAST_ROWS, knn_join
 from counterpoise.operators.sampling import (
-    SEED, choose_nearest, choose_random, number_copies, with_copies)
+    SEED, choose_nearest, choose_random, number_copies, replicate_rows, with_copies)
 from counterpoise.operators.synthesis import (
     gap_draw, interpolate, interpolate_entries, synthetic_key)
 
@@ -59,15 +60,40 @@ def passed_through(df: DataFrame, key: str, features: Features, label: str, mino
     name = F.col(key).cast("string")
     own = F.when(positive, F.concat_ws(":", F.lit("orig"), name, F.col("_copy").cast("string"))
                  ).otherwise(F.concat_ws(":", F.lit("maj"), name))
-    if is_array_column(df, features):
-        values = [feature_vector(df, features).alias(features)]
-    else:
-        values = [F.col(c).cast("double").alias(c) for c in feature_names(df, features)]
     return kept.select(
-        own.alias("id"), *values, F.col(label).alias("label"),
+        own.alias("id"), *_feature_values(df, features), F.col(label).alias("label"),
         F.when(positive, "sampled").otherwise("majority").alias("origin"))
 
 
+def synthetic_rows(
+    rare: DataFrame, key: str, features: Features, plan: SamplingPlan, *,
+    k: int = 5, seed: int = SEED, choose: str = "nearest", metric: str = "euclidean",
+    strategy: str = "auto",
+) -> DataFrame:
+    """Interpolated rows (id, features…) for the sampled rows of the minority."""
+    partners = chosen_partners(rare, key, features, plan, k=k, seed=seed, choose=choose,
+                               metric=metric, strategy=strategy)
+    drawn = partners.withColumn("_u", gap_draw(seed))
+    qvec, nvec, u = F.col("qvec"), F.col("nvec"), F.col("_u")
+    if is_array_column(rare, features):
+        values = [interpolate(qvec, nvec, u).alias(features)]
+    else:
+        names = feature_names(rare, features)
+        values = [v.alias(n) for n, v in
+                  zip(names, interpolate_entries(qvec, nvec, u, len(names)))]
+    return drawn.select(synthetic_key().alias("id"), *values)
+
+
+def _feature_values(df: DataFrame, features: Features) -> list[Column]:
+    if is_array_column(df, features):
+        return [feature_vector(df, features).alias(features)]
+    return [F.col(c).cast("double").alias(c) for c in feature_names(df, features)]
+
+
+def _labelled(df: DataFrame, label, origin: str) -> DataFrame:
+    return df.withColumns({"label": label, "origin": F.lit(origin)})
+
+
 def oversample(
     df: DataFrame, key: str, features: Features, label: str, minority, pct: float, *,
     k: int = 5, seed: int = SEED, choose: str = "nearest", metric: str = "euclidean",
@@ -76,30 +102,47 @@ def oversample(
     """Rebalance ``df`` so that the minority class reaches ``pct`` % of the majority.
 
     Returns synthetic rows, all majority rows and the *sampled* minority rows as
-    (id, features…, label, origin). ``key`` must be unique; see ``with_row_key``.
+    (id, features…, label, origin). ``key`` must be unique; for tables without one see
+    ``oversample_keyless``.
     """
     check_choice(choose, k, pct)
     check_metric(metric)
     plan = sampling_plan(df, label, minority, pct)
-    rare = minority_rows(df, label, minority).select(
-        F.col(key), *[F.col(c) for c in feature_names(df, features) if c != key])
+    columns = dict.fromkeys([key, *feature_names(df, features)])
+    rare = minority_rows(df, label, minority).select(*columns)
     if plan.n_pos > BROADCAST_ROWS:
         rare = materialize(rare)  # feeds cell cutting, the queries and the candidates
-    partners = chosen_partners(rare, key, features, plan, k=k, seed=seed, choose=choose,
-                               metric=metric, strategy=strategy)
-    drawn = partners.withColumn("_u", gap_draw(seed))
-    qvec, nvec, u = F.col("qvec"), F.col("nvec"), F.col("_u")
-    if is_array_column(df, features):
-        values = [interpolate(qvec, nvec, u).alias(features)]
-    else:
-        names = feature_names(df, features)
-        values = [v.alias(n) for n, v in
-                  zip(names, interpolate_entries(qvec, nvec, u, len(names)))]
-    synthetic = drawn.select(
-        synthetic_key().alias("id"), *values,
-        F.lit(minority).cast(df.schema[label].dataType).alias("label"),
-        F.lit("synthetic").alias("origin"))
-    return synthetic.unionByName(passed_through(df, key, features, label, minority, plan, seed))
+    made = synthetic_rows(rare, key, features, plan, k=k, seed=seed, choose=choose,
+                          metric=metric, strategy=strategy)
+    made = _labelled(made, F.lit(minority).cast(df.schema[label].dataType), "synthetic")
+    return made.unionByName(passed_through(df, key, features, label, minority, plan, seed))
+
+
+def oversample_keyless(
+    df: DataFrame, features: Features, label: str, minority, pct: float, *,
+    k: int = 5, seed: int = SEED, choose: str = "nearest", metric: str = "euclidean",
+    strategy: str = "auto",
+) -> DataFrame:
+    """The same for a table without a unique key: (features…, label, origin).
+
+    Only minority rows are keyed, by content; the majority passes through untouched
+    without a shuffle.
+    """
+    check_choice(choose, k, pct)
+    check_metric(metric)
+    plan = sampling_plan(df, label, minority, pct)
+    values = _feature_values(df, features)
+    rare = with_row_key(minority_rows(df, label, minority).select(*values), "_key")
+    if plan.n_pos > BROADCAST_ROWS:
+        rare = materialize(rare)
+    made = synthetic_rows(rare, "_key", features, plan, k=k, seed=seed, choose=choose,
+                          metric=metric, strategy=strategy).drop("id")
+    name = F.lit(minority).cast(df.schema[label].dataType)
+    sampled = replicate_rows(rare, "_key", plan.fraction, seed).drop("_key", "copy")
+    rest = majority_rows(df, label, minority)
+    rest = rest.select(*values, F.col(label).alias("label"), F.lit("majority").alias("origin"))
+    return (_labelled(made, name, "synthetic").unionByName(_labelled(sampled, name, "sampled"))
+            .unionByName(rest))
 
 
 def oversample_report(balanced: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from counterpoise.operators.classes import minority_rows, sampling_plan
 from counterpoise.operators.synthesis import synthesize
-from counterpoise.plans.oversample import chosen_partners, oversample, oversample_report
+from counterpoise.plans.oversample import (
+    chosen_partners, oversample, oversample_keyless, oversample_report)
 from counterpoise.queries import views as V
 from counterpoise.sources.delimited import delimited_line
 
@@ -73,6 +74,11 @@ def q_smote_lineitem(spark, folder):
                       2, k=K)
 
 
+def q_smote_keyless(spark, folder):
+    lines = V.lineitem_imb(spark, folder).drop("id")
+    return oversample_keyless(lines, V.LINE_FEATURES, "label", V.MINORITY, 2, k=K)
+
+
 def q_smote_multiclass(spark, folder):
     made = oversample(V.embeddings(spark, folder), "id", "embedding", "label",
                       V.EMBEDDING_MINORITY, PLAIN_PCT, k=K)
@@ -138,6 +144,17 @@ _EMB_FEATURES = [f"e{i}" for i in range(V.EMBEDDING_WIDTH)]
 _EMB_VIEW = "emb AS (SELECT vec_id AS id, label, " + ", ".join(
     f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(V.EMBEDDING_WIDTH)) + " FROM embeddings)"
 
+# The content key of a minority line: hash of its JSON text and a copy number.
+_LINE_JSON = " || ',' || ".join(f"""'"{f}":' || {f}::VARCHAR""" for f in V.LINE_FEATURES)
+_KEYLESS_VIEW = f"""
+plain AS (SELECT {', '.join(f'CASE WHEN {f} = 0 THEN 0.0::DOUBLE ELSE {f} END AS {f}'
+                            for f in V.LINE_FEATURES)},
+                 CASE WHEN l_linenumber = 7 AND l_quantity >= 45 THEN 'positive'
+                      ELSE 'negative' END AS label FROM lineitem),
+keyless AS (SELECT sha256('{{' || {_LINE_JSON} || '}}') || ':' || row_number() OVER (
+                     PARTITION BY label, {', '.join(V.LINE_FEATURES)})::VARCHAR AS id, *
+            FROM plain)"""
+
 ORACLE = {
     "q_sample_neighbors": f"WITH {partners_sql(*PART, PLAIN_PCT)} {_FLAT}",
     "q_choose_nearest": f"WITH {partners_sql(*PART, COPIES_PCT)} {_FLAT}",
@@ -151,6 +168,9 @@ ORACLE = {
         f"WITH {smote_sql(*PART, PLAIN_PCT, metric='manhattan')} SELECT * FROM balanced",
     "q_smote_lineitem": "WITH " + smote_sql(
         "lineitem_imb", V.LINEITEM_IMB, V.LINE_FEATURES, POSITIVE, 2) + " SELECT * FROM balanced",
+    "q_smote_keyless": "WITH " + smote_sql(
+        "keyless", _KEYLESS_VIEW, V.LINE_FEATURES, POSITIVE, 2
+    ) + " SELECT * EXCLUDE (id) FROM balanced",
     "q_smote_multiclass": "WITH " + smote_sql(
         "emb", _EMB_VIEW, _EMB_FEATURES, str(V.EMBEDDING_MINORITY), PLAIN_PCT
     ) + " SELECT * FROM balanced",
