@@ -245,21 +245,50 @@ class Cells:
 
         The gap to a cell is summed in the same order as a distance, and rounding is
         monotone, so no row inside the cell can be nearer than the gap says.
+        Returns (query position, cell, rounded gap).
         """
         qi = np.arange(len(q))
-        node = np.zeros(len(q), np.int64)
-        done_q, done_cell = [], []
+        node, gap = np.zeros(len(q), np.int64), np.zeros(len(q), np.float32)
+        done = []
         while len(qi):
             ends = self.leaf[node] >= 0
-            done_q.append(qi[ends])
-            done_cell.append(self.leaf[node[ends]])
-            qi, node = qi[~ends], node[~ends]
-            qi = np.repeat(qi, 2)
-            node = self.child[node].reshape(-1)
-            total = raw_distance(self._gaps(q, qi, node), self.metric)
-            inside = rounded(total, self.metric) <= radius[qi]
-            qi, node = qi[inside], node[inside]
-        return np.concatenate(done_q), np.concatenate(done_cell)
+            done.append((qi[ends], self.leaf[node[ends]], gap[ends]))
+            qi, node = np.repeat(qi[~ends], 2), self.child[node[~ends]].reshape(-1)
+            gap = rounded(raw_distance(self._gaps(q, qi, node), self.metric), self.metric)
+            inside = gap <= radius[qi]
+            qi, node, gap = qi[inside], node[inside], gap[inside]
+        return tuple(np.concatenate(part) for part in zip(*done))
+
+    def route(self, q: np.ndarray, k: int):
+        """Which cells each query must visit: (query position, cell, radius per query).
+
+        The home cell's sample gives a first radius; the samples of the cells within it
+        then give the k-th nearest sample point of all, which is tighter.
+        """
+        radius = self.radius(q, k)
+        qi, cell, gap = self.reached(q, radius)
+        order = np.argsort(qi, kind="stable")
+        qi, cell, gap = qi[order], cell[order], gap[order]
+        near = [np.empty((0, k), np.float32)]
+        step = max(1, TILE // max(1, self.points.shape[1]))
+        for start in range(0, len(qi), step):
+            part = slice(start, start + step)
+            points = self.points[cell[part]]
+            with np.errstate(invalid="ignore", over="ignore"):
+                raw = raw_distance((q[qi[part], j, None] - points[:, :, j]
+                                    for j in range(q.shape[1])), self.metric)
+            raw[~(raw > floor_of(self.metric))] = np.inf
+            width = min(k, raw.shape[1])
+            dist = rounded(np.partition(raw, width - 1, axis=1)[:, :width], self.metric)
+            near.append(np.pad(dist, ((0, 0), (0, k - width)), constant_values=np.inf))
+        dist = np.concatenate(near).ravel()
+        owner = np.repeat(qi, k)
+        order = np.lexsort((dist, owner))
+        owner, dist = owner[order], dist[order]
+        kth = np.searchsorted(owner, np.arange(len(q))) + k - 1
+        radius = np.minimum(radius, dist[kth])
+        keep = gap <= radius[qi]
+        return qi[keep], cell[keep], radius
 
 
 def tighten(best: np.ndarray, qi: np.ndarray, dist: np.ndarray, rank: np.ndarray) -> np.ndarray:

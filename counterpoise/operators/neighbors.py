@@ -186,9 +186,7 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
         for batch in batches:
             for start in range(0, batch.num_rows, ROUTE_ROWS):
                 part = batch.slice(start, ROUTE_ROWS)
-                points = kernel.matrix(part.column("qvec"))
-                radius = grid.radius(points, k)
-                qi, cell = grid.reached(points, radius)
+                qi, cell, radius = grid.route(kernel.matrix(part.column("qvec")), k)
                 for at in range(0, len(qi), SENT_ROWS):
                     rows = qi[at:at + SENT_ROWS]
                     sent = part.take(pa.array(rows))
@@ -197,7 +195,11 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
                          pa.array(radius[rows]), *sent.columns],
                         names=["cell", "radius", *sent.schema.names])
 
-    names = [f for f in out.fieldNames() if f != "rank"]
+    # What is found per distinct query vector; the query's own columns come back by a join.
+    vectors = q.select("qvec").distinct()
+    found = T.StructType([vectors.schema["qvec"], T.StructField("dist", T.FloatType()),
+                          *[f for f in c.schema.fields if f.name in out.fieldNames()]])
+    names = found.fieldNames()
 
     def meet(batches):
         last, best = None, None
@@ -212,7 +214,7 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
             roff = right.offsets.to_numpy() - right.offsets[0].as_py()
             for i in range(batch.num_rows):
                 ls, rs = slice(loff[i], loff[i + 1]), slice(roff[i], roff[i + 1])
-                this = (batch.column("cell")[i].as_py(), lrows.column("qid")[ls.start].as_py())
+                this = (batch.column("cell")[i].as_py(), points[ls.start].tobytes())
                 if this != last:  # else: the same queries meet the cell's next block
                     last, best = this, np.full((ls.stop - ls.start, k), np.inf, np.float32)
                 qi, ci, dist, rank = kernel.nearest(
@@ -225,25 +227,30 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
     cell_field = T.StructField("cell", T.IntegerType())
     radius_field = T.StructField("radius", T.FloatType())
     housed = c.mapInArrow(house, T.StructType([cell_field, *c.schema.fields]))
-    routed = q.mapInArrow(route, T.StructType([cell_field, radius_field, *q.schema.fields]))
+    routed = vectors.mapInArrow(
+        route, T.StructType([cell_field, radius_field, *vectors.schema.fields]))
     blocks = _pack_by_cell(housed, "crows", min(BLOCK_ROWS, BLOCK_BYTES // (8 * d) + 1), "nid")
     asked = _pack_by_cell(routed, "qrows",
                           min(QUERY_BLOCK_ROWS, QUERY_BLOCK_BYTES // (8 * d) + 1))
-    first = F.col("qrows")[0]["qid"]
+    spread = F.xxhash64(F.col("qrows")[0]["qvec"])
     on = ["cell"]
     if n * 16 * d <= BROADCAST_BYTES:
         # Few enough candidates by count to hand out whole: spread the query blocks evenly.
         blocks = F.broadcast(blocks)
-        asked = asked.repartition(_parallelism(q), "cell", first)
+        asked = asked.repartition(_parallelism(q), "cell", spread)
     elif salts > 1:
         on = ["cell", "salt"]
-        asked = asked.withColumn("salt", F.pmod(F.xxhash64(first), F.lit(salts)).cast("int"))
+        asked = asked.withColumn("salt", F.pmod(spread, F.lit(salts)).cast("int"))
         blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = asked.join(blocks, on).select("cell", "qrows", "crows").mapInArrow(
-        meet, T.StructType([f for f in out.fields if f.name != "rank"]))
-    order = Window.partitionBy("qid").orderBy("dist", "nid")
-    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(*out.fieldNames())
+    met = asked.join(blocks, on).select("cell", "qrows", "crows").mapInArrow(meet, found)
+    order = Window.partitionBy("_hash", "qvec").orderBy("dist", "nid")
+    near = (met.withColumn("_hash", F.xxhash64("qvec"))
+            .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            # Not the window's own key, so that the join has an exchange on both sides and
+            # a vector shared by very many queries can be split at run time.
+            .withColumn("_join", F.xxhash64("_hash")).drop("_hash"))
+    back = q.withColumn("_join", F.xxhash64(F.xxhash64("qvec")))
+    return back.join(near, ["_join", "qvec"]).select(*out.fieldNames())
 
 
 def _pack_by_cell(rows: DataFrame, name: str, block_rows: int, *order: str) -> DataFrame:

@@ -68,7 +68,9 @@ def test_cells_never_miss_a_neighbour(seed, d, k, metric):
     cells = kernel.Cells.from_sample(points[rng.random(300) < 0.4], 2 * (k + 1), k + 1, metric)
     queries = np.concatenate([points[:40], rng.normal(size=(10, d)) * 50])
     home, radius = cells.home(points), cells.radius(queries, k)
-    qi, reached = cells.reached(queries, radius)
+    qi, reached, refined = cells.route(queries, k)
+    assert (refined <= radius).all()
+    radius = refined
     visited = set(zip(qi.tolist(), reached.tolist()))
     expected = brute_force(list(enumerate(queries)), list(enumerate(points)), k, metric)
     for query, near in expected.items():

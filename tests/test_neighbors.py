@@ -169,3 +169,16 @@ def test_k_1_agrees_with_the_smallest_distance(spark):
     found = knn_join(df, df, k=1, key="id", features=names(points), strategy="cells")
     assert found.count() == found.select("qid").distinct().count() == 120
     assert found.agg(F.min("dist")).first()[0] > 0
+
+
+SIGNED_ZEROS = np.array([[0.0, 1.0], [-0.0, 1.0], [3.0, 5.0], [-0.0, -0.0], [0.0, 0.0]])
+
+
+def test_signed_zeros_are_one_point(spark):
+    got = run(frame(spark, SIGNED_ZEROS), SIGNED_ZEROS, 4, strategy="broadcast")
+    assert got == expected(SIGNED_ZEROS, 4)
+
+
+def test_signed_zeros_in_cells(spark, small_limits):
+    got = run(frame(spark, SIGNED_ZEROS), SIGNED_ZEROS, 4, strategy="cells")
+    assert got == expected(SIGNED_ZEROS, 4)
