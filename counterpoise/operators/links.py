@@ -18,12 +18,10 @@ def check_mode(mode: str) -> str:
 
 
 def nearest_labels(df: DataFrame, key: str, features: Features, label: str, *,
-                   metric: str = "euclidean", strategy: str = "auto",
-                   n_rows: int | None = None) -> DataFrame:
+                   metric: str = "euclidean", strategy: str = "auto") -> DataFrame:
     """Every row with its nearest neighbour and both labels: (id, label, nid, nlabel, dist)."""
     found = knn_join(df, df, k=1, key=key, features=features, metric=metric,
-                     query_columns=[label], candidate_columns=[label],
-                     strategy=strategy, n_candidates=n_rows)
+                     query_columns=[label], candidate_columns=[label], strategy=strategy)
     return found.select(F.col("qid").alias("id"), F.col(f"q_{label}").alias("label"),
                         "nid", F.col(f"n_{label}").alias("nlabel"), "dist")
 

@@ -64,13 +64,12 @@ def knn_join(
     candidate_columns: Sequence[str] = (),
     vectors: bool = False,
     strategy: str = "auto",
-    n_candidates: int | None = None,
 ) -> DataFrame:
     """k nearest candidates of every query row.
 
     ``query_columns`` / ``candidate_columns`` travel along as ``q_<name>`` / ``n_<name>``,
     ``vectors`` adds both feature vectors as ``qvec`` and ``nvec``; carrying them saves
-    joining neighbours back to the table. ``n_candidates`` may pass a known row count.
+    joining neighbours back to the table.
     """
     check_metric(metric)
     if k < 1:
@@ -88,26 +87,33 @@ def knn_join(
 
     out = _found_schema(q, c, vectors)
     if strategy != "cells":
-        small = None
-        if strategy == "broadcast" or _may_broadcast(c, n_candidates):
-            small = _collect_small(c, k)
-        if small is not None:
-            return _broadcast_join(q, small, k, metric, out)
+        n, _, size = _measure(c)
+        if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+            return _broadcast_join(q, _collect_small(c, k), k, metric, out)
         if strategy == "broadcast":
-            raise ValueError(f"more than {BROADCAST_ROWS} candidate rows: too many to broadcast")
+            raise ValueError(f"{n} candidate rows of {size} bytes are too many to broadcast")
     return _cell_join(q, c, k, metric, out)
 
 
-def _may_broadcast(c: DataFrame, n_candidates: int | None) -> bool:
-    return (c.count() if n_candidates is None else n_candidates) <= BROADCAST_ROWS
-
-
-def _collect_small(c: DataFrame, k: int) -> pa.Table | None:
-    """The candidates in key order, or None when they exceed the proven bound."""
-    table = c.limit(BROADCAST_ROWS + 1).toArrow()
-    if table.num_rows > BROADCAST_ROWS or table.nbytes > BROADCAST_BYTES:
-        return None
-    table = table.sort_by("nid").combine_chunks()
+def _measure(c: DataFrame) -> tuple[int, int, float]:
+    """Rows, vector width and an upper bound of the bytes of a candidate frame."""
+    size = F.lit(8.0) * F.size("nvec")
+    for field in c.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0)) + 8
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            # A nested column other than the vector itself has no known bound.
+            size = size if field.name == "nvec" else size + F.lit(float("inf"))
+        else:
+            size = size + 16
+    row = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("nvec")).alias("width"),
+                F.sum(size).alias("bytes")).first()
+    return row["n"], row["width"] or 0, row["bytes"] or 0.0
+
+
+def _collect_small(c: DataFrame, k: int) -> pa.Table:
+    """Candidates of a measured size in key order, copies beyond the k-th left out."""
+    table = c.toArrow().sort_by("nid").combine_chunks()
     if not table.num_rows:
         return table
     points = kernel.matrix(table.column("nvec").combine_chunks())
@@ -157,8 +163,7 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
     c = materialize(c.withColumn("_hash", F.xxhash64("nvec"))
                     .withColumn("_copy", F.row_number().over(copies))
                     .where(F.col("_copy") <= k).drop("_hash", "_copy"))
-    size = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("nvec")).alias("d")).first()
-    n, d = size["n"], size["d"]
+    n, d, size = _measure(c)
     if not n:
         return q.sparkSession.createDataFrame([], out)
     tasks = TASKS_PER_SLOT * _parallelism(q)
@@ -234,8 +239,8 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
                           min(QUERY_BLOCK_ROWS, QUERY_BLOCK_BYTES // (8 * d) + 1))
     spread = F.xxhash64(F.col("qrows")[0]["qvec"])
     on = ["cell"]
-    if n * 16 * d <= BROADCAST_BYTES:
-        # Few enough candidates by count to hand out whole: spread the query blocks evenly.
+    if size <= BROADCAST_BYTES:
+        # The candidates were measured to be small enough to hand out whole: spread the query blocks evenly.
         blocks = F.broadcast(blocks)
         asked = asked.repartition(_parallelism(q), "cell", spread)
     elif salts > 1:

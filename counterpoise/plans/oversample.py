@@ -12,7 +12,7 @@ from counterpoise.functions.keys import with_row_key
 from counterpoise.materialize import materialize
 from counterpoise.operators.classes import (
     SamplingPlan, is_minority, majority_rows, minority_rows, partners_per_row, sampling_plan)
-from counterpoise.operators.neighbors import BROADCAST_ROWS, knn_join
+from counterpoise.operators.neighbors import knn_join
 from counterpoise.operators.sampling import (
     SEED, choose_nearest, choose_random, number_copies, replicate_rows, with_copies)
 from counterpoise.operators.synthesis import (
@@ -43,7 +43,7 @@ def chosen_partners(
     found = knn_join(
         with_copies(minority, key, plan.fraction, seed), minority,
         k=plan.n if choose == "nearest" else k, key=key, features=features, metric=metric,
-        query_columns=["copies"], vectors=True, strategy=strategy, n_candidates=plan.n_pos)
+        query_columns=["copies"], vectors=True, strategy=strategy)
     found = number_copies(found, "q_copies")
     found = found.select("qid", "copy", "rank", "nid", "dist", "qvec", "nvec")
     if choose == "nearest":
@@ -109,9 +109,8 @@ def oversample(
     check_metric(metric)
     plan = sampling_plan(df, label, minority, pct)
     columns = dict.fromkeys([key, *feature_names(df, features)])
-    rare = minority_rows(df, label, minority).select(*columns)
-    if plan.n_pos > BROADCAST_ROWS:
-        rare = materialize(rare)  # feeds cell cutting, the queries and the candidates
+    # Measured, cut into cells, searched and searched for: read the table for it only once.
+    rare = materialize(minority_rows(df, label, minority).select(*columns))
     made = synthetic_rows(rare, key, features, plan, k=k, seed=seed, choose=choose,
                           metric=metric, strategy=strategy)
     made = _labelled(made, F.lit(minority).cast(df.schema[label].dataType), "synthetic")
@@ -132,9 +131,7 @@ def oversample_keyless(
     check_metric(metric)
     plan = sampling_plan(df, label, minority, pct)
     values = _feature_values(df, features)
-    rare = with_row_key(minority_rows(df, label, minority).select(*values), "_key")
-    if plan.n_pos > BROADCAST_ROWS:
-        rare = materialize(rare)
+    rare = materialize(with_row_key(minority_rows(df, label, minority).select(*values), "_key"))
     made = synthetic_rows(rare, "_key", features, plan, k=k, seed=seed, choose=choose,
                           metric=metric, strategy=strategy).drop("id")
     name = F.lit(minority).cast(df.schema[label].dataType)

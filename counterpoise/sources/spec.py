@@ -13,8 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A spec is metadata: more categories than this in one column means it is no category.
-MAX_CATEGORIES = 100_000
+from counterpoise.materialize import materialize
+
+# A spec is metadata: a column with more categories than this is coded by a join instead
+# (``infer_codes`` and ``attach_codes``).
+MAX_CATEGORIES = 500
+MAX_SPEC_ROWS = 1_000_000
 
 SPEC_COLUMNS = ("pos", "name", "kind", "min", "max", "category", "code")
 
@@ -47,10 +51,9 @@ class Spec:
     @staticmethod
     def from_table(spec: DataFrame) -> Spec:
         """Bring a spec table to the driver; its size is checked first."""
-        limit = MAX_CATEGORIES * 10
-        rows = spec.select(*SPEC_COLUMNS).limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"the spec has more than {limit} rows")
+        rows = spec.select(*SPEC_COLUMNS).limit(MAX_SPEC_ROWS + 1).collect()
+        if len(rows) > MAX_SPEC_ROWS:
+            raise ValueError(f"the spec has more than {MAX_SPEC_ROWS} rows")
         by_pos: dict[int, list] = {}
         for row in rows:
             by_pos.setdefault(row["pos"], []).append(row)
@@ -154,21 +157,46 @@ def infer_ranges(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     return bounds.select(F.inline(F.array(*rows)))
 
 
-def infer_codes(df: DataFrame, nominal: Sequence[str],
-                max_categories: int = MAX_CATEGORIES) -> DataFrame:
-    """(name, category, code): 0-based codes in alphabetical order per column.
-
-    Only distinct categories are ranked, and a column with more than ``max_categories``
-    of them is refused rather than ranked in one task.
-    """
+def _categories(df: DataFrame, nominal: Sequence[str]) -> DataFrame:
+    """Distinct (name, category) of several columns, reduced map-side first."""
     pairs = F.array(*[F.struct(F.lit(c).alias("name"),
                                F.trim(F.col(c).cast("string")).alias("category"))
                       for c in nominal])
-    found = df.select(F.inline(pairs)).where(F.col("category").isNotNull()).distinct()
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("category")) - 1
-    code = F.when(rank < max_categories, rank).otherwise(F.raise_error(
-        F.concat(F.lit("too many categories for a nominal column: "), F.col("name"))))
-    return found.select("name", "category", code.cast("double").alias("code"))
+    return df.select(F.inline(pairs)).where(F.col("category").isNotNull()).distinct()
+
+
+def infer_codes(df: DataFrame, nominal: Sequence[str]) -> DataFrame:
+    """(name, category, code): 0-based codes in alphabetical order per column.
+
+    For columns with any number of categories: the distinct categories are laid out in
+    sorted ranges, numbered inside each range and shifted by the size of the ranges
+    before it. The layout is written down first, so that both steps see the same ranges.
+    """
+    ranges = materialize(_categories(df, nominal).repartitionByRange("name", "category")
+                         .withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("name", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = (Window.partitionBy("name").orderBy("_range")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("name", "_range",
+                           F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("name", "_range").orderBy("category")
+    numbered = ranges.withColumn("_i", F.row_number().over(inside) - 1)
+    return numbered.join(offsets, ["name", "_range"]).select(
+        "name", "category", (F.col("_before") + F.col("_i")).cast("double").alias("code"))
+
+
+def few_codes(df: DataFrame, nominal: Sequence[str],
+              max_categories: int = MAX_CATEGORIES) -> DataFrame:
+    """The same for columns with few categories; more than ``max_categories`` is an error.
+
+    The rank limit reaches below the shuffle, so no task sees more than a few of them.
+    """
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("category"))
+    ranked = _categories(df, nominal).withColumn("_i", rank)
+    ranked = ranked.where(F.col("_i") <= max_categories + 1)
+    code = F.when(F.col("_i") <= max_categories, F.col("_i") - 1).otherwise(F.raise_error(
+        F.concat(F.lit("too many categories for a spec: "), F.col("name"))))
+    return ranked.select("name", "category", code.cast("double").alias("code"))
 
 
 def infer_spec(df: DataFrame, numeric: Sequence[str], nominal: Sequence[str],
@@ -178,10 +206,12 @@ def infer_spec(df: DataFrame, numeric: Sequence[str], nominal: Sequence[str],
     position = F.create_map(*[F.lit(x) for item in order.items() for x in item])
     none = F.lit(None)
     kind = F.when(F.col("name") == label, "class").otherwise("nominal")
-    ranges = infer_ranges(df, numeric).select(
-        position[F.col("name")].alias("pos"), "name", F.lit("numeric").alias("kind"),
-        "min", "max", none.cast("string").alias("category"), none.cast("double").alias("code"))
-    codes = infer_codes(df, [*nominal, label]).select(
+    codes = few_codes(df, [*nominal, label]).select(
         position[F.col("name")].alias("pos"), "name", kind.alias("kind"),
         none.cast("double").alias("min"), none.cast("double").alias("max"), "category", "code")
-    return ranges.unionByName(codes) if numeric else codes
+    if not numeric:
+        return codes
+    return infer_ranges(df, numeric).select(
+        position[F.col("name")].alias("pos"), "name", F.lit("numeric").alias("kind"),
+        "min", "max", none.cast("string").alias("category"), none.cast("double").alias("code"),
+    ).unionByName(codes)

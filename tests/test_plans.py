@@ -61,10 +61,9 @@ def test_strategies_and_partitions_agree(spark, imbalanced, pct):
     assert all(r == results[0] for r in results)
 
 
-def test_large_minority_is_materialized(spark, imbalanced, monkeypatch):
+def test_large_minority_is_cut_into_cells(spark, imbalanced, monkeypatch):
     whole = sorted(oversample(imbalanced, "id", ["x", "y"], "label", "positive", 25).collect())
-    for module in (neighbors, O):
-        monkeypatch.setattr(module, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(neighbors, "BROADCAST_ROWS", 10)
     monkeypatch.setattr(neighbors, "CELL_ROWS", 20)
     cut = oversample(imbalanced, "id", ["x", "y"], "label", "positive", 25)
     assert sorted(cut.collect()) == whole

@@ -116,8 +116,23 @@ def test_spec_from_data(spark, spec):
     assert inferred.attributes[1].categories == ("a", "b")
     coded = E.attach_codes(df, S.infer_codes(df, ["c"]), ["c"])
     assert sorted(r["c_code"] for r in coded.collect()) == [0.0, 1.0, 1.0]
+    assert sorted(map(tuple, S.few_codes(df, ["c", "y"], 2).collect())) == sorted(
+        map(tuple, S.infer_codes(df, ["c", "y"]).collect()))
     with pytest.raises(Exception, match="too many categories"):
-        S.infer_codes(df, ["c"], max_categories=1).collect()
+        S.few_codes(df, ["c"], max_categories=1).collect()
+
+
+def test_codes_over_many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(3000).select((F.col("id") % 1000).cast("string").alias("a"),
+                                      (F.col("id") % 7).cast("string").alias("b"))
+        codes = S.infer_codes(df, ["a", "b"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for name, n in (("a", 1000), ("b", 7)):
+        expected = {c: float(i) for i, c in enumerate(sorted(str(x) for x in range(n)))}
+        assert {r["category"]: r["code"] for r in codes if r["name"] == name} == expected
 
 
 def test_encoding_a_stream(spark, spec, tmp_path):
