@@ -99,8 +99,10 @@ def nearest(q: np.ndarray, c: np.ndarray, k: int, metric: str, radius: np.ndarra
     found = []
     step = max(1, TILE // max(1, len(c)))
     # Of the 2k nearest points at most k are copies of the query itself, so the 2k-th
-    # distance, even among a part of the candidates, bounds the k-th true neighbour.
-    stride = max(1, min(8, len(c) // max(256, 16 * k)))
+    # distance, even among a part of the candidates, bounds the k-th true neighbour. Wide
+    # points are dear to look at exactly, so there all candidates are asked.
+    stride = max(1, min(8, len(c) // max(256, 16 * k))) if q.shape[-1] <= 16 else 1
+    columns = np.ascontiguousarray(c.T)
     with np.errstate(over="ignore"):
         norms = np.einsum("ij,ij->i", c, c) if len(c) else np.empty(0)
     for start in range(0, len(q) if len(c) else 0, step):
@@ -113,8 +115,9 @@ def nearest(q: np.ndarray, c: np.ndarray, k: int, metric: str, radius: np.ndarra
                 bound = np.minimum(bound, raw_bound(radius[start:start + step], metric))
             close = rough <= (bound + slack - shift)[:, None]
         qi, ci = np.divmod(np.flatnonzero(close), len(c))
+        own = np.ascontiguousarray(part.T)
         with np.errstate(invalid="ignore", over="ignore"):
-            raw = raw_distance((part[qi, j] - c[ci, j] for j in range(q.shape[1])), metric)
+            raw = raw_distance((x[qi] - y[ci] for x, y in zip(own, columns)), metric)
         valid = raw > floor_of(metric)
         dist = rounded(raw, metric)
         if radius is not None:
@@ -259,14 +262,16 @@ class Cells:
             qi, node, gap = qi[inside], node[inside], gap[inside]
         return tuple(np.concatenate(part) for part in zip(*done))
 
-    def route(self, q: np.ndarray, k: int):
+    def route(self, q: np.ndarray, k: int, refine: bool = True):
         """Which cells each query must visit: (query position, cell, radius per query).
 
-        The home cell's sample gives a first radius; the samples of the cells within it
-        then give the k-th nearest sample point of all, which is tighter.
+        The home cell's sample gives a first radius; with ``refine`` the samples of the
+        cells within it then give the k-th nearest sample point of all, which is tighter.
         """
         radius = self.radius(q, k)
         qi, cell, gap = self.reached(q, radius)
+        if not refine:
+            return qi, cell, radius
         order = np.argsort(qi, kind="stable")
         qi, cell, gap = qi[order], cell[order], gap[order]
         near = [np.empty((0, k), np.float32)]

@@ -167,7 +167,8 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
     if not n:
         return q.sparkSession.createDataFrame([], out)
     tasks = TASKS_PER_SLOT * _parallelism(q)
-    if d <= PRUNED_WIDTH:
+    prune = d <= PRUNED_WIDTH
+    if prune:
         wanted, salts = -(-n // CELL_ROWS), 1
     else:
         # Boxes prune little in many dimensions: nearly every query visits every cell.
@@ -191,7 +192,7 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
         for batch in batches:
             for start in range(0, batch.num_rows, ROUTE_ROWS):
                 part = batch.slice(start, ROUTE_ROWS)
-                qi, cell, radius = grid.route(kernel.matrix(part.column("qvec")), k)
+                qi, cell, radius = grid.route(kernel.matrix(part.column("qvec")), k, prune)
                 for at in range(0, len(qi), SENT_ROWS):
                     rows = qi[at:at + SENT_ROWS]
                     sent = part.take(pa.array(rows))
@@ -200,10 +201,13 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
                          pa.array(radius[rows]), *sent.columns],
                         names=["cell", "radius", *sent.schema.names])
 
-    # What is found per distinct query vector; the query's own columns come back by a join.
-    vectors = q.select("qvec").distinct()
-    found = T.StructType([vectors.schema["qvec"], T.StructField("dist", T.FloatType()),
-                          *[f for f in c.schema.fields if f.name in out.fieldNames()]])
+    # Neighbours are found per distinct query vector, which two independent 64-bit hashes
+    # stand for from here on; the query's own columns come back by a join on them.
+    q = q.withColumns({"_h1": F.xxhash64("qvec"), "_h2": F.xxhash64(F.lit("second"), "qvec")})
+    vectors = q.select("_h1", "_h2", "qvec").distinct()
+    found = T.StructType([
+        vectors.schema["_h1"], vectors.schema["_h2"], T.StructField("dist", T.FloatType()),
+        *[f for f in c.schema.fields if f.name in out.fieldNames()]])
     names = found.fieldNames()
 
     def meet(batches):
@@ -237,10 +241,11 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
     blocks = _pack_by_cell(housed, "crows", min(BLOCK_ROWS, BLOCK_BYTES // (8 * d) + 1), "nid")
     asked = _pack_by_cell(routed, "qrows",
                           min(QUERY_BLOCK_ROWS, QUERY_BLOCK_BYTES // (8 * d) + 1))
-    spread = F.xxhash64(F.col("qrows")[0]["qvec"])
+    spread = F.col("qrows")[0]["_h1"]
     on = ["cell"]
     if size <= BROADCAST_BYTES:
-        # The candidates were measured to be small enough to hand out whole: spread the query blocks evenly.
+        # The candidates were measured to be small enough to hand out whole: spread the
+        # query blocks evenly.
         blocks = F.broadcast(blocks)
         asked = asked.repartition(_parallelism(q), "cell", spread)
     elif salts > 1:
@@ -248,14 +253,14 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
         asked = asked.withColumn("salt", F.pmod(spread, F.lit(salts)).cast("int"))
         blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = asked.join(blocks, on).select("cell", "qrows", "crows").mapInArrow(meet, found)
-    order = Window.partitionBy("_hash", "qvec").orderBy("dist", "nid")
-    near = (met.withColumn("_hash", F.xxhash64("qvec"))
-            .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            # Not the window's own key, so that the join has an exchange on both sides and
-            # a vector shared by very many queries can be split at run time.
-            .withColumn("_join", F.xxhash64("_hash")).drop("_hash"))
-    back = q.withColumn("_join", F.xxhash64(F.xxhash64("qvec")))
-    return back.join(near, ["_join", "qvec"]).select(*out.fieldNames())
+    order = Window.partitionBy("_h1", "_h2").orderBy("dist", "nid")
+    near = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # Joined on the swapped pair, which is not the window's own partitioning: so the join
+    # has an exchange on both sides, and a vector shared by very many queries can be split
+    # at run time.
+    near = near.withColumn("_join", F.xxhash64("_h2", "_h1"))
+    back = q.withColumn("_join", F.xxhash64("_h2", "_h1"))
+    return back.join(near, ["_join", "_h1", "_h2"]).select(*out.fieldNames())
 
 
 def _pack_by_cell(rows: DataFrame, name: str, block_rows: int, *order: str) -> DataFrame:
