@@ -24,7 +24,7 @@ from counterpoise.queries import QUERIES  # noqa: E402
 HEADLINE = [
     "q_smote", "q_smote_over100", "q_smote_random", "q_smote_lineitem", "q_smote_multiclass",
     "q_smote_tomek", "q_knn_euclidean", "q_knn_manhattan", "q_knn_embeddings", "q_nn1",
-    "q_tomek_clean", "q_tomek_report", "q_tomek_orders", "q_encode", "q_minmax",
+    "q_knn_cells", "q_tomek_clean", "q_tomek_report", "q_tomek_orders", "q_encode", "q_minmax",
     "q_encode_docs", "q_class_counts", "q_sample_replicate", "q_dist_euclidean", "q_row_key",
 ]
 

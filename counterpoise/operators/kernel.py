@@ -296,6 +296,31 @@ class Cells:
         return qi[keep], cell[keep], radius
 
 
+def nearest_in_cells(q: np.ndarray, c: np.ndarray, cells: Cells, starts: np.ndarray,
+                     order: np.ndarray, k: int, metric: str):
+    """``nearest`` over candidates laid out cell by cell.
+
+    ``starts`` says where each cell's rows begin in ``c``, and ``order`` gives every row's
+    place in key order; rows of a cell are in key order.
+    """
+    qi, cell, radius = cells.route(q, k)
+    by_cell = np.argsort(cell, kind="stable")
+    qi, cell = qi[by_cell], cell[by_cell]
+    cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else []
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+    for first, end in zip(cuts, np.r_[cuts[1:], len(cell)]):
+        asked, at = qi[first:end], cell[first]
+        near, ci, dist, _ = nearest(q[asked], c[starts[at]:starts[at + 1]], k, metric,
+                                    radius[asked])
+        found.append((asked[near], ci + starts[at], dist))
+    qi, ci, dist = (np.concatenate(part) for part in zip(*found))
+    best = np.lexsort((order[ci], dist, qi))
+    qi, ci, dist = qi[best], ci[best], dist[best]
+    rank = (np.arange(len(qi)) - np.searchsorted(qi, qi) + 1).astype(np.int32)
+    keep = rank <= k
+    return qi[keep], ci[keep], dist[keep], rank[keep]
+
+
 def tighten(best: np.ndarray, qi: np.ndarray, dist: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Fold newly found distances into each query's k smallest so far."""
     new = np.full_like(best, np.inf)

@@ -7,8 +7,8 @@ than k neighbours returns those it has.
 
 Two ways to run, one result:
 
-``broadcast``  the candidate side is small by count, so it travels to every task and
-               nothing but the queries moves.
+``broadcast``  the candidate side was measured to be small, so it travels to every task
+               and nothing but the queries moves.
 ``cells``      space is cut into cells of similar candidate load. Every query is sent to
                the cells its k nearest can lie in, blocks of queries meet blocks of
                candidates in an equi-join on the cell, and a window merges the lists.
@@ -32,8 +32,7 @@ from counterpoise.operators import kernel
 
 STRATEGIES = ("auto", "broadcast", "cells")
 
-# Candidate rows and bytes that may travel to every task.
-BROADCAST_ROWS = 32_768
+# Candidate bytes that may travel to every task.
 BROADCAST_BYTES = 32 << 20
 # Up to this width cells are small and prune well; beyond it they are few and large.
 PRUNED_WIDTH = 8
@@ -88,8 +87,8 @@ def knn_join(
     out = _found_schema(q, c, vectors)
     if strategy != "cells":
         n, _, size = _measure(c)
-        if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
-            return _broadcast_join(q, _collect_small(c, k), k, metric, out)
+        if size <= BROADCAST_BYTES:
+            return _broadcast_join(q, c, k, metric, out)
         if strategy == "broadcast":
             raise ValueError(f"{n} candidate rows of {size} bytes are too many to broadcast")
     return _cell_join(q, c, k, metric, out)
@@ -111,15 +110,6 @@ def _measure(c: DataFrame) -> tuple[int, int, float]:
     return row["n"], row["width"] or 0, row["bytes"] or 0.0
 
 
-def _collect_small(c: DataFrame, k: int) -> pa.Table:
-    """Candidates of a measured size in key order, copies beyond the k-th left out."""
-    table = c.toArrow().sort_by("nid").combine_chunks()
-    if not table.num_rows:
-        return table
-    points = kernel.matrix(table.column("nvec").combine_chunks())
-    return table.take(pa.array(kernel.at_most_k_copies(points, k))).combine_chunks()
-
-
 def _found_schema(q: DataFrame, c: DataFrame, vectors: bool) -> T.StructType:
     types = {f.name: f.dataType for f in [*q.schema.fields, *c.schema.fields]}
     types |= {"rank": T.IntegerType(), "dist": T.FloatType()}
@@ -134,21 +124,49 @@ def _parallelism(df: DataFrame) -> int:
                int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _broadcast_join(q: DataFrame, small: pa.Table, k: int, metric: str,
+def _broadcast_join(q: DataFrame, c: DataFrame, k: int, metric: str,
                     out: T.StructType) -> DataFrame:
-    shared = q.sparkSession.sparkContext.broadcast(small)
+    """Join with candidates whose size was measured: they are handed to every task.
+
+    In key order, with copies beyond the k-th left out; many narrow ones are laid out cell
+    by cell, so that a query looks at a few cells only.
+    """
+    table = c.toArrow().sort_by("nid").combine_chunks()
+    points = kernel.matrix(table.column("nvec").combine_chunks()) if table.num_rows else None
+    cells = starts = order = None
+    if points is not None:
+        order = kernel.at_most_k_copies(points, k)
+        points = points[order]
+        n, d = points.shape
+        if n >= 8 * CELL_ROWS and d <= PRUNED_WIDTH:
+            per_cell = _sample_per_cell(k)
+            step = max(1, CELL_ROWS // per_cell)
+            cells = kernel.Cells.from_sample(points[::step], per_cell, k + 1, metric)
+            home = cells.home(points)
+            by_cell = np.argsort(home, kind="stable")
+            order, points = order[by_cell], points[by_cell]
+            starts = np.searchsorted(home[by_cell], np.arange(len(cells.points) + 1))
+        table = table.take(pa.array(order)).combine_chunks()
+    shared = q.sparkSession.sparkContext.broadcast(
+        (table, points, cells and vars(cells), starts, order))
     names = out.fieldNames()
 
     def run(batches):
-        rows = shared.value.combine_chunks().to_batches()
+        table, points, cells, starts, order = shared.value
+        if points is None:
+            return
+        grid = cells and kernel.Cells(**cells)
+        rows = table.to_batches()[0]
         for batch in batches:
-            if not batch.num_rows or not rows:
+            if not batch.num_rows:
                 continue
-            qi, ci, dist, rank = kernel.nearest(
-                kernel.matrix(batch.column("qvec")), kernel.matrix(rows[0].column("nvec")),
-                k, metric)
-            yield kernel.side_by_side(batch, pa.array(qi), rows[0], pa.array(ci), dist, rank,
-                                      names)
+            asked = kernel.matrix(batch.column("qvec"))
+            if grid is None:
+                qi, ci, dist, rank = kernel.nearest(asked, points, k, metric)
+            else:
+                qi, ci, dist, rank = kernel.nearest_in_cells(
+                    asked, points, grid, starts, order, k, metric)
+            yield kernel.side_by_side(batch, pa.array(qi), rows, pa.array(ci), dist, rank, names)
 
     # The work per query is far larger than the row, so spread queries by key rather
     # than by input split.
@@ -163,7 +181,7 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
     c = materialize(c.withColumn("_hash", F.xxhash64("nvec"))
                     .withColumn("_copy", F.row_number().over(copies))
                     .where(F.col("_copy") <= k).drop("_hash", "_copy"))
-    n, d, size = _measure(c)
+    n, d, _ = _measure(c)
     if not n:
         return q.sparkSession.createDataFrame([], out)
     tasks = TASKS_PER_SLOT * _parallelism(q)
@@ -241,16 +259,11 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
     blocks = _pack_by_cell(housed, "crows", min(BLOCK_ROWS, BLOCK_BYTES // (8 * d) + 1), "nid")
     asked = _pack_by_cell(routed, "qrows",
                           min(QUERY_BLOCK_ROWS, QUERY_BLOCK_BYTES // (8 * d) + 1))
-    spread = F.col("qrows")[0]["_h1"]
     on = ["cell"]
-    if size <= BROADCAST_BYTES:
-        # The candidates were measured to be small enough to hand out whole: spread the
-        # query blocks evenly.
-        blocks = F.broadcast(blocks)
-        asked = asked.repartition(_parallelism(q), "cell", spread)
-    elif salts > 1:
+    if salts > 1:
         on = ["cell", "salt"]
-        asked = asked.withColumn("salt", F.pmod(spread, F.lit(salts)).cast("int"))
+        salt = F.pmod(F.col("qrows")[0]["_h1"], F.lit(salts)).cast("int")
+        asked = asked.withColumn("salt", salt)
         blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = asked.join(blocks, on).select("cell", "qrows", "crows").mapInArrow(meet, found)
     order = Window.partitionBy("_h1", "_h2").orderBy("dist", "nid")
@@ -281,9 +294,13 @@ def _pack_by_cell(rows: DataFrame, name: str, block_rows: int, *order: str) -> D
             .mapInArrow(run, packed).withColumnRenamed("rows", name))
 
 
+def _sample_per_cell(k: int) -> int:
+    return max(32, 2 * (k + 1))
+
+
 def _cut_cells(c: DataFrame, n: int, d: int, wanted: int, k: int, metric: str) -> kernel.Cells:
     """About ``wanted`` cells, cut from a candidate sample whose size is bounded."""
-    per_cell = max(32, 2 * (k + 1))
+    per_cell = _sample_per_cell(k)
     wanted = min(wanted, MAX_CELLS, max(1, SAMPLE_BYTES // (8 * d * per_cell)))
     share = min(1.0, wanted * per_cell / n)
     draw = F.pmod(F.xxhash64("nid"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))

@@ -50,8 +50,12 @@ def q_tomek_report(spark, folder):
 
 
 def q_tomek_orders(spark, folder):
+    return link_clean(V.orders_status(spark, folder), "id", V.ORDER_FEATURES, "label")
+
+
+def q_tomek_cells(spark, folder):
     return link_clean(V.orders_status(spark, folder), "id", V.ORDER_FEATURES, "label",
-                      strategy="cells")
+                      mode="mutual", strategy="cells")
 
 
 def q_smote_tomek(spark, folder):
@@ -94,6 +98,9 @@ ORACLE = {
     "q_tomek_orders": f"""WITH {V.ORDERS_STATUS}, {links_sql('orders_status', V.ORDER_FEATURES)}
         SELECT id, o_totalprice, o_custkey::BIGINT AS o_custkey, label FROM orders_status
         WHERE id NOT IN (SELECT id FROM removed)""",
+    "q_tomek_cells": f"""WITH {V.ORDERS_STATUS}, {links_sql('orders_status', V.ORDER_FEATURES)}
+        SELECT id, o_totalprice, o_custkey::BIGINT AS o_custkey, label FROM orders_status
+        WHERE id NOT IN (SELECT low FROM mutual UNION SELECT high FROM mutual)""",
     "q_smote_tomek": f"""WITH {smote_sql(*PART, PCT)},
         {links_sql('balanced', V.PART_FEATURES).replace('nn AS', 'near AS', 1)
          .replace('FROM nn JOIN', 'FROM near JOIN')}

@@ -98,3 +98,20 @@ def test_pack_bounds_blocks():
     assert [x for _, xs in blocks for x in xs] == list(range(1000))
     assert all(cells[x] == cell for cell, xs in blocks for x in xs)
     assert len(blocks) <= 5 + 1000 // 64
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_candidates_laid_out_in_cells(k):
+    rng = np.random.default_rng(k)
+    points = rng.normal(size=(900, 3)).round(1)
+    order = kernel.at_most_k_copies(points, k)
+    cells = kernel.Cells.from_sample(points[::7], 2 * (k + 1), k + 1, "euclidean")
+    home = cells.home(points[order])
+    order = order[np.argsort(home, kind="stable")]
+    starts = np.searchsorted(np.sort(home), np.arange(len(cells.points) + 1))
+    got = {}
+    for qi, ci, dist, _ in zip(*kernel.nearest_in_cells(
+            points, points[order], cells, starts, order, k, "euclidean")):
+        got.setdefault(int(qi), []).append((int(order[ci]), float(dist)))
+    rows = list(enumerate(points))
+    assert got == brute_force(rows, rows, k)

@@ -155,7 +155,7 @@ def test_wrong_arguments(spark):
 
 
 def test_broadcast_is_refused_beyond_its_bound(spark, monkeypatch):
-    monkeypatch.setattr(neighbors, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(neighbors, "BROADCAST_BYTES", 100)
     points = np.random.default_rng(6).normal(size=(30, 1))
     df = frame(spark, points)
     with pytest.raises(ValueError):
@@ -182,3 +182,13 @@ def test_signed_zeros_are_one_point(spark):
 def test_signed_zeros_in_cells(spark, small_limits):
     got = run(frame(spark, SIGNED_ZEROS), SIGNED_ZEROS, 4, strategy="cells")
     assert got == expected(SIGNED_ZEROS, 4)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_broadcast_candidates_laid_out_in_cells(spark, monkeypatch, metric):
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 40)
+    rng = np.random.default_rng(8)
+    points = np.concatenate([rng.normal(size=(500, 2)).round(1), np.ones((100, 2))])
+    keys = [f"k{i}" for i in rng.permutation(600)]
+    got = run(frame(spark, points, keys), points, 3, metric=metric, strategy="broadcast")
+    assert got == expected(points, 3, metric, keys)

@@ -63,7 +63,7 @@ def test_strategies_and_partitions_agree(spark, imbalanced, pct):
 
 def test_large_minority_is_cut_into_cells(spark, imbalanced, monkeypatch):
     whole = sorted(oversample(imbalanced, "id", ["x", "y"], "label", "positive", 25).collect())
-    monkeypatch.setattr(neighbors, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(neighbors, "BROADCAST_BYTES", 100)
     monkeypatch.setattr(neighbors, "CELL_ROWS", 20)
     cut = oversample(imbalanced, "id", ["x", "y"], "label", "positive", 25)
     assert sorted(cut.collect()) == whole
