@@ -136,10 +136,12 @@ def nearest(q: np.ndarray, c: np.ndarray, k: int, metric: str, radius: np.ndarra
 
 def at_most_k_copies(points: np.ndarray, k: int) -> np.ndarray:
     """Positions of the first k rows of every distinct point, in order."""
-    _, group = np.unique(points, axis=0, return_inverse=True)
-    group = group.ravel()
-    order = np.argsort(group, kind="stable")
-    rank = np.arange(len(group)) - np.searchsorted(group[order], group[order])
+    if not len(points):
+        return np.empty(0, np.int64)
+    order = np.lexsort(points.T)  # stable: copies stay in their order
+    by_point = points[order]
+    new = np.r_[True, (by_point[1:] != by_point[:-1]).any(axis=1)]
+    rank = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
     return np.sort(order[rank < k])
 
 
@@ -328,6 +330,19 @@ def tighten(best: np.ndarray, qi: np.ndarray, dist: np.ndarray, rank: np.ndarray
     return np.sort(np.concatenate([best, new], axis=1), axis=1)[:, :best.shape[1]]
 
 
+def larger(batches, rows: int, size: int):
+    """Join small batches up to about ``rows`` rows or ``size`` bytes."""
+    held, n, held_bytes = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n, held_bytes = n + batch.num_rows, held_bytes + batch.nbytes
+        if n >= rows or held_bytes >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, held_bytes = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def pack(batches, block_rows: int):
     """Turn rows sorted by cell into one row per (cell, block of at most ``block_rows``)."""
     held = None

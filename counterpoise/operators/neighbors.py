@@ -157,7 +157,7 @@ def _broadcast_join(q: DataFrame, c: DataFrame, k: int, metric: str,
             return
         grid = cells and kernel.Cells(**cells)
         rows = table.to_batches()[0]
-        for batch in batches:
+        for batch in kernel.larger(batches, SENT_ROWS, BROADCAST_BYTES):
             if not batch.num_rows:
                 continue
             asked = kernel.matrix(batch.column("qvec"))
