@@ -134,17 +134,40 @@ def nearest(q: np.ndarray, c: np.ndarray, k: int, metric: str, radius: np.ndarra
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
+def group_copies(points: np.ndarray):
+    """Rows sorted by point, copies in their order, and where each distinct point begins."""
+    order = np.lexsort(points.T)
+    by_point = points[order]
+    new = np.r_[True, (by_point[1:] != by_point[:-1]).any(axis=1)]
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def at_most_k_copies(points: np.ndarray, k: int) -> np.ndarray:
     """Positions of the first k rows of every distinct point, in order."""
     if not len(points):
         return np.empty(0, np.int64)
-    order = np.lexsort(points.T)  # stable: copies stay in their order
-    by_point = points[order]
-    new = np.r_[True, (by_point[1:] != by_point[:-1]).any(axis=1)]
-    rank = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    order, starts, group = group_copies(points)
+    rank = np.arange(len(order)) - starts[group]
     return np.sort(order[rank < k])
 
 
+def once_per_point(q: np.ndarray, search):
+    """Run ``search`` on the distinct query points and give every copy its result."""
+    if not len(q):
+        return search(q)
+    order, starts, group = group_copies(q)
+    if len(starts) == len(q):
+        return search(q)
+    near, ci, dist, rank = search(q[order[starts]])
+    first = np.searchsorted(near, np.arange(len(starts) + 1))
+    which = np.empty(len(q), np.int64)
+    which[order] = group
+    size = np.diff(first)[which]
+    qi = np.repeat(np.arange(len(q)), size)
+    at = np.arange(len(qi)) - np.repeat(np.cumsum(size) - size, size) + first[which[qi]]
+    return qi, ci[at], dist[at], rank[at]
+
+
 def best_cut(part: np.ndarray, per_cell: int, min_cell: int):
     """Median cut of the widest feature that leaves enough points on both sides."""
     if len(part) <= per_cell:

@@ -157,15 +157,17 @@ def _broadcast_join(q: DataFrame, c: DataFrame, k: int, metric: str,
             return
         grid = cells and kernel.Cells(**cells)
         rows = table.to_batches()[0]
+
+        def search(asked):
+            if grid is None:
+                return kernel.nearest(asked, points, k, metric)
+            return kernel.nearest_in_cells(asked, points, grid, starts, order, k, metric)
+
         for batch in kernel.larger(batches, SENT_ROWS, BROADCAST_BYTES):
             if not batch.num_rows:
                 continue
-            asked = kernel.matrix(batch.column("qvec"))
-            if grid is None:
-                qi, ci, dist, rank = kernel.nearest(asked, points, k, metric)
-            else:
-                qi, ci, dist, rank = kernel.nearest_in_cells(
-                    asked, points, grid, starts, order, k, metric)
+            qi, ci, dist, rank = kernel.once_per_point(
+                kernel.matrix(batch.column("qvec")), search)
             yield kernel.side_by_side(batch, pa.array(qi), rows, pa.array(ci), dist, rank, names)
 
     # The work per query is far larger than the row, so spread queries by key rather

@@ -115,3 +115,18 @@ def test_candidates_laid_out_in_cells(k):
         got.setdefault(int(qi), []).append((int(order[ci]), float(dist)))
     rows = list(enumerate(points))
     assert got == brute_force(rows, rows, k)
+
+
+def test_copies_among_queries_are_searched_once():
+    rng = np.random.default_rng(3)
+    points = rng.integers(0, 5, size=(200, 2)).astype(float)
+    sizes = []
+
+    def search(asked):
+        sizes.append(len(asked))
+        return kernel.nearest(asked, points[kernel.at_most_k_copies(points, 3)], 3, "euclidean")
+
+    got, want = kernel.once_per_point(points, search), search(points)
+    assert sizes == [25, 200]
+    for a, b in zip(got, want):
+        assert a.tolist() == b.tolist()
