@@ -1,9 +1,9 @@
 """Queries of this package by name, with SQL where it can say the same."""
 
 import corpus_pipeline
-from counterpoise.llm import packing, separators
+from counterpoise.llm import packing, quality, separators, simhash, toxicity
 
-MODULES = (separators, packing)
+MODULES = (separators, toxicity, quality, simhash, packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 QUERIES["pipeline"] = corpus_pipeline.run
