@@ -29,14 +29,15 @@ FIT_BYTES = 32_000
 #: Least bytes of a window; words are not cut.
 WINDOW = 64
 
-#: Length of the byte strings by which toxic text is told from ordinary text, the share of
-#: toxic rows that must hold one, and how much more often they do than ordinary rows.
-GRAM, GRAM_SHARE, GRAM_LIFT = 5, 0.005, 20.0
+#: Length of the byte strings that mark toxic text (a word counts with a blank before it),
+#: the share of toxic rows that must hold one, and how much more often than in ordinary
+#: text it must occur per word.
+GRAM, GRAM_SHARE, GRAM_LIFT = 5, 0.03, 10.0
 
-ORDINARY_DICTIONARY, TOXIC_DICTIONARY = 32_768, 4_096
+ORDINARY_DICTIONARY, TOXIC_DICTIONARY = 32_768, 1_024
 
 #: Bytes that a window must be shorter by before the difference counts.
-NOISE = 2
+NOISE = 1
 
 
 def lowered(text: str | None) -> bytes:
@@ -62,15 +63,37 @@ def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
-def _grams(text: bytes) -> set[bytes]:
-    words = set(_WORD.findall(text))
-    return {w[k:k + GRAM] for w in words for k in range(len(w) - GRAM + 1)}
+def _words(text: bytes) -> list[bytes]:
+    return [b" " + w for w in _WORD.findall(text)]
+
+
+def _occurrences(texts: list[bytes]) -> tuple[Counter, Counter, int]:
+    """Of byte strings: how often they occur and in how many texts; the number of words."""
+    often, held, total = Counter(), Counter(), 0
+    for text in texts:
+        own: Counter = Counter()
+        for word, n in Counter(_words(text)).items():
+            total += n
+            for gram in {word[k:k + GRAM] for k in range(len(word) - GRAM + 1)}:
+                own[gram] += n
+        often.update(own)
+        held.update(own.keys())
+    return often, held, total
+
+
+def _marks(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
+    """Byte strings that toxic texts have much more often than ordinary ones."""
+    often, held, words = _occurrences(toxic)
+    other, _, rest = _occurrences(ordinary)
+    least = max(3, GRAM_SHARE * len(toxic))
+    return {g for g, n in often.items() if held[g] >= least
+            and n / max(1, words) > GRAM_LIFT * (other[g] + 1) / max(1, rest)}
 
 
 def _own_parts(text: bytes, own: set[bytes]) -> list[bytes]:
     """The longest parts of the words of ``text`` that strings of ``own`` cover."""
     out = []
-    for word in _WORD.findall(text):
+    for word in _words(text):
         end = start = -1
         for k in range(len(word) - GRAM + 1):
             if word[k:k + GRAM] in own:
@@ -164,15 +187,9 @@ def fit(toxic: list[bytes], ordinary: list[bytes], n_toxic: int, n_ordinary: int
         return Toxicity(b" ", b" ", (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0))
     train = [toxic[::2], ordinary[::2]]
     check = [toxic[1::2] or toxic, ordinary[1::2] or ordinary]
-    seen = [Counter(), Counter()]
-    for k in range(2):
-        for text in train[k]:
-            seen[k].update(_grams(text))
-    least = max(2, GRAM_SHARE * len(train[0]))
-    own = {g for g, n in seen[0].items() if n >= least and n / len(train[0]) > GRAM_LIFT * (
-        seen[1][g] + 0.5) / len(train[1])}
+    own = _marks(*train)
     parts = [p for text in train[0] for p in _own_parts(text, own)]
-    plain = [w for text in train[1] for w in windows(text)]
+    plain = [w for text in train[1] for w in windows(text) if not _own_parts(w, own)]
     model = Toxicity(_trained(ORDINARY_DICTIONARY, plain[:60_000]),
                      _trained(TOXIC_DICTIONARY, parts) or b" ", (0.0,) * 4)
     both = model.compressors()
