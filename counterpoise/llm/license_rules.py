@@ -47,14 +47,14 @@ artistic-2.0 | artistic license | under the terms of the artistic license(?: ver
 ofl-1.1 | open font license | this font software is licensed under the sil open font license version 1 1
 python-2.0 | python software foundation | python software foundation license version 2
 openssl | openssl toolkit | this product includes software developed by the openssl project for use in the openssl toolkit
-ms-pl | microsoft public license | this license governs use of the accompanying software
+ms-pl | license governs use | this license governs use of the accompanying software
 proprietary | confidential | this (?:document|file|software|work) (?:is|contains) (?:strictly )?(?:proprietary and )?confidential
-proprietary | written permission | no part of this (?:book|publication|document|work|article) may be reproduced
+proprietary | may be reproduced | no part of this (?:book|publication|document|work|article) may be reproduced
 proprietary | written permission | without (?:the )?(?:express(?:ed)? |prior )+written permission
 proprietary | unauthori | unauthori[sz]ed (?:copying|reproduction|distribution|use)(?: or (?:copying|reproduction|distribution|use))* (?:of this \w+ )?is (?:strictly )?prohibited
-personal-use | personal use | for (?:your )?personal(?: and)?(?: or)? non commercial use only
+personal-use | commercial use only | for (?:your )?personal(?: and)?(?: or)? non commercial use only
 educational-use | educational | for educational purposes only
-crown | crown copyright | contains public sector information licensed under the open government licence
+crown | public sector information | contains public sector information licensed under the open government licence
 --
 apache-2.0 | apache license | (?:licensed|released|distributed|available|published) under (?:the )?apache license(?: version)? 2(?: 0)?
 apache-2.0 | apache license | apache license(?: version)? (?:v)?2(?: 0)?
@@ -163,22 +163,22 @@ osl-3.0 | open software license | open software license(?: version| v)? 3 0
 boost-1.0 | boost software license | boost software license(?: version)? 1 0
 llama-2 | llama 2 | llama 2 community license
 llama-3 | llama 3 | llama 3 community license
-openrail-m | openrail | (?:creativeml )?(?:bigscience )?open ?rail m?
+openrail-m | openrail | (?:creativeml )?(?:bigscience )?openrailm?
 --
 mit | mit license | (?:the )?(?:terms of the )?mit license
 mit | expat license | expat license
 mit | x11 license | (?:mit )?x11 license
 mit | massachusetts | massachusetts institute of technology license
-apache | apache license | (?:the )?apache(?: software)? licen[cs]e
+apache | apache | (?:the )?apache(?: software)? licen[cs]e
 bsd-2-clause | simplified bsd | simplified bsd license
 bsd-2-clause | bsd 2 clause | bsd 2 clause
 bsd-2-clause | 2 clause bsd | 2 clause bsd
 bsd-3-clause | bsd 3 clause | bsd 3 clause
 bsd-3-clause | 3 clause bsd | 3 clause bsd
-bsd-3-clause | new bsd | (?:new|modified|revised) bsd license
+bsd-3-clause | bsd license | (?:new|revised) bsd license
 bsd-3-clause | modified bsd | modified bsd license
 bsd-4-clause | original bsd | original bsd license
-bsd | bsd licen | bsd(?: style)? licen[cs]ed?
+bsd | bsd | bsd(?: style)? licen[cs]ed?
 bsd | bsd style licen | bsd style license
 gpl | gnu gpl | gnu gpl
 gpl | gpl licen | gpl licen[cs]ed?
@@ -195,7 +195,7 @@ cddl | common development and distribution | common development and distribution
 cpl | common public license | common public license
 ipl | ibm public license | ibm public license
 isc | isc license | isc license
-zlib | zlib license | zlib(?: libpng)? license
+zlib | zlib | zlib(?: libpng)? license
 boost | boost software | boost software licen[cs]e
 artistic | artistic licen | (?:perl )?artistic licen[cs]e
 unlicense | unlicense | (?:the )?unlicense
@@ -207,16 +207,16 @@ cecill | cecill | cecill
 ms-pl | microsoft public | microsoft public licen[cs]e
 ms-rl | microsoft reciprocal | microsoft reciprocal licen[cs]e
 psf | python software foundation | python software foundation licen[cs]e
-php | php license | php licen[cs]e
-ruby | ruby license | ruby licen[cs]e
-vim | vim license | vim licen[cs]e
-openssl | openssl license | openssl licen[cs]e
-postgresql | postgresql license | postgresql licen[cs]e
-qpl | q public license | q public licen[cs]e
+php | php licen | php licen[cs]e
+ruby | ruby licen | ruby licen[cs]e
+vim | vim licen | vim licen[cs]e
+openssl | openssl licen | openssl licen[cs]e
+postgresql | postgresql licen | postgresql licen[cs]e
+qpl | q public licen | q public licen[cs]e
 sleepycat | sleepycat | sleepycat licen[cs]e
 bsl | business source | business source licen[cs]e
 sspl | server side public | server side public licen[cs]e
-elastic | elastic license | elastic licen[cs]e
+elastic | elastic licen | elastic licen[cs]e
 commons-clause | commons clause | commons clause
 beerware | beerware | beerware(?: license)?
 ncsa | ncsa | (?:university of illinois )?ncsa open source licen[cs]e

@@ -1,15 +1,13 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
-A text is reduced to its words, lower-cased and joined by blanks. Few cheap searches tell
-whether any rule could match at all; in the texts that pass, each rule whose keyword
+A text is reduced to its words, lower-cased and joined by blanks. Texts without any of the
+words that keywords need are done; in the others each rule whose keyword
 occurs gives the spans of words that its pattern matches. A span inside the span of a rule
 that comes earlier in the order is suppressed; base phrases never are.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +60,24 @@ def _rule_table() -> Column:
         for k, (section, label, keyword, pattern) in enumerate(rules())))
 
 
-def gates() -> list[str]:
-    """Few strings, one of which is part of every keyword and base phrase."""
-    keywords = sorted({k for _, _, k, _ in rules()} | {p for p, _ in BASE}, key=lambda k: (len(k), k))
-    kept = ["licen", "copyright"]
-    for keyword in keywords:
-        if not any(k in keyword for k in kept):
-            kept.append(keyword)
-    return kept
+#: Whole words in which a keyword that ends inside a word can occur.
+_GROWN = {
+    "licen": ["license", "licence", "licensed", "licenced", "licenses", "licences", "licensing"],
+    "unauthori": ["unauthorized", "unauthorised"], "gpl": ["gpl", "gpl2", "gpl3", "gplv2", "gplv3"],
+    "lgpl": ["lgpl", "lgpl2", "lgpl3", "lgplv2", "lgplv3"], "agpl": ["agpl", "agpl3", "agplv3"],
+    "trademark": ["trademark", "trademarks"], "patent": ["patent", "patents"],
+    "openrail": ["openrail", "openrailm"],
+}
+
+
+def gate_words() -> list[str]:
+    """Words of which every text has one that holds any keyword or base phrase."""
+    found = set()
+    for keyword in {k for _, _, k, _ in rules()} | {p for p, _ in BASE}:
+        words = keyword.split()
+        whole = [w for w in words if w not in _GROWN]
+        found.update([max(whole, key=len)] if whole else _GROWN[words[0]])
+    return sorted(found)
 
 
 def _no_spans() -> Column:
@@ -116,7 +124,8 @@ def license_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base and found (arrays of spans: first word, word beyond the last,
     section, rule, label) of every row; a null text has no words."""
     line = F.col("_line")
-    gate = reduce(lambda a, b: a | b, (F.contains(line, F.lit(g)) for g in gates()))
+    known = gate_words()
+    gate = F.exists(F.split(line, " "), lambda w: w.isin(known))
     rows = docs.select("doc_id", word_line(F.col("text")).alias("_line"))
     return rows.select(
         "doc_id", word_count(line).alias("n_words"),

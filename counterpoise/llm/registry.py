@@ -1,9 +1,18 @@
 """Queries of this package by name, with SQL where it can say the same."""
 
 import corpus_pipeline
-from counterpoise.llm import packing, quality, separators, simhash, toxicity
+from counterpoise.llm import (
+    decontaminate,
+    licenses,
+    packing,
+    quality,
+    separators,
+    simhash,
+    spotsigs,
+    toxicity,
+)
 
-MODULES = (separators, toxicity, quality, simhash, packing)
+MODULES = (separators, spotsigs, licenses, toxicity, quality, simhash, decontaminate, packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 QUERIES["pipeline"] = corpus_pipeline.run
