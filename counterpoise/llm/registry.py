@@ -4,6 +4,7 @@ import corpus_pipeline
 from counterpoise.llm import (
     decontaminate,
     licenses,
+    lm,
     packing,
     quality,
     separators,
@@ -12,7 +13,7 @@ from counterpoise.llm import (
     toxicity,
 )
 
-MODULES = (separators, spotsigs, licenses, toxicity, quality, simhash, decontaminate, packing)
+MODULES = (separators, lm, spotsigs, licenses, toxicity, quality, simhash, decontaminate, packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 QUERIES["pipeline"] = corpus_pipeline.run
