@@ -1,21 +1,54 @@
-"""The corpus pipeline: documents become packed training sequences."""
+"""The corpus pipeline: documents become packed training sequences.
+
+Every stage works on all rows that its predecessor kept. The first four return the columns
+of ``documents``, the last one the pieces of the sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from counterpoise.llm import packing
+from counterpoise.llm import decontaminate, packing, simhash, suffix, toxicity
 from counterpoise.llm.common import stored, table
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of what is left."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the toxicity model rejects.
+
+    The model learns from the labelled documents among ``docs`` outside the held-out fold.
+    """
+    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of each group of near SimHash fingerprints."""
+    return simhash.keep_first(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 400 bytes that start at several places; no row goes."""
+    return suffix.without_repeats(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a window of a benchmark item."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all that is left, packed into sequences of at most 2048 tokens."""
     return packing.pack(docs).drop("loss_tokens")
 
 
-STAGES = [("packing", pack_stage)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_copies),
+    ("suffix", cut_repeats),
+    ("decontaminate", drop_contaminated),
+    ("packing", pack_sequences),
+]
 
-#: SQL can't express these stages; tests hold each against a brute-force version.
+#: SQL can't express these stages; tests hold them against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -10,10 +10,11 @@ from counterpoise.llm import (
     separators,
     simhash,
     spotsigs,
+    suffix,
     toxicity,
 )
 
-MODULES = (separators, lm, spotsigs, licenses, toxicity, quality, simhash, decontaminate, packing)
+MODULES = (suffix, separators, lm, spotsigs, licenses, toxicity, quality, simhash, decontaminate, packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 QUERIES["pipeline"] = corpus_pipeline.run
