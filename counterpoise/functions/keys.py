@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 # that a row repeated billions of times is rebuilt by many tasks.
 COPIES_PER_SLICE = 1_000_000
 
+# The content that is hashed must differ wherever rows differ: microseconds, the offset of
+# repeated hours and absent fields all show.
+CONTENT = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 
 def hash_uniform(seed: int, tag: str, *ids: Column | str) -> Column:
     """Uniform double in [0, 1): first 8 hex digits of md5('seed:tag:id…') / 2^32."""
@@ -34,7 +42,7 @@ def with_row_key(df: DataFrame, name: str = "id", key: Column | None = None) ->
         return df.withColumn(name, key.cast("string"))
     columns = df.columns
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    content = F.sha2(F.to_json(F.struct(*columns)), 256)
+    content = F.sha2(F.to_json(F.struct(*columns), CONTENT), 256)
     first = F.lit(1).cast("bigint")
     step = F.lit(COPIES_PER_SLICE).cast("bigint")
     usual = counted.where(F.col("_n") <= step).select(

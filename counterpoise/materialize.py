@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there on.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only a local session without
-    that setting gets a temporary one; a cluster session without it recomputes the
-    lineage instead (every frame here is a pure function of its input).
+    The folder is ``spark.checkpoint.dir`` of the session or the one its context has; where
+    neither is set, one inside the warehouse, which a cluster shares as well.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", "")
-        if not folder and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="counterpoise-")
-        if not folder:
-            return df
+        folder = folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

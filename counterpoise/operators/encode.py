@@ -1,7 +1,8 @@
 """Row encoders: from tokens or typed columns to doubles, driven by a spec.
 
 All of them are row-wise column expressions without a shuffle, so they run inside code
-generation and on streaming frames as well.
+generation and on streaming frames as well. Only the codes of very long category lists
+come by a join.
 """
 
 from __future__ import annotations
@@ -15,21 +16,28 @@ from pyspark.sql import types as T
 from counterpoise.sources.delimited import delimited_line
 from counterpoise.sources.spec import Attribute, Spec
 
-# Codes of longer lists are joined (``attach_codes``), not looked up in a literal.
-MAX_LITERAL_CATEGORIES = 1_000
-
 
 def _token(name: str) -> Column:
     return F.trim(F.col(name).cast("string"))
 
 
-def _codes(attribute: Attribute) -> Column:
-    if len(attribute.categories) > MAX_LITERAL_CATEGORIES:
-        raise ValueError(f"{attribute.name} has {len(attribute.categories)} categories: "
-                         "use attach_codes")
+def _code(attribute: Attribute, token: Column) -> Column:
+    """The code of a listed category, else null; long lists are joined by ``_prepared``."""
+    if attribute.codes is not None:
+        return F.col(f"_code_{attribute.name}")
     entries = [F.lit(x) for code, name in enumerate(attribute.categories)
                for x in (name, float(code))]
-    return F.create_map(*entries) if entries else F.lit(None).cast("map<string,double>")
+    return F.element_at(F.create_map(*entries), token) if entries else F.lit(None).cast("double")
+
+
+def _prepared(df: DataFrame, attributes: Sequence[Attribute]) -> DataFrame:
+    """``df`` with the codes of attributes whose list is a table."""
+    for a in attributes:
+        if a.codes is not None:
+            own = a.codes.select(F.col("category").alias("_category"),
+                                 F.col("code").alias(f"_code_{a.name}"))
+            df = df.join(own, _token(a.name) == F.col("_category"), "left").drop("_category")
+    return df
 
 
 def _refuse(attribute: Attribute, token: Column) -> Column:
@@ -39,14 +47,13 @@ def _refuse(attribute: Attribute, token: Column) -> Column:
 
 def lenient_code(df: DataFrame, attribute: Attribute) -> Column:
     """Code of a listed category, else the token as a number, else an error."""
-    if isinstance(df.schema[attribute.name].dataType, T.NumericType) and not attribute.categories:
+    listed = attribute.categories or attribute.codes is not None
+    if isinstance(df.schema[attribute.name].dataType, T.NumericType) and not listed:
         value = F.col(attribute.name).cast("double")
         return F.coalesce(value, _refuse(attribute, F.lit(None).cast("string")))
     token = _token(attribute.name)
     number = token.try_cast("double")
-    known = number
-    if attribute.categories:
-        known = F.coalesce(F.element_at(_codes(attribute), token), number)
+    known = F.coalesce(_code(attribute, token), number) if listed else number
     return F.coalesce(known, _refuse(attribute, token))
 
 
@@ -55,7 +62,7 @@ def strict_code(df: DataFrame, attribute: Attribute) -> Column:
     if attribute.kind == "numeric":
         return lenient_code(df, attribute)
     token = _token(attribute.name)
-    return F.coalesce(F.element_at(_codes(attribute), token), _refuse(attribute, token))
+    return F.coalesce(_code(attribute, token), _refuse(attribute, token))
 
 
 def minmax_code(df: DataFrame, attribute: Attribute) -> Column:
@@ -77,6 +84,7 @@ def encode(df: DataFrame, spec: Spec, mode: str = "lenient", keep: Sequence[str]
     if mode not in ENCODERS:
         raise ValueError(f"mode must be one of {tuple(ENCODERS)}, not {mode!r}")
     code = ENCODERS[mode]
+    df = _prepared(df, spec.attributes)
     return df.select(*keep, *[code(df, a).alias(a.name) for a in spec.features],
                      code(df, spec.label).alias(label))
 
@@ -84,6 +92,7 @@ def encode(df: DataFrame, spec: Spec, mode: str = "lenient", keep: Sequence[str]
 def encode_features(df: DataFrame, spec: Spec, keep: Sequence[str] = (),
                     label: str = "label") -> DataFrame:
     """Features encoded leniently, the class as its own trimmed token."""
+    df = _prepared(df, spec.features)
     return df.select(*keep, *[lenient_code(df, a).alias(a.name) for a in spec.features],
                      _token(spec.label.name).alias(label))
 
@@ -99,6 +108,7 @@ def encode_line(df: DataFrame, spec: Spec, keep: Sequence[str] = (), delimiter:
 def encode_strict_line(df: DataFrame, spec: Spec, keep: Sequence[str] = (), delimiter: str = ",",
                        name: str = "line") -> DataFrame:
     """Numeric tokens verbatim, categories as strict codes, as one delimited string."""
+    df = _prepared(df, spec.attributes)
     tokens = [F.col(a.name) if a.kind == "numeric" else strict_code(df, a)
               for a in spec.attributes]
     return df.select(*keep, delimited_line(tokens, delimiter).alias(name))

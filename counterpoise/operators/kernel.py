@@ -86,6 +86,25 @@ def rough_distances(q: np.ndarray, c: np.ndarray, norms: np.ndarray, metric: str
     return rough, np.zeros(len(q)), np.zeros(len(q))
 
 
+def _ranked(part: np.ndarray, columns: np.ndarray, close: np.ndarray, k: int, metric: str,
+            radius: np.ndarray | None):
+    """The k nearest of the ``close`` candidates of every query, distances taken exactly."""
+    qi, ci = np.divmod(np.flatnonzero(close), columns.shape[1])
+    own = np.ascontiguousarray(part.T)
+    with np.errstate(invalid="ignore", over="ignore"):
+        raw = raw_distance((x[qi] - y[ci] for x, y in zip(own, columns)), metric)
+    valid = raw > floor_of(metric)
+    dist = rounded(raw, metric)
+    if radius is not None:
+        valid &= dist <= radius[qi]
+    qi, ci, dist = qi[valid], ci[valid], dist[valid]
+    order = np.lexsort((dist, qi))  # stable: equal distances stay in key order
+    qi, ci, dist = qi[order], ci[order], dist[order]
+    rank = np.arange(len(qi)) - np.searchsorted(qi, qi) + 1
+    keep = rank <= k
+    return qi[keep], ci[keep], dist[keep], rank[keep]
+
+
 def nearest(q: np.ndarray, c: np.ndarray, k: int, metric: str, radius: np.ndarray | None = None):
     """Top k candidates of every query by (rounded distance, candidate position).
 
@@ -99,8 +118,10 @@ def nearest(q: np.ndarray, c: np.ndarray, k: int, metric: str, radius: np.ndarra
     found = []
     step = max(1, TILE // max(1, len(c)))
     # Of the 2k nearest points at most k are copies of the query itself, so the 2k-th
-    # distance, even among a part of the candidates, bounds the k-th true neighbour. Wide
-    # points are dear to look at exactly, so there all candidates are asked.
+    # distance, even among a part of the candidates, bounds the k-th true neighbour, unless
+    # other points lie so near that their distance rounds to zero. Queries left with fewer
+    # than k neighbours are therefore searched once more without that bound. Wide points
+    # are dear to look at exactly, so there all candidates are asked.
     stride = max(1, min(8, len(c) // max(256, 16 * k))) if q.shape[-1] <= 16 else 1
     columns = np.ascontiguousarray(c.T)
     with np.errstate(over="ignore"):
@@ -111,23 +132,22 @@ def nearest(q: np.ndarray, c: np.ndarray, k: int, metric: str, radius: np.ndarra
             rough, shift, slack = rough_distances(part, c, norms, metric)
             bound = kth_smallest(rough[:, ::stride], 2 * k) + shift + slack
             bound = raw_bound(rounded(np.maximum(bound, 0.0), metric), metric)
-            if radius is not None:
-                bound = np.minimum(bound, raw_bound(radius[start:start + step], metric))
-            close = rough <= (bound + slack - shift)[:, None]
-        qi, ci = np.divmod(np.flatnonzero(close), len(c))
-        own = np.ascontiguousarray(part.T)
-        with np.errstate(invalid="ignore", over="ignore"):
-            raw = raw_distance((x[qi] - y[ci] for x, y in zip(own, columns)), metric)
-        valid = raw > floor_of(metric)
-        dist = rounded(raw, metric)
-        if radius is not None:
-            valid &= dist <= radius[start + qi]
-        qi, ci, dist = qi[valid], ci[valid], dist[valid]
-        order = np.lexsort((dist, qi))  # stable: equal distances stay in key order
-        qi, ci, dist = qi[order], ci[order], dist[order]
-        rank = np.arange(len(qi)) - np.searchsorted(qi, qi) + 1
-        keep = rank <= k
-        found.append((qi[keep] + start, ci[keep], dist[keep], rank[keep].astype(np.int32)))
+            own = None if radius is None else radius[start:start + step]
+            limit = np.full(len(part), np.inf) if own is None else raw_bound(own, metric)
+            close = rough <= (np.minimum(bound, limit) + slack - shift)[:, None]
+        qi, ci, dist, rank = _ranked(part, columns, close, k, metric, own)
+        short = (np.bincount(qi, minlength=len(part)) < k) & (bound < limit)
+        if short.any():
+            rows = np.flatnonzero(short)
+            with np.errstate(invalid="ignore"):
+                close = rough[rows] <= (limit + slack - shift)[rows, None]
+            again = _ranked(part[rows], columns, close, k, metric, own if own is None else own[rows])
+            rest = ~short[qi]
+            qi, ci, dist, rank = (np.concatenate([x[rest], y]) for x, y in zip(
+                (qi, ci, dist, rank), (rows[again[0]], *again[1:])))
+            order = np.lexsort((rank, qi))
+            qi, ci, dist, rank = qi[order], ci[order], dist[order], rank[order]
+        found.append((qi + start, ci, dist, rank.astype(np.int32)))
     if not found:
         return (np.empty(0, np.int64), np.empty(0, np.int64),
                 np.empty(0, np.float32), np.empty(0, np.int32))

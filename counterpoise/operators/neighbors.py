@@ -39,6 +39,8 @@ PRUNED_WIDTH = 8
 CELL_ROWS = 512
 CELL_BYTES = 256 << 20
 TASKS_PER_SLOT = 4
+# Queries per task slot from which on they are searched in their input splits.
+SPREAD_ROWS = 100_000
 # Bounds of what the driver plans with.
 MAX_CELLS = 65_536
 SAMPLE_BYTES = 64 << 20
@@ -170,9 +172,12 @@ def _broadcast_join(q: DataFrame, c: DataFrame, k: int, metric: str,
                 kernel.matrix(batch.column("qvec")), search)
             yield kernel.side_by_side(batch, pa.array(qi), rows, pa.array(ci), dist, rank, names)
 
-    # The work per query is far larger than the row, so spread queries by key rather
-    # than by input split.
-    return q.repartition(_parallelism(q), "qid").mapInArrow(run, out)
+    # The work per query is far larger than the row: few queries are spread by key, many
+    # have enough input splits and stay where they are.
+    slots = _parallelism(q)
+    if q.count() < slots * SPREAD_ROWS:
+        q = q.repartition(slots, "qid")
+    return q.mapInArrow(run, out)
 
 
 def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructType) -> DataFrame:

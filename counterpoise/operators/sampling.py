@@ -12,7 +12,7 @@ from counterpoise.functions.keys import hash_uniform
 # Fixed value: the seed of the sampling steps.
 SEED = 1234
 
-# Above this mean the Poisson ladder is replaced by rounding the mean up or down.
+# A larger mean is the sum of several independent draws with means up to this one.
 LADDER_MEAN = 30.0
 LADDER_TAIL = 1e-12
 
@@ -28,14 +28,20 @@ def poisson_ladder(mean: float) -> list[float]:
     return cumulative
 
 
-def poisson_copies(draw: str, fraction: float) -> Column:
-    """Poisson(fraction) copies for a column of uniform draws."""
-    if fraction > LADDER_MEAN:
-        whole = math.floor(fraction)
-        return F.lit(whole) + F.when(F.col(draw) < F.lit(fraction - whole), 1).otherwise(0)
-    ladder = poisson_ladder(fraction)
-    steps = " ".join(f"WHEN {draw} < {bound!r}D THEN {i}" for i, bound in enumerate(ladder))
-    return F.expr(f"CASE {steps} ELSE {len(ladder)} END")
+def poisson_copies(draw: Column, mean: float) -> Column:
+    """Poisson(mean) copies for uniform draws; ``mean`` up to LADDER_MEAN."""
+    count = F.lit(len(poisson_ladder(mean)))
+    for i, bound in reversed(list(enumerate(poisson_ladder(mean)))):
+        count = F.when(draw < F.lit(bound), i).otherwise(count)
+    return count
+
+
+def poisson_sum(key: str, mean: float, seed: int) -> Column:
+    """Poisson(mean) copies of a row: a sum of independent Poisson draws is one."""
+    draws = math.ceil(mean / LADDER_MEAN)
+    uniform = F.transform(F.sequence(F.lit(1), F.lit(draws)),
+                          lambda i: hash_uniform(seed, "copies", key, i))
+    return F.aggregate(uniform, F.lit(0), lambda total, u: total + poisson_copies(u, mean / draws))
 
 
 def with_copies(df: DataFrame, key: str, fraction: float, seed: int = SEED,
@@ -46,13 +52,18 @@ def with_copies(df: DataFrame, key: str, fraction: float, seed: int = SEED,
     it is drawn Poisson(fraction) times. Rows outside ``among`` are always kept once. The
     draw is its own column, so the hash is computed once per row.
     """
+    if fraction > LADDER_MEAN:
+        drawn, count = df, poisson_sum(key, fraction, seed)
+        if among is not None:
+            count = F.when(among, count).otherwise(1)
+        return drawn.withColumn(name, count).where(F.col(name) >= 1)
     tag = "sample" if fraction <= 1.0 else "copies"
     draw = hash_uniform(seed, tag, key)
     drawn = df.withColumn("_u", draw if among is None else F.when(among, draw))
     if fraction <= 1.0:
         count = F.when(F.col("_u") < F.lit(float(fraction)), 1).otherwise(0)
     else:
-        count = poisson_copies("_u", fraction)
+        count = poisson_copies(F.col("_u"), fraction)
     if among is not None:
         count = F.when(F.col("_u").isNull(), 1).otherwise(count)
     return drawn.withColumn(name, count).drop("_u").where(F.col(name) >= 1)

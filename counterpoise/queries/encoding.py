@@ -77,6 +77,45 @@ def q_encode(spark, folder):
     return E.encode(part_tokens(spark, folder), part_spec(spark, folder), keep=["id"])
 
 
+def q_encode_lenient(spark, folder):
+    """Every tenth part has a number where the list of categories is expected."""
+    tokens = part_tokens(spark, folder).withColumn(
+        "p_type", F.when(F.col("id") % 10 == 0, F.col("p_size")).otherwise(F.col("p_type")))
+    return E.encode(tokens, part_spec(spark, folder), "lenient", keep=["id"])
+
+
+def q_encode_wide(spark, folder):
+    """A column with a category per row, in all three modes."""
+    customer = V.table(spark, folder, "customer").select("c_custkey", "c_acctbal", "c_name",
+                                                         "c_mktsegment")
+    spec = S.Spec.from_table(S.infer_spec(customer, ["c_acctbal"], ["c_name"], "c_mktsegment"))
+    coded = [E.encode(customer, spec, mode, keep=["c_custkey"]).withColumn("mode", F.lit(mode))
+             for mode in ("lenient", "strict", "minmax")]
+    return coded[0].unionByName(coded[1]).unionByName(coded[2])
+
+
+def q_empty_tokens(spark, folder):
+    """Lines whose first, numeric token is empty keep it."""
+    tokens = part_tokens(spark, folder).withColumn(
+        "p_size", F.when(F.col("id") % 2 == 0, F.col("p_size")))
+    return E.encode_strict_line(tokens, part_spec(spark, folder), keep=["id"])
+
+
+def q_arity_wrong(spark, folder):
+    """How many lines of the documents' text are not of two tokens."""
+    tokens = F.size(F.split("line", ",", -1))
+    lines = V.table(spark, folder, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.agg(F.count(F.lit(1)).alias("n_lines"),
+                     F.count_if(tokens != 2).alias("n_wrong"))
+
+
+def q_class_number(spark, folder):
+    """Number of classes of a spec whose class is taken from the data."""
+    orders = V.table(spark, folder, "orders")
+    return S.class_number(S.infer_spec(orders, ["o_totalprice"], ["o_orderpriority"],
+                                       "o_orderstatus"))
+
+
 def q_encode_docs(spark, folder):
     docs = V.docs_quality(spark, folder)
     spec = S.Spec.from_table(S.infer_spec(docs, ["n_chars"], ["lang", "source"], "class"))
@@ -140,6 +179,12 @@ def q_majority_rows(spark, folder):
     return majority_rows(rows, "label", V.MINORITY)
 
 
+def q_row_key_total(spark, folder):
+    """Keys over all columns of a table with timestamps."""
+    keyed = with_row_key(V.table(spark, folder, "events"))
+    return keyed.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_keys"))
+
+
 def q_row_key(spark, folder):
     columns = ["l_returnflag", "l_linestatus", "l_linenumber"]
     keyed = with_row_key(V.table(spark, folder, "lineitem").select(*columns))
@@ -240,6 +285,28 @@ ORACLE = {
         SELECT id, p_size, p_retailprice, p_type, label FROM enc WHERE label = 1""",
     "q_majority_rows": f"""WITH {_CODES}
         SELECT id, p_size, p_retailprice, p_type, 'negative' AS label FROM enc WHERE label = 0""",
+    "q_row_key_total": "SELECT count(*) AS n_rows, count(*) AS n_keys FROM events",
+    "q_encode_lenient": f"""WITH {_CODES} SELECT id, p_size, p_retailprice,
+        CASE WHEN id % 10 = 0 THEN p_size ELSE p_type END AS p_type, label FROM enc""",
+    "q_encode_wide": """
+        WITH nam AS (SELECT c_name, (row_number() OVER (ORDER BY c_name) - 1)::DOUBLE AS code
+                     FROM (SELECT DISTINCT c_name FROM customer)),
+             seg AS (SELECT c_mktsegment, (row_number() OVER (ORDER BY c_mktsegment) - 1)::DOUBLE
+                            AS label FROM (SELECT DISTINCT c_mktsegment FROM customer)),
+             b AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)
+        SELECT c_custkey, CASE WHEN mode = 'minmax' THEN (c_acctbal - lo) / (hi - lo)
+                               ELSE c_acctbal END AS c_acctbal,
+               code AS c_name, label, mode
+        FROM customer JOIN nam USING (c_name) JOIN seg USING (c_mktsegment), b,
+             (VALUES ('lenient'), ('strict'), ('minmax')) AS m(mode)""",
+    "q_empty_tokens": f"""WITH {_CODES}
+        SELECT id, CASE WHEN id % 2 = 0 THEN raw_size::VARCHAR ELSE '' END || ',' ||
+               concat_ws(',', raw_price::VARCHAR, p_type::VARCHAR, label::VARCHAR) AS line
+        FROM enc""",
+    "q_arity_wrong": r"""SELECT count(*) AS n_lines,
+        count(*) FILTER (len(string_split(line, ',')) <> 2) AS n_wrong
+        FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)""",
+    "q_class_number": "SELECT count(DISTINCT o_orderstatus) AS n_classes FROM orders",
     "q_row_key": """SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n_rows,
         count(*) AS n_keys FROM lineitem GROUP BY ALL""",
 }

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from counterpoise.functions.distance import distance
 from counterpoise.operators import classes as C
-from counterpoise.operators.sampling import replicate_rows, sample_rows
+from counterpoise.operators.sampling import (
+    LADDER_MEAN,
+    poisson_ladder,
+    replicate_rows,
+    sample_rows,
+    with_copies,
+)
 from counterpoise.queries import views as V
 
 PLAIN_PCT = 10
 COPIES_PCT = 250
+HEAVY = 70.5
 
 
 def q_class_counts(spark, folder):
@@ -37,6 +46,13 @@ def q_sample_replicate(spark, folder):
     return replicate_rows(C.minority_rows(lines, "label", V.MINORITY), "id", plan.fraction)
 
 
+def q_sample_heavy(spark, folder):
+    """More copies than one table of probabilities covers: their sum and spread."""
+    lines = V.lineitem_imb(spark, folder)
+    drawn = with_copies(C.minority_rows(lines, "label", V.MINORITY), "id", HEAVY)
+    return drawn.select("id", F.col("copies").cast("long").alias("copies"))
+
+
 def _line_part(spark, folder, metric):
     """Each line compared with its own part: one pair per line."""
     line = V.table(spark, folder, "lineitem").select(
@@ -81,7 +97,21 @@ def _plan(pct: float) -> str:
     return f"{V.LINEITEM_IMB}, {V.plan('lineitem_imb', repr(V.MINORITY), pct)}"
 
 
+def _heavy() -> str:
+    draws = math.ceil(HEAVY / LADDER_MEAN)
+    total = " + ".join(
+        f"len(list_filter(ladder, lambda b: b <= {V.uniform('copies', 'id', repr(str(k + 1)))}))"
+        for k in range(draws))
+    ladder = ", ".join(f"{b!r}::DOUBLE" for b in poisson_ladder(HEAVY / draws))
+    return f"""WITH {V.LINEITEM_IMB},
+        drawn AS (SELECT id, {total} AS copies
+                  FROM (SELECT *, [{ladder}] AS ladder FROM lineitem_imb
+                        WHERE label = {V.MINORITY!r}))
+        SELECT id, copies::BIGINT AS copies FROM drawn WHERE copies > 0"""
+
+
 ORACLE = {
+    "q_sample_heavy": _heavy(),
     "q_class_counts": f"WITH {_plan(PLAIN_PCT)} SELECT n_pos, n_neg FROM counts",
     "q_class_distribution": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
     "q_sampling_plan": f"WITH {_plan(COPIES_PCT)} SELECT n_pos, n_neg, n, fraction FROM plan",

@@ -56,16 +56,21 @@ def parse_numeric_lines(df: DataFrame, line: str, names: Sequence[str], delimite
 
 def delimited_line(columns: Sequence[str | Column], delimiter: str = ",",
                    decimals: int | None = None) -> Column:
-    """One output line; doubles as written by the engine, or with fixed decimals."""
+    """One output line; doubles as written by the engine, or with fixed decimals.
+
+    A null is an empty token, as ``read_delimited`` reads it.
+    """
     def text(c: str | Column) -> Column:
         c = F.col(c) if isinstance(c, str) else c
-        return c.cast("string")
+        return F.coalesce(c.cast("string"), F.lit(""))
 
     if decimals is None:
         return F.concat_ws(delimiter, *[text(c) for c in columns])
     *numbers, last = columns
-    fixed = [F.format_string(f"%.{decimals}f", F.col(c) if isinstance(c, str) else c)
-             for c in numbers]
+    fixed = []
+    for c in numbers:
+        c = F.col(c) if isinstance(c, str) else c
+        fixed.append(F.when(c.isNull(), F.lit("")).otherwise(F.format_string(f"%.{decimals}f", c)))
     return F.concat_ws(delimiter, *fixed, text(last))
 
 

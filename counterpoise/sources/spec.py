@@ -8,17 +8,19 @@ class comes last. ``Spec`` is the same metadata on the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from counterpoise.materialize import materialize
 
-# A spec is metadata: a column with more categories than this is coded by a join instead
-# (``infer_codes`` and ``attach_codes``).
-MAX_CATEGORIES = 500
-MAX_SPEC_ROWS = 1_000_000
+# Up to so many categories of a column are held on the driver and looked up in a literal;
+# the codes of a longer list stay a table and are joined, with the same result.
+LISTED = 1_000
+
+# Ranges of values in which the categories of a column are numbered.
+RANGES = 256
 
 SPEC_COLUMNS = ("pos", "name", "kind", "min", "max", "category", "code")
 
@@ -30,6 +32,8 @@ class Attribute:
     low: float | None = None
     high: float | None = None
     categories: tuple[str, ...] = ()
+    #: (category, code) of a list that is too long for ``categories``.
+    codes: DataFrame | None = field(default=None, compare=False, repr=False)
 
 
 @dataclass(frozen=True)
@@ -50,21 +54,21 @@ class Spec:
 
     @staticmethod
     def from_table(spec: DataFrame) -> Spec:
-        """Bring a spec table to the driver; its size is checked first."""
-        rows = spec.select(*SPEC_COLUMNS).limit(MAX_SPEC_ROWS + 1).collect()
-        if len(rows) > MAX_SPEC_ROWS:
-            raise ValueError(f"the spec has more than {MAX_SPEC_ROWS} rows")
-        by_pos: dict[int, list] = {}
-        for row in rows:
-            by_pos.setdefault(row["pos"], []).append(row)
-        attributes = []
-        for _, group in sorted(by_pos.items()):
-            first = group[0]
-            listed = sorted((r for r in group if r["category"] is not None),
-                            key=lambda r: r["code"])
-            attributes.append(Attribute(first["name"], first["kind"], first["min"], first["max"],
-                                        tuple(r["category"] for r in listed)))
-        return Spec(tuple(attributes))
+        """The attributes of a spec table; only short lists of categories come along."""
+        heads = spec.groupBy("pos", "name", "kind").agg(
+            F.min("min").alias("min"), F.max("max").alias("max"),
+            F.count("category").alias("n")).orderBy("pos").collect()
+        short = [h["pos"] for h in heads if 0 < h["n"] <= LISTED]
+        listed: dict[int, list[str]] = {}
+        if short:
+            rows = spec.where(F.col("pos").isin(short)).select("pos", "category", "code")
+            for row in sorted(rows.collect(), key=lambda r: (r["pos"], r["code"])):
+                listed.setdefault(row["pos"], []).append(row["category"])
+        return Spec(tuple(
+            Attribute(h["name"], h["kind"], h["min"], h["max"], tuple(listed.get(h["pos"], ())),
+                      spec.where(F.col("pos") == h["pos"]).groupBy("category").agg(
+                          F.min("code").alias("code")) if h["n"] > LISTED else None)
+            for h in heads))
 
 
 # --- from a header -------------------------------------------------------------------
@@ -168,37 +172,36 @@ def _categories(df: DataFrame, nominal: Sequence[str]) -> DataFrame:
 def infer_codes(df: DataFrame, nominal: Sequence[str]) -> DataFrame:
     """(name, category, code): 0-based codes in alphabetical order per column.
 
-    For columns with any number of categories: the distinct categories are laid out in
-    sorted ranges, numbered inside each range and shifted by the size of the ranges
-    before it. The layout is written down first, so that both steps see the same ranges.
+    For columns with any number of categories: they are numbered inside ranges of values
+    and shifted by the size of the ranges before. A range's borders are categories chosen
+    by their hash, so everything is a function of the values alone.
     """
-    ranges = materialize(_categories(df, nominal).repartitionByRange("name", "category")
-                         .withColumn("_range", F.spark_partition_id()))
-    sizes = ranges.groupBy("name", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    found = materialize(_categories(df, nominal))
+    sizes = {r["name"]: r["n"] for r in found.groupBy("name").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    # about RANGES borders per column, however many categories there are
+    every = {name: n // RANGES for name, n in sizes.items() if n >= 8 * RANGES}
+    borders: dict[str, list[str]] = {}
+    if every:
+        rate = F.create_map(*[F.lit(x) for item in every.items() for x in item])[F.col("name")]
+        for row in found.where(F.pmod(F.xxhash64("name", "category"), rate) == 0).collect():
+            borders.setdefault(row["name"], []).append(row["category"])
+    place = F.lit(0)
+    for name, values in borders.items():
+        below = F.filter(F.array(*map(F.lit, sorted(values))), lambda b: b <= F.col("category"))
+        place = F.when(F.col("name") == name, F.size(below)).otherwise(place)
+    ranges = found.withColumn("_range", place)
+    counts = ranges.groupBy("name", "_range").agg(F.count(F.lit(1)).alias("_n"))
     earlier = (Window.partitionBy("name").orderBy("_range")
                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("name", "_range",
-                           F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    offsets = counts.select("name", "_range",
+                            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("name", "_range").orderBy("category")
     numbered = ranges.withColumn("_i", F.row_number().over(inside) - 1)
     return numbered.join(offsets, ["name", "_range"]).select(
         "name", "category", (F.col("_before") + F.col("_i")).cast("double").alias("code"))
 
 
-def few_codes(df: DataFrame, nominal: Sequence[str],
-              max_categories: int = MAX_CATEGORIES) -> DataFrame:
-    """The same for columns with few categories; more than ``max_categories`` is an error.
-
-    The rank limit reaches below the shuffle, so no task sees more than a few of them.
-    """
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("category"))
-    ranked = _categories(df, nominal).withColumn("_i", rank)
-    ranked = ranked.where(F.col("_i") <= max_categories + 1)
-    code = F.when(F.col("_i") <= max_categories, F.col("_i") - 1).otherwise(F.raise_error(
-        F.concat(F.lit("too many categories for a spec: "), F.col("name"))))
-    return ranked.select("name", "category", code.cast("double").alias("code"))
-
-
 def infer_spec(df: DataFrame, numeric: Sequence[str], nominal: Sequence[str],
                label: str) -> DataFrame:
     """A spec table for data without a header: features in the given order, class last."""
@@ -206,7 +209,7 @@ def infer_spec(df: DataFrame, numeric: Sequence[str], nominal: Sequence[str],
     position = F.create_map(*[F.lit(x) for item in order.items() for x in item])
     none = F.lit(None)
     kind = F.when(F.col("name") == label, "class").otherwise("nominal")
-    codes = few_codes(df, [*nominal, label]).select(
+    codes = infer_codes(df, [*nominal, label]).select(
         position[F.col("name")].alias("pos"), "name", kind.alias("kind"),
         none.cast("double").alias("min"), none.cast("double").alias("max"), "category", "code")
     if not numeric:

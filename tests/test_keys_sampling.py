@@ -103,3 +103,17 @@ def test_distances(spark):
         distance(xs, ys[:1])
     with pytest.raises(ValueError):
         distance(xs, ys, "cosine")
+
+
+def test_poisson_above_the_ladder(spark):
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("id"))
+    for mean in (29.5, 30.5, 95.0):
+        drawn = S.with_copies(rows, "id", mean).agg(
+            F.avg("copies").alias("m"), F.var_samp("copies").alias("v")).first()
+        assert abs(drawn["m"] / mean - 1) < 0.02 and abs(drawn["v"] / mean - 1) < 0.06
+
+
+def test_rows_a_microsecond_apart_have_two_keys(spark):
+    rows = spark.sql("""SELECT * FROM VALUES (timestamp'2024-01-01 00:00:00.000001', 1),
+        (timestamp'2024-01-01 00:00:00.000002', 1), (NULL, 1), (NULL, NULL) AS t(at, x)""")
+    assert keys.with_row_key(rows).select("id").distinct().count() == 4

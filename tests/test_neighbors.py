@@ -192,3 +192,18 @@ def test_broadcast_candidates_laid_out_in_cells(spark, monkeypatch, metric):
     keys = [f"k{i}" for i in rng.permutation(600)]
     got = run(frame(spark, points, keys), points, 3, metric=metric, strategy="broadcast")
     assert got == expected(points, 3, metric, keys)
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "cells"])
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_distances_that_round_to_zero_crowd_nobody_out(spark, strategy, metric):
+    points = [(0, 0.0), (1, 1e-60), (2, 2e-60), (3, 1.0)]
+    points += [(10 + k, 5.0 + k * 1e-50) for k in range(6)] + [(30, 5.5), (31, 6.0)]
+    df = spark.createDataFrame(points, "id long, x double")
+    for k in (1, 3):
+        found = knn_join(df, df, k=k, key="id", features=["x"], metric=metric, strategy=strategy)
+        got = {}
+        for r in found.orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append((r["nid"], r["dist"]))
+        pairs = [(i, [x]) for i, x in points]
+        assert got == brute_force(pairs, pairs, k, metric)

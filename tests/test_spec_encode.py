@@ -116,10 +116,44 @@ def test_spec_from_data(spark, spec):
     assert inferred.attributes[1].categories == ("a", "b")
     coded = E.attach_codes(df, S.infer_codes(df, ["c"]), ["c"])
     assert sorted(r["c_code"] for r in coded.collect()) == [0.0, 1.0, 1.0]
-    assert sorted(map(tuple, S.few_codes(df, ["c", "y"], 2).collect())) == sorted(
-        map(tuple, S.infer_codes(df, ["c", "y"]).collect()))
-    with pytest.raises(Exception, match="too many categories"):
-        S.few_codes(df, ["c"], max_categories=1).collect()
+
+
+def test_long_lists_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(k, float(k), f"c{k % 40}", "ny"[k % 2]) for k in range(90)],
+                               "id long, x double, c string, y string")
+    table = S.infer_spec(df, ["x"], ["c"], "y")
+    listed = S.Spec.from_table(table)
+    monkeypatch.setattr(S, "LISTED", 5)
+    joined = S.Spec.from_table(table)
+    assert listed.attributes[1].codes is None and joined.attributes[1].codes is not None
+    for mode in ("lenient", "strict", "minmax"):
+        both = [sorted(map(tuple, E.encode(df, s, mode, keep=["id"]).collect()))
+                for s in (listed, joined)]
+        assert both[0] == both[1] and len(both[0]) == 90
+    odd = df.withColumn("c", F.when(F.col("id") == 3, "12.5").otherwise(F.col("c")))
+    assert E.encode(odd, joined).where("c = 12.5").count() == 1
+    with pytest.raises(Exception, match="cannot encode c"):
+        E.encode(odd, joined, "strict").collect()
+
+
+def test_codes_do_not_depend_on_the_plan(spark):
+    df = spark.range(6000).select(F.md5(F.col("id").cast("string")).alias("a"))
+    expected = {c: float(i) for i, c in enumerate(sorted(r["a"] for r in df.collect()))}
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        codes = {r["category"]: r["code"] for r in S.infer_codes(df, ["a"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert codes == expected
+
+
+def test_empty_tokens_are_kept(spark, spec):
+    df = spark.createDataFrame([("5.0", None, "green", "positive")], ", ".join(
+        f"{n} string" for n in NAMES))
+    assert E.encode_strict_line(df, spec).first()["line"] == "5.0,,1.0,1.0"
+    fixed = D.delimited_line(["a", "b"], ";", decimals=1)
+    null = spark.createDataFrame([(None, "x")], "a double, b string")
+    assert null.select(fixed).first()[0] == ";x"
 
 
 def test_codes_over_many_ranges(spark):
