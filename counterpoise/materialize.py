@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there on.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data: ``spark.checkpoint.dir`` of the session or the one
+    its context has; where neither is set, one in the warehouse, which a cluster shares."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    folder = folder or spark.sparkContext.getCheckpointDir()
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
 
-    The folder is ``spark.checkpoint.dir`` of the session or the one its context has; where
-    neither is set, one inside the warehouse, which a cluster shares as well.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it from there on."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        folder = folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

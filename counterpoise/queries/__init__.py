@@ -3,9 +3,9 @@
 ``QUERIES`` maps a name to a function of (spark, folder); ``ORACLE`` maps it to SQL.
 """
 
-from counterpoise.queries import encoding, links, neighbors, oversampling, sampling
+from counterpoise.queries import encoding, files, links, neighbors, oversampling, sampling
 
-MODULES = (encoding, sampling, neighbors, oversampling, links)
+MODULES = (encoding, files, sampling, neighbors, oversampling, links)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
