@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 # Executors need not have this package installed for the tasks below to run there.
@@ -265,6 +266,28 @@ class Cells:
             node = self.child[node, right.astype(np.int64)]
         return self.leaf[node]
 
+    def place(self, q: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """A number by which rows of a cell that lie together get close numbers.
+
+        Per feature the row's rank among the cell's sample points; the ranks' bits are
+        interleaved. It only orders rows, so that blocks of them are compact.
+        """
+        d = q.shape[1]
+        out = np.zeros(len(q), np.int64)
+        step = max(1, TILE // max(1, self.points.shape[1]))
+        for start in range(0, len(q) if d <= 8 else 0, step):
+            part = slice(start, start + step)
+            code = np.zeros(len(out[part]), np.int64)
+            with np.errstate(invalid="ignore"):
+                rank = np.stack([(self.points[home[part], :, j] < q[part, j, None]).sum(1)
+                                 for j in range(d)], 1)
+            rank = np.minimum(rank, 63)
+            for bit in range(5, -1, -1):
+                for j in range(d):
+                    code = code << 1 | rank[:, j] >> bit & 1
+            out[part] = code
+        return out
+
     def radius(self, q: np.ndarray, k: int) -> np.ndarray:
         """Rounded distance within which each query has k neighbours among the sample."""
         out = np.empty(len(q), np.float32)
@@ -386,8 +409,20 @@ def larger(batches, rows: int, size: int):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def pack(batches, block_rows: int):
-    """Turn rows sorted by cell into one row per (cell, block of at most ``block_rows``)."""
+def outside(q: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str) -> np.ndarray:
+    """Rounded distance of every query from a box; no point in it can be nearer."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        gaps = (np.maximum(np.maximum(low[j] - q[:, j], q[:, j] - high[j]), 0.0)
+                for j in range(q.shape[1]))
+        return rounded(raw_distance(gaps, metric), metric)
+
+
+def pack(batches, block_rows: int, vector: str, order: str | None = None):
+    """Turn rows sorted by cell into one row per (cell, block of at most ``block_rows``).
+
+    A block comes with the box of its ``vector`` column and its largest ``radius``, if it
+    has one; its rows are put in the order of the column ``order``.
+    """
     held = None
     for batch in batches:
         if not batch.num_rows:
@@ -400,19 +435,37 @@ def pack(batches, block_rows: int):
         cuts = np.concatenate([np.arange(s, e, block_rows) for s, e in zip(starts, ends)])
         held = batch.slice(cuts[-1])  # the last block may go on in the next batch
         if len(cuts) > 1:
-            yield _blocks(batch.slice(0, cuts[-1]), cuts)
+            yield _blocks(batch.slice(0, cuts[-1]), cuts, vector, order)
     if held is not None:
-        yield _blocks(held, np.array([0, held.num_rows]))
+        yield _blocks(held, np.array([0, held.num_rows]), vector, order)
 
 
-def _blocks(batch: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
+def _blocks(batch: pa.RecordBatch, cuts: np.ndarray, vector: str,
+            order: str | None) -> pa.RecordBatch:
     """Rows between consecutive cuts as one list each."""
-    fields = [f for f in batch.schema if f.name != "cell"]
+    if order is not None:
+        block = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        keys = pa.table({"block": block, "key": batch.column(order)})
+        batch = batch.take(pc.sort_indices(
+            keys, [("block", "ascending"), ("key", "ascending")]))
+    points = matrix(batch.column(vector))
+    low, high = (f.reduceat(points, cuts[:-1], axis=0) for f in (np.minimum, np.maximum))
+    reach = np.zeros(len(cuts) - 1, np.float32)
+    if "radius" in batch.schema.names:
+        radius = batch.column("radius").to_numpy(zero_copy_only=False)
+        reach = np.maximum.reduceat(radius, cuts[:-1]).astype(np.float32)
+    fields = [f for f in batch.schema if f.name not in ("cell", "place")]
     rows = pa.StructArray.from_arrays([batch.column(f.name) for f in fields], fields=fields)
     return pa.RecordBatch.from_arrays(
-        [batch.column("cell").take(pa.array(cuts[:-1])),
+        [batch.column("cell").take(pa.array(cuts[:-1])), _lists(low), _lists(high), pa.array(reach),
          pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rows)],
-        names=["cell", "rows"])
+        names=["cell", "low", "high", "reach", "rows"])
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    n, d = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d),
+                                    pa.array(values.ravel()))
 
 
 def side_by_side(left, li, right, ri, dist, rank, names) -> pa.RecordBatch:

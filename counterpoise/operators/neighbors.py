@@ -207,24 +207,26 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
         grid = kernel.Cells(**shared.value)
         for batch in batches:
             if batch.num_rows:
-                home = grid.home(kernel.matrix(batch.column("nvec")))
+                points = kernel.matrix(batch.column("nvec"))
+                home = grid.home(points)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(home, pa.int32()), *batch.columns],
-                    names=["cell", *batch.schema.names])
+                    [pa.array(home, pa.int32()), pa.array(grid.place(points, home)),
+                     *batch.columns], names=["cell", "place", *batch.schema.names])
 
     def route(batches):
         grid = kernel.Cells(**shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, ROUTE_ROWS):
                 part = batch.slice(start, ROUTE_ROWS)
-                qi, cell, radius = grid.route(kernel.matrix(part.column("qvec")), k, prune)
+                points = kernel.matrix(part.column("qvec"))
+                qi, cell, radius = grid.route(points, k, prune)
                 for at in range(0, len(qi), SENT_ROWS):
-                    rows = qi[at:at + SENT_ROWS]
+                    rows, there = qi[at:at + SENT_ROWS], cell[at:at + SENT_ROWS]
                     sent = part.take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell[at:at + SENT_ROWS], pa.int32()),
+                        [pa.array(there, pa.int32()), pa.array(grid.place(points[rows], there)),
                          pa.array(radius[rows]), *sent.columns],
-                        names=["cell", "radius", *sent.schema.names])
+                        names=["cell", "place", "radius", *sent.schema.names])
 
     # Neighbours are found per distinct query vector, which two independent 64-bit hashes
     # stand for from here on; the query's own columns come back by a join on them.
@@ -251,8 +253,14 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
                 this = (batch.column("cell")[i].as_py(), points[ls.start].tobytes())
                 if this != last:  # else: the same queries meet the cell's next block
                     last, best = this, np.full((ls.stop - ls.start, k), np.inf, np.float32)
+                bound = np.minimum(radius[ls], best[:, -1])
+                low, high = targets[rs].min(axis=0), targets[rs].max(axis=0)
+                near = np.flatnonzero(kernel.outside(points[ls], low, high, metric) <= bound)
+                if not len(near):
+                    continue
                 qi, ci, dist, rank = kernel.nearest(
-                    points[ls], targets[rs], k, metric, np.minimum(radius[ls], best[:, -1]))
+                    points[ls][near], targets[rs], k, metric, bound[near])
+                qi = near[qi]
                 if len(qi):
                     best = kernel.tighten(best, qi, dist, rank)
                     yield kernel.side_by_side(lrows, pa.array(qi + ls.start), rrows,
@@ -260,19 +268,25 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
 
     cell_field = T.StructField("cell", T.IntegerType())
     radius_field = T.StructField("radius", T.FloatType())
-    housed = c.mapInArrow(house, T.StructType([cell_field, *c.schema.fields]))
+    place_field = T.StructField("place", T.LongType())
+    housed = c.mapInArrow(house, T.StructType([cell_field, place_field, *c.schema.fields]))
     routed = vectors.mapInArrow(
-        route, T.StructType([cell_field, radius_field, *vectors.schema.fields]))
-    blocks = _pack_by_cell(housed, "crows", min(BLOCK_ROWS, BLOCK_BYTES // (8 * d) + 1), "nid")
+        route, T.StructType([cell_field, place_field, radius_field, *vectors.schema.fields]))
+    blocks = _pack_by_cell(housed, "crows", min(BLOCK_ROWS, BLOCK_BYTES // (8 * d) + 1),
+                           "nvec", "nid")
     asked = _pack_by_cell(routed, "qrows",
-                          min(QUERY_BLOCK_ROWS, QUERY_BLOCK_BYTES // (8 * d) + 1))
+                          min(QUERY_BLOCK_ROWS, QUERY_BLOCK_BYTES // (8 * d) + 1), "qvec")
     on = ["cell"]
     if salts > 1:
         on = ["cell", "salt"]
         salt = F.pmod(F.col("qrows")[0]["_h1"], F.lit(salts)).cast("int")
         asked = asked.withColumn("salt", salt)
         blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = asked.join(blocks, on).select("cell", "qrows", "crows").mapInArrow(meet, found)
+    # Blocks of one cell whose boxes lie further apart than any radius never meet.
+    asked = asked.withColumnsRenamed({"low": "q_low", "high": "q_high"})
+    blocks = blocks.drop("reach")
+    met = (asked.join(blocks, on).where(_box_gap(metric) <= F.col("reach"))
+           .select("cell", "qrows", "crows").mapInArrow(meet, found))
     order = Window.partitionBy("_h1", "_h2").orderBy("dist", "nid")
     near = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     # Joined on the swapped pair, which is not the window's own partitioning: so the join
@@ -283,21 +297,39 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
     return back.join(near, ["_join", "_h1", "_h2"]).select(*out.fieldNames())
 
 
-def _pack_by_cell(rows: DataFrame, name: str, block_rows: int, *order: str) -> DataFrame:
-    """Bring a cell's rows together and pack them into blocks of bounded size.
+def _box_gap(metric: str):
+    """Rounded distance between the boxes of a query block and a candidate block.
+
+    Summed like a distance, of which every step is monotone, so no pair can be nearer.
+    """
+    apart = F.zip_with(
+        F.zip_with("q_low", "high", lambda a, b: a - b),
+        F.zip_with("low", "q_high", lambda a, b: a - b),
+        lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    if metric == "manhattan":
+        return F.aggregate(apart, F.lit(0.0), lambda t, g: t + g).cast("float")
+    return F.sqrt(F.aggregate(apart, F.lit(0.0), lambda t, g: t + g * g)).cast("float")
+
+
+def _pack_by_cell(rows: DataFrame, name: str, block_rows: int, vector: str,
+                  order: str | None = None) -> DataFrame:
+    """Bring a cell's rows together and pack them into compact blocks of bounded size.
 
     A block never exceeds ``block_rows``, and rebalancing may split a hot cell over
-    several tasks: a cell simply has more blocks then.
+    several tasks: a cell simply has more blocks then. Rows that lie together share a
+    block, inside which they are in the order of the column ``order``.
     """
+    corner = T.ArrayType(T.DoubleType())
     packed = T.StructType([
-        T.StructField("cell", T.IntegerType()),
+        T.StructField("cell", T.IntegerType()), T.StructField("low", corner),
+        T.StructField("high", corner), T.StructField("reach", T.FloatType()),
         T.StructField("rows", T.ArrayType(T.StructType(
-            [f for f in rows.schema.fields if f.name != "cell"])))])
+            [f for f in rows.schema.fields if f.name not in ("cell", "place")])))])
 
     def run(batches):
-        return kernel.pack(batches, block_rows)
+        return kernel.pack(batches, block_rows, vector, order)
 
-    return (rows.hint("rebalance", "cell").sortWithinPartitions("cell", *order)
+    return (rows.hint("rebalance", "cell").sortWithinPartitions("cell", "place")
             .mapInArrow(run, packed).withColumnRenamed("rows", name))
 
 

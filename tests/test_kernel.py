@@ -89,14 +89,18 @@ def test_pack_bounds_blocks():
     import pyarrow as pa
 
     cells = np.sort(np.random.default_rng(0).integers(0, 5, 1000)).astype(np.int32)
-    rows = pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.arange(1000))],
-                                      names=["cell", "x"])
+    x = np.random.default_rng(1).permutation(1000)
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(cells), pa.array(x), pa.array([[float(v), -v / 2] for v in x])],
+        names=["cell", "x", "v"])
     blocks = [(b.column("cell")[i].as_py(), [r["x"] for r in b.column("rows")[i].as_py()])
-              for b in kernel.pack([rows.slice(i, 90) for i in range(0, 1000, 90)], 64)
+              for b in kernel.pack([rows.slice(i, 90) for i in range(0, 1000, 90)], 64, "v", "x")
               for i in range(b.num_rows)]
     assert max(len(xs) for _, xs in blocks) <= 64
-    assert [x for _, xs in blocks for x in xs] == list(range(1000))
-    assert all(cells[x] == cell for cell, xs in blocks for x in xs)
+    assert sorted(v for _, xs in blocks for v in xs) == list(range(1000))
+    assert all(xs == sorted(xs) for _, xs in blocks)
+    of = dict(zip(x.tolist(), cells.tolist()))
+    assert all(of[v] == cell for cell, xs in blocks for v in xs)
     assert len(blocks) <= 5 + 1000 // 64
 
 
