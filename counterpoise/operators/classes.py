@@ -62,11 +62,21 @@ class SamplingPlan:
     fraction: float
 
 
-def sampling_plan(df: DataFrame, label: str, minority, pct: float) -> SamplingPlan:
-    """The same plan as scalars; the one small job that must run before a plan is built."""
+def sampling_plan(df: DataFrame, label: str, minority, pct: float,
+                  n_pos: int | None = None) -> SamplingPlan:
+    """The same plan as scalars; the one small job that must run before a plan is built.
+
+    With ``n_pos``, the number of minority rows, the table's rows need only be counted,
+    which reads no column.
+    """
     if pct <= 0:
         raise ValueError("pct must be positive")
-    row = sampling_plan_table(df, label, minority, pct).first()
-    if row["n_pos"] == 0:
+    if n_pos is None:
+        row = class_counts(df, label, minority).first()
+        n_pos, n_neg = row["n_pos"], row["n_neg"]
+    else:
+        n_neg = df.count() - n_pos
+    if n_pos == 0:
         raise ValueError(f"no row carries the minority label {minority!r}")
-    return SamplingPlan(row["n_pos"], row["n_neg"], row["n"], row["fraction"])
+    n = partners_per_row(pct)
+    return SamplingPlan(n_pos, n_neg, n, float(n_neg) * float(pct) / 100.0 / n_pos / float(n + 1))

@@ -107,10 +107,10 @@ def oversample(
     """
     check_choice(choose, k, pct)
     check_metric(metric)
-    plan = sampling_plan(df, label, minority, pct)
     columns = dict.fromkeys([key, *feature_names(df, features)])
     # Measured, cut into cells, searched and searched for: read the table for it only once.
     rare = materialize(minority_rows(df, label, minority).select(*columns))
+    plan = sampling_plan(df, label, minority, pct, rare.count())
     made = synthetic_rows(rare, key, features, plan, k=k, seed=seed, choose=choose,
                           metric=metric, strategy=strategy)
     made = _labelled(made, F.lit(minority).cast(df.schema[label].dataType), "synthetic")
@@ -129,9 +129,9 @@ def oversample_keyless(
     """
     check_choice(choose, k, pct)
     check_metric(metric)
-    plan = sampling_plan(df, label, minority, pct)
     values = _feature_values(df, features)
     rare = materialize(with_row_key(minority_rows(df, label, minority).select(*values), "_key"))
+    plan = sampling_plan(df, label, minority, pct, rare.count())
     made = synthetic_rows(rare, "_key", features, plan, k=k, seed=seed, choose=choose,
                           metric=metric, strategy=strategy).drop("id")
     name = F.lit(minority).cast(df.schema[label].dataType)
