@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from counterpoise.llm.common import (
     byte_view,
@@ -174,7 +175,7 @@ def anchor_table(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     pa.array(count.astype(np.int32)), pa.array(h.view(np.int64)),
                     pa.array(ctx.view(np.int64))], ["doc_id", "txt", "begin", "cnt", "h", "ctx"])
 
-    return stored(docs.mapInArrow(run, ANCHOR), "anchors")
+    return stored(docs.select("doc_id", "txt", "text").mapInArrow(run, ANCHOR), "anchors")
 
 
 NEEDED = "h long, ctx long, n long, shards int, cnt int, bytes binary"
@@ -184,7 +185,7 @@ def context_bytes(docs: DataFrame, needed: DataFrame, window: int) -> DataFrame:
     """The bytes of the contexts in ``needed``, each read from the row that it names."""
     lists = needed.groupBy("doc_id", "txt").agg(F.collect_list(F.struct(
         "h", "ctx", "n", "shards", "begin", "cnt")).alias("wanted"))
-    joined = docs.join(lists.withColumnsRenamed({"doc_id": "_id", "txt": "_t"}),
+    joined = docs.select("doc_id", "txt", "text").join(lists.withColumnsRenamed({"doc_id": "_id", "txt": "_t"}),
                        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("txt") == F.col("_t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,29 +420,34 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """``docs``, all its rows and columns, with the repeated strings taken out of ``text``.
 
     Bytes of a character that is cut in part go with it; ``n_chars``, if there, is counted
-    anew; a null text stays null.
+    anew where a text changes; a null text stays null.
     """
-    found = removed_spans(_keyed(docs), window, gram).filter("found IS NOT NULL")
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(
+        F.struct(*others).alias("row"), F.col("text").isNull().alias("none"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("txt", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [kept_bytes(batch.column("text")[k].as_py().encode(),
-                                batch.column("found")[k].as_py(), window)[0].decode(errors="ignore")
-                     for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("txt"), pa.array(texts, pa.string())],
-                ["_id", "_t", "_kept"])
-
-    changed = found.select("doc_id", "txt", "text", "found").mapInArrow(
-        run, "_id long, _t long, _kept string").dropDuplicates(["_id", "_t"])
-    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    out = docs.join(changed, docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))
-                    & (text == F.col("_t")), "left")
-    columns = {"text": F.coalesce(F.col("_kept"), F.col("text"))}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(
-            F.length("_kept").cast(docs.schema["n_chars"].dataType))
-    return out.withColumns(columns).drop("_id", "_t", "_kept")
+            for part in slices(batch):
+                found = part.column("found").to_pylist()
+                texts = [text if f is None else kept_bytes(text.encode(), f, window)[0].decode(
+                    errors="ignore") for text, f in zip(part.column("text").to_pylist(), found)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), part.column("none"), pa.array(texts, pa.string()),
+                     part.column("found").is_valid()], ["row", "none", "text", "cut"])
+
+    schema = T.StructType([rows.schema["row"], rows.schema["none"], rows.schema["text"],
+                           T.StructField("cut", T.BooleanType())])
+    out = removed_spans(rows, window, gram).select("row", "none", "text", "found").mapInArrow(
+        run, schema)
+    columns = {c: F.col("row")[c] for c in others}
+    columns["text"] = F.when(~F.col("none"), F.col("text"))
+    if "n_chars" in others:
+        columns["n_chars"] = F.when(F.col("cut"), F.length("text").cast(
+            docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return out.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def op1_suffix_dedup(spark, folder: str) -> DataFrame:
