@@ -185,8 +185,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
         benchmark, window)
     bad = found.filter("contaminated").select(
         F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.t").alias("_t")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id"))
-                     & (F.xxhash64(docs["text"]) == F.col("_t")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"])
+                     & (F.xxhash64(docs["text"]) == bad["_t"]), "left_anti")
 
 
 def op9_decontaminate(spark, folder: str) -> DataFrame:

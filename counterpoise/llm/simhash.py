@@ -187,13 +187,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs.filter("doc_id IS NOT NULL"))
     kept = stored(found.filter("doc_id = component_id").groupBy("doc_id").agg(
         F.count("*").alias("n")), "kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")),
-                    F.col("doc_id") == F.col("_kept"), "left_semi")
+    chosen = kept.select(F.col("doc_id").alias("_kept"))
+    out = docs.join(chosen, docs["doc_id"] == chosen["_kept"], "left_semi")
     again = kept.filter("n > 1").select(F.col("doc_id").alias("_again"))
     if not again.isEmpty():
-        once = out.join(again, F.col("doc_id") == F.col("_again"), "left_semi")
-        out = out.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(
-            once.dropDuplicates(["doc_id"]))
+        same = out["doc_id"] == again["_again"]
+        once = out.join(again, same, "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(again, same, "left_anti").unionByName(once)
     return out.unionByName(docs.filter("doc_id IS NULL"))
 
 

@@ -78,7 +78,7 @@ def test_repeated_rows_and_no_items(spark, monkeypatch):
 def test_contaminated_rows_go(spark):
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     ids = [None, *range(len(TEXTS) - 1)]
-    docs = documents(spark, TEXTS, ids)
+    docs = documents(spark, TEXTS, ids).selectExpr("*", "1 AS _id", "2 AS _t", "3 AS item_id")
     kept = decontaminate.remove_contaminated(docs, benchmark)
     assert kept.columns == docs.columns
     want = [x[0] for x in brute(list(zip(ids, TEXTS)), ITEMS) if not x[-1]]

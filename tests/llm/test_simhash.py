@@ -105,3 +105,12 @@ def test_first_of_each_group_stays(spark):
     kept = simhash.keep_first(spark.createDataFrame(rows, DOC_SCHEMA))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 9, None]
+
+
+def test_extra_columns_with_clashing_names(spark):
+    docs = documents(spark, ["x y z", "X y z", "other"]).selectExpr(
+        "*", "1 AS print", "2 AS root", "'a' AS component_id", "doc_id AS _kept")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+    assert simhash.near_duplicates(docs).count() == 3

@@ -120,3 +120,15 @@ def test_texts_without_repeats_stay(spark):
     assert rows[0].text == texts[0] and rows[3].text is None and rows[4].text == ""
     assert shared[5:20] not in rows[1].text and rows[1].text.startswith("head")
     assert rows[2].text.startswith("start") and rows[2].n_chars == len(rows[2].text)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    text = "one long enough text that comes again"
+    docs = documents(spark, [text, text, None, "other"]).selectExpr(
+        "*", "1 AS row", "'z' AS txt", "2.5 AS found", "array(1) AS h", "doc_id AS n_chars2")
+    kept = suffix.without_repeats(docs, 12, 4)
+    assert kept.columns == docs.columns
+    rows = {r.doc_id: r for r in kept.collect()}
+    assert [rows[k].text for k in range(4)] == ["", "", None, "other"]
+    assert all(r.row == 1 and r.txt == "z" and r.h == [1] for r in rows.values())
+    assert suffix.digests(docs, 12, 4).count() == 4
