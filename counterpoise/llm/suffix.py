@@ -40,7 +40,7 @@ WINDOW, GRAM = 400, 64
 SHARD_BYTES = 1 << 20
 
 #: Contexts of one anchor that stay in one shard.
-SHARD_CONTEXTS = 1500
+SHARD_CONTEXTS = 512
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
