@@ -26,8 +26,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that start at several places; no row goes."""
-    return suffix.without_repeats(docs)
+    """Texts without the strings of 400 bytes and the passages of 51 words that start at
+    several places; no row goes."""
+    return suffix.without_repeats(docs, passage=suffix.PASSAGE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

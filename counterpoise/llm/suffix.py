@@ -8,6 +8,9 @@ suffixes of its contexts (Larsson-Sadakane refinement), takes common prefixes of
 neighbours (Kasai's recurrence), and finds the strings that occur again. An anchor with
 very many different contexts is cut into several shards; their sorted lists of strings are
 merged by binary search. What is found goes back to all places of a context by a join.
+
+The same search runs over words: a word is one symbol, a 64-bit hash, and a window is a
+number of words, whatever their bytes and the white space between them.
 """
 
 from __future__ import annotations
@@ -36,17 +39,58 @@ from counterpoise.llm.common import (
 #: Bytes of a string that counts as repeated, and of the grams that choose its anchor.
 WINDOW, GRAM = 400, 64
 
+#: Words of a passage that counts as repeated, and of the grams that choose its anchor.
+PASSAGE, PASSAGE_GRAM = 51, 8
+
 #: Bytes of contexts that one suffix array covers.
 SHARD_BYTES = 1 << 20
 
 #: Contexts of one anchor that stay in one shard.
 SHARD_CONTEXTS = 512
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
+#: White space of several bytes, by its number of bytes, as little-endian numbers.
+_WIDE = {size: [int.from_bytes(c, "little") for c in (
+    chr(k).encode() for k in range(0x80, 0x3001) if chr(k).isspace()) if len(c) == size]
+    for size in (2, 3)}
+_LEAD = np.zeros(256, bool)
+_LEAD[sorted({c & 255 for codes in _WIDE.values() for c in codes})] = True
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts one after the other: where words start and end, and the first word of each
+    text. Words are what str.split() gives."""
+    blank = _BLANK[data]
+    lead = np.flatnonzero(_LEAD[data])
+    for size, codes in _WIDE.items():
+        at = lead[lead + size <= len(data)]
+        code = sum(data[at + k].astype(np.int64) << 8 * k for k in range(size))
+        hit = at[np.isin(code, codes)]
+        for k in range(size):
+            blank[hit + k] = True
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~blank
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
+    stops = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
+    return starts, stops, np.searchsorted(starts, offsets)
+
+
+def units(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What windows count in, bytes or hashes of words, and where each text's begin."""
+    if not words:
+        return data, offsets
+    starts, stops, first = word_places(data, offsets)
+    return run_hash(prefix_hash(data), starts, stops), first
+
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes of ``data`` (bytes) in lexicographic order."""
+    """Starts of all suffixes of ``data`` (bytes or 64-bit symbols) in lexicographic order."""
     n = len(data)
-    key = words_at(data)
+    symbols = data.dtype == np.uint64
+    key = data if symbols else words_at(data)
     order = np.argsort(key, kind="stable")
     rank = np.empty(n, np.int64)
     first = np.empty(n, bool)
@@ -55,7 +99,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     # suffixes that end inside the first eight bytes come before longer equal ones
     at = np.arange(n)
-    depth = 0 if n < 8 or (data[-8:] == 0).any() else 8
+    depth = 1 if symbols else 0 if n < 8 or (data[-8:] == 0).any() else 8
     if not depth:
         order = np.argsort(data, kind="stable")
         first[1:] = data[order[1:]] != data[order[:-1]]
@@ -91,7 +135,7 @@ def words_at(data: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Common bytes of each suffix in ``order`` with the one before it (the first: 0).
+    """Common bytes or symbols of each suffix in ``order`` with the one before it (the first: 0).
 
     Where the bytes before both suffixes are equal, Kasai's recurrence gives one less than
     the value of the suffix one byte longer; only the others are compared byte by byte.
@@ -109,7 +153,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     start = np.flatnonzero(own)
     near = before[start]
     value = np.zeros(len(start), np.int64)
-    key = words_at(data)
+    symbols = data.dtype == np.uint64
+    key = data if symbols else words_at(data)
     live = np.flatnonzero(near >= 0)
     while len(live):
         i, j = start[live] + value[live], near[live] + value[live]
@@ -117,6 +162,10 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
         live, i, j = live[inside], i[inside], j[inside]
         differ = key[i] ^ key[j]
         same = differ == 0
+        if symbols:
+            value[live] += same
+            live = live[same]
+            continue
         bits = np.zeros(len(live), np.int64)
         some = differ[~same]
         high = np.frexp((some >> np.uint64(11)).astype(float))[1] + 11
@@ -162,12 +211,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
 ANCHOR = "doc_id long, txt long, begin int, cnt int, h long, ctx long"
 
 
-def anchor_table(docs: DataFrame, window: int, gram: int) -> DataFrame:
+def anchor_table(docs: DataFrame, window: int, gram: int, words: bool = False) -> DataFrame:
     """One row per anchor of every text: where its context begins, how many strings it has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                data, offsets = byte_view(part.column("text"))
+                data, offsets = units(*byte_view(part.column("text")), words)
                 text, begin, count, h, ctx = anchors(data, offsets, window, gram)
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id").take(pa.array(text)), part.column("txt").take(pa.array(text)),
@@ -181,7 +230,8 @@ def anchor_table(docs: DataFrame, window: int, gram: int) -> DataFrame:
 NEEDED = "h long, ctx long, n long, shards int, cnt int, bytes binary"
 
 
-def context_bytes(docs: DataFrame, needed: DataFrame, window: int) -> DataFrame:
+def context_bytes(docs: DataFrame, needed: DataFrame, window: int,
+                  words: bool = False) -> DataFrame:
     """The bytes of the contexts in ``needed``, each read from the row that it names."""
     lists = needed.groupBy("doc_id", "txt").agg(F.collect_list(F.struct(
         "h", "ctx", "n", "shards", "begin", "cnt")).alias("wanted"))
@@ -195,8 +245,11 @@ def context_bytes(docs: DataFrame, needed: DataFrame, window: int) -> DataFrame:
                 wanted = part.column("wanted")
                 flat = wanted.flatten()
                 row = np.repeat(np.arange(part.num_rows), wanted.value_lengths().to_numpy())
-                begin = flat.field("begin").to_numpy() + offsets[row]
+                starts, stops, first = word_places(data, offsets) if words else (None, None, offsets)
+                begin = flat.field("begin").to_numpy() + first[row]
                 size = flat.field("cnt").to_numpy() + window - 1
+                if words:
+                    begin, size = starts[begin], stops[begin + size - 1] - starts[begin]
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [flat.field(c) for c in ("h", "ctx", "n", "shards", "cnt")] + [pa.array(
@@ -232,7 +285,7 @@ def _spans(flags: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def shard_search(contexts: DataFrame, window: int) -> DataFrame:
+def shard_search(contexts: DataFrame, window: int, words: bool = False) -> DataFrame:
     """What the suffix arrays of the shards find, stored.
 
     Rows with ``spans``: the strings of a context that occur again. Rows with ``keys``: for
@@ -250,8 +303,9 @@ def shard_search(contexts: DataFrame, window: int) -> DataFrame:
             unique.setdefault((x[0], x[1]), k)
         held = [held[k] for k in unique.values()]
         h, ctx, times, shards, count, raw = zip(*held)
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        begin = np.cumsum([0] + [len(r) for r in raw])[:-1]
+        data, begin = units(np.frombuffer(b"".join(raw), np.uint8),
+                            np.cumsum([0] + [len(r) for r in raw]), words)
+        begin = begin[:-1]
         count, times = np.array(count, np.int64), np.array(times, np.int64)
         place, again, group = repeated(data, begin, count, times, window)
         edge = np.cumsum(count) - count
@@ -349,38 +403,61 @@ def merged(found: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "h long, ctx long, spans array<int>")
 
 
-def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` (doc_id, txt, text) with the spans of strings that occur again: ``found`` is
-    an array of (begin, spans); byte starts are begin + first ... begin + beyond - 1."""
-    places = anchor_table(docs, window, gram)
+def repeated_spans(docs: DataFrame, window: int, gram: int, words: bool = False) -> DataFrame:
+    """(doc_id, txt, begin, spans) of the strings of ``docs`` (doc_id, txt, text) that occur
+    again; starts, in bytes or words, are begin + first ... begin + beyond - 1."""
+    places = anchor_table(docs, window, gram, words)
     contexts = stored(places.groupBy("h", "ctx").agg(
         F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "txt", "begin", "cnt"))),
         "contexts")
     shared = (contexts.groupBy("h").agg(F.sum("n").alias("_all"), F.count("*").alias("_k"))
               .filter("_all > 1")
               .select("h", F.ceil(F.col("_k") / SHARD_CONTEXTS).cast("int").alias("shards")))
-    found = shard_search(context_bytes(docs, contexts.join(shared, "h"), window), window)
+    needed = context_bytes(docs, contexts.join(shared, "h"), window, words)
+    found = shard_search(needed, window, words)
     spans = stored(found.filter("spans IS NOT NULL").select("h", "ctx", "spans")
                    .unionByName(merged(found)), "spans")
-    lists = (places.join(spans, ["h", "ctx"]).groupBy("doc_id", "txt")
-             .agg(F.collect_list(F.struct("begin", "spans")).alias("found"))
+    return places.join(spans, ["h", "ctx"]).select("doc_id", "txt", "begin", "spans")
+
+
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``docs`` with ``found``, an array of what ``spans`` has for a row besides its keys."""
+    rest = [c for c in spans.columns if c not in ("doc_id", "txt")]
+    lists = (spans.groupBy("doc_id", "txt").agg(F.collect_list(F.struct(*rest)).alias("found"))
              .withColumnsRenamed({"doc_id": "_id", "txt": "_t"}))
     return docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_id"))
                      & (F.col("txt") == F.col("_t")), "left").drop("_id", "_t")
 
 
-def kept_bytes(raw: bytes, found: list | None, window: int) -> tuple[bytes, int]:
-    """What is left of a text, and the number of maximal removed runs."""
+def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``docs`` (doc_id, txt, text) with the spans of strings that occur again: ``found`` is
+    an array of (begin, spans); byte starts are begin + first ... begin + beyond - 1."""
+    return with_spans(docs, repeated_spans(docs, window, gram))
+
+
+def kept_bytes(raw: bytes, found: list | None, window: int, passage: int = 0) -> tuple[bytes, int]:
+    """What is left of a text, and the number of maximal removed runs.
+
+    Entries of ``found`` that are marked ``words`` count in words and cover ``passage`` of
+    them, with the white space between.
+    """
     if not found:
         return raw, 0
+    data = np.frombuffer(raw, np.uint8)
+    if any(x.get("words") for x in found):
+        starts, stops, _ = word_places(data, np.array([0, len(raw)]))
     change = np.zeros(len(raw) + 1, np.int64)
     for x in found:
         edge = np.array(x["spans"], np.int64) + x["begin"]
-        np.add.at(change, edge[0::2], 1)
-        np.add.at(change, edge[1::2] + window - 1, -1)
+        if x.get("words"):
+            first, beyond = starts[edge[0::2]], stops[edge[1::2] + passage - 2]
+        else:
+            first, beyond = edge[0::2], edge[1::2] + window - 1
+        np.add.at(change, first, 1)
+        np.add.at(change, beyond, -1)
     gone = np.cumsum(change[:-1]) > 0
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(raw, np.uint8)[~gone].tobytes(), runs
+    return data[~gone].tobytes(), runs
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -416,9 +493,12 @@ def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
         run, DIGEST)
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
+                    passage: int = 0, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
     """``docs``, all its rows and columns, with the repeated strings taken out of ``text``.
 
+    With ``passage``, repeated runs of so many words go as well, however few bytes they
+    have; both are judged on the input. White space around a run of words stays.
     Bytes of a character that is cut in part go with it; ``n_chars``, if there, is counted
     anew where a text changes; a null text stays null.
     """
@@ -432,16 +512,20 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         for batch in batches:
             for part in slices(batch):
                 found = part.column("found").to_pylist()
-                texts = [text if f is None else kept_bytes(text.encode(), f, window)[0].decode(
-                    errors="ignore") for text, f in zip(part.column("text").to_pylist(), found)]
+                texts = [text if f is None else kept_bytes(
+                    text.encode(), f, window, passage)[0].decode(errors="ignore") for text, f in zip(part.column("text").to_pylist(), found)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), part.column("none"), pa.array(texts, pa.string()),
                      part.column("found").is_valid()], ["row", "none", "text", "cut"])
 
     schema = T.StructType([rows.schema["row"], rows.schema["none"], rows.schema["text"],
                            T.StructField("cut", T.BooleanType())])
-    out = removed_spans(rows, window, gram).select("row", "none", "text", "found").mapInArrow(
-        run, schema)
+    spans = repeated_spans(rows, window, gram)
+    if passage:
+        by_word = repeated_spans(rows, passage, min(passage, passage_gram), words=True)
+        spans = spans.withColumn("words", F.lit(False)).unionByName(
+            by_word.withColumn("words", F.lit(True)))
+    out = with_spans(rows, spans).select("row", "none", "text", "found").mapInArrow(run, schema)
     columns = {c: F.col("row")[c] for c in others}
     columns["text"] = F.when(~F.col("none"), F.col("text"))
     if "n_chars" in others:

@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import os
+import re
 
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from counterpoise.llm import suffix
 from tests.llm.conftest import documents
 
@@ -132,3 +134,59 @@ def test_extra_columns_with_clashing_names(spark):
     assert [rows[k].text for k in range(4)] == ["", "", None, "other"]
     assert all(r.row == 1 and r.txt == "z" and r.h == [1] for r in rows.values())
     assert suffix.digests(docs, 12, 4).count() == 4
+
+
+def without_passages(texts, window, passage):
+    """The texts without repeated strings of ``window`` bytes and ``passage`` words."""
+    word = re.compile(r"\S+")
+    raws = [t.encode() for t in texts]
+    places = [[(len(t[:m.start()].encode()), len(t[:m.end()].encode())) for m in word.finditer(t)]
+              for t in texts]
+    lists = [t.split() for t in texts]
+    strings = collections.Counter(r[k:k + window] for r in raws for k in range(len(r) - window + 1))
+    runs = collections.Counter(tuple(w[k:k + passage]) for w in lists
+                               for k in range(len(w) - passage + 1))
+    out = []
+    for raw, at, w in zip(raws, places, lists):
+        gone = bytearray(len(raw))
+        spans = [(k, k + window) for k in range(len(raw) - window + 1)
+                 if strings[raw[k:k + window]] > 1]
+        spans += [(at[k][0], at[k + passage - 1][1]) for k in range(len(w) - passage + 1)
+                  if runs[tuple(w[k:k + passage])] > 1]
+        for a, b in spans:
+            gone[a:b] = b"\x01" * (b - a)
+        out.append(bytes(x for x, g in zip(raw, gone) if not g).decode(errors="ignore"))
+    return out
+
+
+@pytest.mark.parametrize("shard,contexts", [(1 << 20, 1500), (300, 2)])
+@pytest.mark.parametrize("window,passage,gram", [(400, 5, 2), (20, 4, 4), (30, 9, 1)])
+def test_repeated_passages(spark, monkeypatch, window, passage, gram, shard, contexts):
+    monkeypatch.setattr(suffix, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix, "SHARD_CONTEXTS", contexts)
+    texts = [t or "" for t in texts_with_repeats(passage, 12)]
+    texts += [texts[5].replace(" ", "\u2003\n"), texts[6].replace(" ", "\u00a0"), " ".join("a" * 40)]
+    kept = suffix.without_repeats(documents(spark, texts), window, 8, passage, gram).collect()
+    want = without_passages(texts, window, passage)
+    assert [r.text for r in sorted(kept, key=lambda r: r.doc_id)] == want
+    assert sum(map(len, want)) < sum(map(len, texts))
+
+
+def test_the_stage_cuts_short_passages(spark):
+    rng = np.random.default_rng(4)
+
+    def words(n):
+        return " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+
+    short, long, under = words(51), "x" * 500, words(50)
+    assert len(short) < 400
+    texts = [words(80) + " " + short + " " + words(9), short.replace(" ", "\n") + " " + words(60),
+             words(30) + " " + under, under + " " + words(30), words(5) + " " + long, long + "y"]
+    rows = corpus_pipeline.cut_repeats(spark, documents(spark, texts), "").collect()
+    kept = [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
+    assert kept[0].split() == (texts[0][:480] + texts[0][-53:]).split()
+    assert kept[1].split() == texts[1].split()[51:]
+    assert kept[2:4] == texts[2:4]
+    assert "x" not in kept[4] and kept[5] == "y"
+    assert kept == without_passages(texts, suffix.WINDOW, 51)
+    assert all(r.n_chars == len(r.text) for r in rows)
