@@ -29,6 +29,9 @@ RANGE_ROWS, MOST_RANGES = 512, 16_384
 
 THRESHOLD = 0.8
 
+#: Classes under one signature and length part that are compared in one task.
+GROUP_ROWS = 2048
+
 
 def signatures(words: str) -> Column:
     """Distinct signatures (32 bits each), sorted, from the array column named ``words``."""
@@ -150,6 +153,58 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         likeness("sigs", "next_sigs").alias("near_next"))
 
 
+def _least(x: Column) -> Column:
+    """The smallest whole number from ``x`` on, rounding errors of ``x`` aside."""
+    return F.ceil(x - 1e-9)
+
+
+def _dealt(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``a`` and ``b``: of groups of one (spot, part) with more than
+    GROUP_ROWS rows, every part of the left side meets every part of the right one."""
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("spot", "part").agg(
+            F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias(name))
+
+    cut = parts(left, "ka").join(parts(right, "kb"), ["spot", "part"]).filter("ka > 1 OR kb > 1")
+    cut = F.broadcast(cut)  # a row per GROUP_ROWS rows at most
+
+    def side(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        rows = rows.join(cut, ["spot", "part"], "left").fillna(1, ["ka", "kb"])
+        return (rows.withColumn(own, F.pmod(F.xxhash64(key), f"k{own}").cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"k{other}") - 1)))
+                .drop("ka", "kb"))
+
+    return side(left, "x", "a", "b"), side(right, "y", "b", "a")
+
+
+def candidates(sized: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of classes that may be alike, some of them several times.
+
+    ``sized`` has class_id, size, part and sigs. The signatures of a class are in order,
+    the rarest first. With x the smaller of two alike classes, the first signature that
+    both have lies so early in x, and in y, that enough can follow in both.
+    """
+    spots = sized.select("class_id", "size", "part", F.explode("sigs").alias("spot"))
+    held = spots.groupBy("spot").agg(F.count("*").alias("held"))
+    rank = F.row_number().over(Window.partitionBy("class_id").orderBy("held", "spot"))
+    rare = (spots.join(held, "spot").withColumn("rank", rank)
+            .filter(F.col("rank") <= F.col("size") - _least(F.col("size") * threshold) + 1)
+            .select("class_id", "size", "part", "spot", "rank"))
+    both = threshold / (1 + threshold)  # alike: as much of both sizes together is shared
+    left = (rare.filter(F.col("rank") <= F.col("size") - _least(F.col("size") * (2 * both)) + 1)
+            .select(F.col("class_id").alias("x"), F.col("size").alias("n"), "spot",
+                    F.col("rank").alias("i"), F.explode(F.array("part", F.col("part") + 1)).alias("part")))
+    right = rare.select(F.col("class_id").alias("y"), F.col("size").alias("m"), "spot",
+                        F.col("rank").alias("j"), "part")
+    left, right = _dealt(left, right)
+    most = 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    return (left.join(right, ["spot", "part", "a", "b"])
+            .filter((F.col("x") != F.col("y")) & (F.col("n") <= F.col("m"))
+                    & (F.col("n") >= F.col("m") * threshold - 1e-9)
+                    & (most >= _least((F.col("n") + F.col("m")) * both)))
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Classes of equal fingerprints and the pairs of classes that are alike.
 
@@ -158,26 +213,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     of its fingerprint. Sets are partitioned by length: with sizes l <= m alike means
     l >= threshold * m, so a set only meets its own part and the next. Inside, two sets
     meet under a signature among the rarest of both (enough of each that alike sets share
-    one), and only if their lengths still allow the threshold.
+    one), and only if their lengths and the signature's places still allow the threshold.
     """
     sets = with_signatures(docs.select("doc_id", "text"), "text", "sigs")
     rows = stored(sets.select("doc_id", "sigs", F.xxhash64("sigs").alias("class_id")), "spots")
     classes = rows.groupBy("class_id").agg(F.any_value("sigs").alias("sigs"))
     sized = classes.withColumn("size", F.size("sigs")).withColumn("part", F.floor(
         F.log(F.col("size").cast("double")) / F.lit(-1.0) / F.log(F.lit(threshold))).cast("int"))
-    spots = sized.select("class_id", "size", "part", F.explode("sigs").alias("spot"))
-    held = spots.groupBy("spot").agg(F.count("*").alias("held"))
-    rank = F.row_number().over(Window.partitionBy("class_id").orderBy("held", "spot"))
-    prefix = F.col("size") - F.ceil(F.col("size") * threshold) + 1
-    rare = (spots.join(held, "spot").withColumn("rank", rank).filter(F.col("rank") <= prefix)
-            .select("class_id", "size", "part", "spot"))
-    left = rare.select(F.col("class_id").alias("x"), F.col("size").alias("n"), "spot",
-                       F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    right = rare.select(F.col("class_id").alias("y"), F.col("size").alias("m"), "spot", "part")
-    met = (left.join(right, ["spot", "part"])
-           .filter((F.col("x") != F.col("y")) & (F.col("n") <= F.col("m"))
-                   & (F.col("n") >= F.col("m") * threshold))
-           .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    met = candidates(sized, threshold).distinct()
     a, b = (classes.select(F.col("class_id").alias(k), F.col("sigs").alias(f"_{k}")) for k in "ab")
     pairs = (met.join(a, "a").join(b, "b").withColumn("similarity", likeness("_a", "_b"))
              .filter(F.col("similarity") >= threshold).select("a", "b", "similarity"))

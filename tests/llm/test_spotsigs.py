@@ -90,3 +90,35 @@ def test_near_duplicates_lose_no_pair(spark):
     want = {frozenset((i, j)) for i in range(len(texts)) for j in range(i)
             if alike(texts[i], texts[j]) >= 0.8}
     assert found == want and len(want) > 20
+
+
+def near_pairs(spark, texts):
+    rows = [(k, t, None, None, None) for k, t in enumerate(texts)]
+    members, pairs = spotsigs.near_duplicates(spark.createDataFrame(rows, DOC_SCHEMA))
+    classes = {r.class_id: r.doc_id for r in members.collect()}
+    return {frozenset((classes[r.a], classes[r.b])) for r in pairs.collect()}
+
+
+def test_a_third_of_the_rows_share_boilerplate(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "GROUP_ROWS", 16)
+    emitted, inner = [], spotsigs.candidates
+
+    def counted(*given):
+        emitted.append(inner(*given).count())
+        return inner(*given)
+
+    monkeypatch.setattr(spotsigs, "candidates", counted)
+
+    def parts(kind, numbers):
+        return [f"the {kind}x{k} {kind}y{k} {kind}z{k}" for k in numbers]
+
+    shared = parts("s", range(8))
+    texts = [" ".join(shared + parts(f"t{k}t", range(2))) for k in range(100)]
+    texts += [" ".join(parts(f"u{k}u", range(10))) for k in range(200)]
+    assert near_pairs(spark, texts) == set()
+    assert emitted.pop() == 0
+    # nine of ten shared: all pairs of them are alike, and every one is found in parts
+    alike_ones = [" ".join(shared + parts("s", [8]) + parts(f"v{k}v", range(1))) for k in range(40)]
+    assert alike(alike_ones[0], alike_ones[1]) > 0.8
+    want = {frozenset((i, j)) for i in range(40) for j in range(i)}
+    assert near_pairs(spark, alike_ones + texts[100:120]) == want
