@@ -4,20 +4,22 @@ A Bradley-Terry model: the odds that a document is preferred to another are the
 their strengths, and the log strength is linear in features of the text. Preference pairs
 are a labelled good and a labelled bad document; the logistic loss on the differences of
 their features is minimised. A quantile of the learned scores is the threshold.
+
+The weights come from a bounded sample of the labelled rows, the threshold from all of them.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from counterpoise.llm.common import fold, id_and_text, table
+from counterpoise.llm.common import fold, id_and_text, stored, table
 from counterpoise.llm.toxicity import labelled_sample
 
 #: Labelled rows of a class that a model is fitted on, the largest text among them, and
@@ -26,6 +28,9 @@ FIT_ROWS = 4000
 FIT_BYTES = 64_000
 PAIRS = 40_000
 
+#: Parts of the rows that the first step of the threshold tells apart.
+ACCURACY = 10_000
+
 #: Rows whose fold is HELD_OUT train nothing. Scores from THRESHOLD on count as good.
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 
@@ -69,16 +74,20 @@ class Quality:
     weights: tuple[float, ...]
     cut: float
 
-    def of(self, rows: np.ndarray) -> np.ndarray:
-        strength = rows @ np.array(self.weights) - self.cut
-        shift = np.log(THRESHOLD / (1 - THRESHOLD))
-        return 1 / (1 + np.exp(-np.clip(strength + shift, -500, 500)))
+    def strength(self, rows: np.ndarray) -> np.ndarray:
+        return rows @ np.array(self.weights)
+
+    def score(self, strength: Column) -> Column:
+        shift = float(np.log(THRESHOLD / (1 - THRESHOLD)))
+        x = strength - F.lit(self.cut) + F.lit(shift)
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), x))))
 
 
-def fit(good: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int,
+def fit(good: np.ndarray, bad: np.ndarray,
         pairs: int = PAIRS, ridge: float = 1.0, steps: int = 50) -> Quality:
-    """A model from the features of good and bad documents; the counts are those of all
-    labelled rows. Without documents of both classes every score is 1 or, if all are bad, 0.5."""
+    """The weights of a model, from the features of good and bad documents; ``cut`` is for
+    ``threshold`` to find. Without documents of both classes the weights are zero, and every
+    score is 1 or, if all are bad, 0.5."""
     if not len(good) or not len(bad):
         return Quality((0.0,) * FEATURES, 1.0 if len(bad) else -5.0)
     both = np.concatenate([good, bad])
@@ -96,37 +105,78 @@ def fit(good: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int,
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    weights = w / scale
-    # the share of bad documents, as all labelled rows have it, lies below the threshold
-    order = np.concatenate([good @ weights, bad @ weights])
-    mass = np.repeat([n_good / len(good), n_bad / len(bad)], [len(good), len(bad)])
-    rank = np.argsort(order, kind="stable")
-    below = np.cumsum(mass[rank]) / mass.sum()
-    k = int(np.searchsorted(below, n_bad / (n_good + n_bad)))
-    k = min(k, len(rank) - 2)
-    cut = (order[rank[k]] + order[rank[k + 1]]) / 2
-    return Quality(tuple(weights.tolist()), float(cut))
+    return Quality(tuple((w / scale).tolist()), 0.0)
+
+
+def threshold(rated: DataFrame) -> float | None:
+    """The strength below which lies as large a share of ``rated`` (label, strength) as is
+    bad: half-way between the two rows next to it. None without rows of both classes.
+
+    It is exact and takes all rows: a sketch gives borders around the place, and only the
+    distinct strengths between them, about one in ACCURACY, come to the driver.
+    """
+    n, bad = rated.agg(F.count("*"), F.count_if(F.col("label") <= 0)).first()
+    if not 0 < bad < n:
+        return None
+    margin = 2 / ACCURACY
+    while True:
+        low, high = rated.agg(F.percentile_approx("strength", [
+            max(0.0, bad / n - margin), min(1.0, (bad + 1) / n + margin)], ACCURACY)).first()[0]
+        below = rated.filter(F.col("strength") < low).count()
+        near = sorted(map(tuple, rated.filter(F.col("strength").between(low, high))
+                          .groupBy("strength").agg(F.count("*").alias("n")).collect()))
+        upto = below + np.cumsum([k for _, k in near])
+        if below < bad and upto[-1] > bad:
+            first, second = np.searchsorted(upto, [bad, bad + 1])
+            return float((near[first][0] + near[second][0]) / 2)
+        margin *= 4
+
+
+def fitted(docs: DataFrame, labels: DataFrame, train: Column, rows: int = FIT_ROWS) -> Quality:
+    texts, _ = labelled_sample(docs, labels, "quality", train, rows, FIT_BYTES)
+    good, bad = (np.array([features(t) for t in part]).reshape(-1, FEATURES) for part in texts)
+    return fit(good, bad)
+
+
+def with_threshold(model: Quality, rated: DataFrame, labels: DataFrame, train: Column) -> Quality:
+    """``model`` with the cut by all rows of ``rated`` (doc_id, strength) that ``train``
+    allows and ``labels`` names. A document with several labels has the largest."""
+    if not any(model.weights):
+        return model
+    known = (labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & train)
+             .groupBy("doc_id").agg(F.max("quality").alias("label")))
+    cut = threshold(rated.select("doc_id", "strength").join(known, "doc_id"))
+    return model if cut is None else replace(model, cut=cut)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None,
                   rows: int = FIT_ROWS) -> Quality:
     """A model from the labelled documents (``labels``: doc_id, quality) that ``train`` allows."""
-    texts, counts = labelled_sample(
-        docs, labels, "quality", F.lit(True) if train is None else train, rows, FIT_BYTES)
-    good, bad = (np.array([features(t) for t in part]).reshape(-1, FEATURES) for part in texts)
-    return fit(good, bad, *counts)
+    train = F.lit(True) if train is None else train
+    model = fitted(docs, labels, train, rows)
+    return with_threshold(model, stored(rate(docs, model), "strengths"), labels, train)
 
 
-def quality(text: Column, model: Quality) -> Column:
-    """Score of a text column (null: empty), 0 to 1, from the whole text and nothing else."""
+def rate(docs: DataFrame, model: Quality, *more: Column) -> DataFrame:
+    """doc_id, strength and ``more`` of every row of ``docs`` (null text: empty)."""
+    return id_and_text(docs, *more).withColumn("strength", strength(F.col("text"), model)).drop("text")
+
+
+def strength(text: Column, model: Quality) -> Column:
+    """Strength of a text column (null: empty), from the whole text and nothing else."""
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
         rows = np.array([features(x.as_py()) for x in column]).reshape(-1, FEATURES)
-        return pa.array(model.of(rows))
+        return pa.array(model.strength(rows))
 
     return score(text)
 
 
+def quality(text: Column, model: Quality) -> Column:
+    """Score of a text column (null: empty), 0 to 1."""
+    return model.score(strength(text, model))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (null text: empty).
 
@@ -134,9 +184,11 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     other columns are not read; an empty table gives no rows.
     """
     held = fold(F.col("doc_id"), FOLDS) == HELD_OUT
-    model = train_quality(docs, labels, ~held)
-    scored = id_and_text(docs).select(
-        "doc_id", held.alias("held_out"), quality(F.col("text"), model).alias("score"))
+    model = fitted(docs, labels, ~held)
+    rated = stored(rate(docs, model), "strengths")
+    model = with_threshold(model, rated, labels, ~held)
+    scored = rated.select(
+        "doc_id", held.alias("held_out"), model.score(F.col("strength")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

@@ -61,6 +61,31 @@ def test_labels_of_held_out_rows_change_nothing(spark):
         assert found[0] == found[1]
 
 
+def test_the_quality_threshold_covers_all_labelled_rows(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), rng.integers(1, 9))) + "!" * (
+        int(rng.random() < share)) for _ in range(rng.integers(5, 60)))
+        for share in np.repeat([0.1, 0.3], [300, 100])]
+    texts += ["a calm and long text " * 4000 + str(k) for k in range(40)]  # over FIT_BYTES
+    rows = [(k, int(k < 300 or k >= 400)) for k in range(440)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int")
+    docs = documents(spark, texts)
+    model = quality.train_quality(docs, labels, rows=30)
+    scores = docs.select("doc_id", quality.quality(docs["text"], model).alias("s")).collect()
+    assert sum(r.s < quality.THRESHOLD for r in scores) == 100
+
+
+@pytest.mark.parametrize("values,bad", [
+    ([1.0, 2.0], 1), ([5.0] * 9, 4), (list(range(1000)), 1), (list(range(1000)), 999),
+    ([0.0] * 700 + list(range(300)), 500), (np.random.default_rng(0).normal(size=5000), 1234)])
+def test_the_threshold_is_exact(spark, monkeypatch, values, bad):
+    monkeypatch.setattr(quality, "ACCURACY", 100)
+    rows = [(int(k >= bad), float(x)) for k, x in enumerate(values)]
+    found = quality.threshold(spark.createDataFrame(rows, "label int, strength double"))
+    order = sorted(map(float, values))
+    assert found == (order[bad - 1] + order[bad]) / 2
+
+
 def test_windows_keep_every_word():
     text = b"  one two\n" + b"x" * 500 + b" three four " * 30
     for size in (1, 10, 64, 10_000):
