@@ -1,7 +1,8 @@
-"""Token counts of documents in flat token files, found by their end-of-document ids.
+"""Token counts of documents in token files, found by their end-of-document ids.
 
-A token file is a run of fixed-width ids without an index; it is read in blocks whose
-borders ignore documents. Each block is searched for the end id with one array
+A token file is a run of fixed-width ids without an index, cut into blocks whose borders
+ignore documents. It is held as a table with a row per block (file, block, data); files of
+bytes outside a table are not read. Each block is searched for the end id with one array
 comparison; what a document has in several blocks is put together with a prefix scan over
 the blocks' summaries, first inside runs of blocks and then over the runs.
 """
@@ -16,13 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from counterpoise.llm.common import byte_view, id_and_text, slices, stored, table
-from counterpoise.llm.tokens import encode, vocabulary_path
+from counterpoise.llm.tokens import encode, pieces, vocabulary_path
 
 #: Width of a stored id; 49,408 ids fit.
 WIDTH = np.dtype("<u2")
 
-#: End-of-document id of the default vocabulary.
-END = 49407
+#: End-of-document id: no vocabulary that fits has it, so no text can spell it.
+END = 0xFFFF
 
 #: Ids in a block of a token file.
 BLOCK = 1 << 18
@@ -37,10 +38,13 @@ def write_tokens(docs: DataFrame, path: str | None = None, end: int = END,
 
     ``file`` is the task that wrote it, ``data`` the block's ids as little-endian 16-bit
     numbers. ``doc_ids`` lists the documents that end in the block; the scan does not read
-    it. The last block of a file may be shorter. Where a text itself
-    spells the end id's special token, that id is left out, as it would end the document.
+    it. The last block of a file may be shorter. ``end`` must be no id of the vocabulary,
+    and all ids must fit the width; otherwise it is a ``ValueError``.
     """
     path = vocabulary_path(path)
+    size = len(pieces(path).closes)
+    if not size <= end <= np.iinfo(WIDTH).max:
+        raise ValueError(f"end id {end} with {size} ids in {WIDTH.itemsize} bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -66,13 +70,6 @@ def write_tokens(docs: DataFrame, path: str | None = None, end: int = END,
                 data, offsets = byte_view(part.column("text"))
                 ids, lengths = encode(path, data, offsets, end)
                 last = np.cumsum(lengths) - 1
-                inner = ids == end
-                inner[last] = False
-                if inner.any():  # the end id inside a text would end it early
-                    owner = np.repeat(np.arange(len(lengths)), lengths)
-                    lengths = lengths - np.bincount(owner[inner], minlength=len(lengths))
-                    ids = ids[~inner]
-                    last = np.cumsum(lengths) - 1
                 waiting += zip((last + len(held)).tolist(), part.column("doc_id").to_pylist())
                 held = np.concatenate([held, ids.astype(WIDTH)])
                 yield from blocks(False)

@@ -118,10 +118,13 @@ class Pieces:
         ends = np.minimum(nxt, offsets[owner + 1])
         ascii_only = np.cumsum(data >= 0x80)
         pure = ascii_only[ends - 1] - ascii_only[at] + (data[at] >= 0x80) == 0
+        # special tokens are spelled in lower case only, so their case must stay
+        special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        pure[np.searchsorted(at, special, side="right") - 1] = False
         small = _LOWER[data]
         mark = np.repeat(pure, np.diff(np.append(at, len(data))))
         folded = data.copy()
-        folded[at[0]:][mark] = small[at[0]:][mark]  # ASCII pieces count as lower case
+        folded[at[0]:][mark] = small[at[0]:][mark]  # other ASCII pieces count as lower case
         hashes = run_hash(prefix_hash(folded), at, ends)
         distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > REMEMBERED:

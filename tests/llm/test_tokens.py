@@ -63,6 +63,22 @@ def test_separator_scan_counts_every_document(spark):
     assert separators.document_token_counts(documents(spark, [])).count() == 0
 
 
+def test_spelled_special_tokens_count_as_the_tokenizer_has_them(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.vocabulary_path())
+    texts = ["<|endoftext|>", "a <|ENDOFTEXT|> b", "A<|EndOfText|>B<|endoftext|>C", "<|", "X<",
+             "|Y", "<|STARTOFTEXT|>", "no special token", "<|endoftext|><|endoftext|>"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert separators.END >= t.get_vocab_size()
+    found = separators.document_token_counts(documents(spark, texts)).collect()
+    assert sorted(map(tuple, found)) == [(k, len(x)) for k, x in enumerate(want)]
+    check_packing(packing.pack(documents(spark, texts)).collect(),
+                  {k: x + [packing.END] for k, x in enumerate(want)}, packing.Limits())
+    with pytest.raises(ValueError):
+        separators.document_token_counts(documents(spark, texts), end=49407)
+
+
 @pytest.mark.parametrize("block,run", [(1, 2), (3, 2), (7, 3), (1000, 2)])
 def test_blocks_are_stitched(spark, monkeypatch, block, run):
     monkeypatch.setattr(separators, "RUN", run)
