@@ -5,6 +5,7 @@ from counterpoise.llm import (
     decontaminate,
     licenses,
     lm,
+    merkle,
     packing,
     quality,
     separators,
@@ -14,7 +15,7 @@ from counterpoise.llm import (
     toxicity,
 )
 
-MODULES = (suffix, separators, lm, spotsigs, licenses, toxicity, quality, simhash, decontaminate, packing)
+MODULES = (suffix, separators, lm, spotsigs, licenses, toxicity, quality, simhash, decontaminate, packing, merkle)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 QUERIES["pipeline"] = corpus_pipeline.run
