@@ -7,6 +7,7 @@ from counterpoise.llm import (
     lm,
     merkle,
     packing,
+    phrases,
     quality,
     separators,
     simhash,
@@ -15,7 +16,7 @@ from counterpoise.llm import (
     toxicity,
 )
 
-MODULES = (suffix, separators, lm, spotsigs, licenses, toxicity, quality, simhash, decontaminate, packing, merkle)
+MODULES = (suffix, separators, lm, spotsigs, licenses, toxicity, quality, simhash, decontaminate, packing, phrases, merkle)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 QUERIES["pipeline"] = corpus_pipeline.run
