@@ -14,9 +14,11 @@ from counterpoise.llm import (
     spotsigs,
     suffix,
     toxicity,
+    trie,
 )
 
-MODULES = (suffix, separators, lm, spotsigs, licenses, toxicity, quality, simhash, decontaminate, packing, phrases, merkle)
+MODULES = (suffix, separators, lm, spotsigs, licenses, toxicity, quality, simhash, decontaminate, packing, phrases, merkle,
+           trie)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 QUERIES["pipeline"] = corpus_pipeline.run
