@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from counterpoise.materialize import materialize
+
 
 def is_minority(label: str, minority) -> Column:
     """One definition for both sides of the split; a missing label is majority."""
@@ -62,21 +65,34 @@ class SamplingPlan:
     fraction: float
 
 
-def sampling_plan(df: DataFrame, label: str, minority, pct: float,
-                  n_pos: int | None = None) -> SamplingPlan:
-    """The same plan as scalars; the one small job that must run before a plan is built.
+def sampling_plan(df: DataFrame, label: str, minority, pct: float) -> SamplingPlan:
+    """The same plan as scalars; the one small job that must run before a plan is built."""
+    row = class_counts(df, label, minority).first()
+    return plan_of_counts(row["n_pos"], row["n_neg"], minority, pct)
 
-    With ``n_pos``, the number of minority rows, the table's rows need only be counted,
-    which reads no column.
-    """
+
+def plan_of_counts(n_pos: int, n_neg: int, minority, pct: float) -> SamplingPlan:
     if pct <= 0:
         raise ValueError("pct must be positive")
-    if n_pos is None:
-        row = class_counts(df, label, minority).first()
-        n_pos, n_neg = row["n_pos"], row["n_neg"]
-    else:
-        n_neg = df.count() - n_pos
     if n_pos == 0:
         raise ValueError(f"no row carries the minority label {minority!r}")
     n = partners_per_row(pct)
     return SamplingPlan(n_pos, n_neg, n, float(n_neg) * float(pct) / 100.0 / n_pos / float(n + 1))
+
+
+def measured_minority(df: DataFrame, label: str, minority, columns: Sequence[str | Column],
+                      size: Column) -> tuple[DataFrame, int, int, float]:
+    """The minority's ``columns``, written once, with both class counts and the sum of
+    ``size`` over the minority, all observed in that one scan of ``df``.
+
+    The rows are written by the tasks that observe them, so a task that runs again counts
+    once.
+    """
+    seen = Observation()
+    positive = is_minority(label, minority)
+    observed = df.observe(
+        seen, F.count_if(positive).alias("n_pos"), F.count_if(~positive).alias("n_neg"),
+        F.sum(F.when(positive, size.cast("double"))).alias("size"))
+    rare = materialize(minority_rows(observed, label, minority).select(*columns))
+    found = seen.get
+    return rare, found["n_pos"], found["n_neg"], found["size"] or 0.0

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,14 @@ ROUTE_ROWS = 4_096
 SENT_ROWS = 65_536
 
 
+@dataclass(frozen=True)
+class Known:
+    """Upper bounds of sizes that a caller has measured already."""
+
+    query_rows: int | None = None
+    candidate_bytes: float | None = None
+
+
 def knn_join(
     queries: DataFrame,
     candidates: DataFrame,
@@ -65,12 +74,13 @@ def knn_join(
     candidate_columns: Sequence[str] = (),
     vectors: bool = False,
     strategy: str = "auto",
+    known: Known | None = None,
 ) -> DataFrame:
     """k nearest candidates of every query row.
 
     ``query_columns`` / ``candidate_columns`` travel along as ``q_<name>`` / ``n_<name>``,
     ``vectors`` adds both feature vectors as ``qvec`` and ``nvec``; carrying them saves
-    joining neighbours back to the table.
+    joining neighbours back to the table. What ``known`` says is not measured by a job.
     """
     check_metric(metric)
     if k < 1:
@@ -88,11 +98,15 @@ def knn_join(
 
     out = _found_schema(q, c, vectors)
     if strategy != "cells":
-        n, _, size = _measure(c)
+        known = known or Known()
+        asked, size = known.query_rows, known.candidate_bytes
+        if size is None:
+            n, _, size = _measure(c)
+            asked = n if queries is candidates else asked
         if size <= BROADCAST_BYTES:
-            return _broadcast_join(q, c, k, metric, out)
+            return _broadcast_join(q, c, k, metric, out, asked)
         if strategy == "broadcast":
-            raise ValueError(f"{n} candidate rows of {size} bytes are too many to broadcast")
+            raise ValueError(f"candidate rows of {size} bytes are too many to broadcast")
     return _cell_join(q, c, k, metric, out)
 
 
@@ -126,8 +140,8 @@ def _parallelism(df: DataFrame) -> int:
                int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _broadcast_join(q: DataFrame, c: DataFrame, k: int, metric: str,
-                    out: T.StructType) -> DataFrame:
+def _broadcast_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructType,
+                    asked: int | None = None) -> DataFrame:
     """Join with candidates whose size was measured: they are handed to every task.
 
     In key order, with copies beyond the k-th left out; many narrow ones are laid out cell
@@ -175,7 +189,7 @@ def _broadcast_join(q: DataFrame, c: DataFrame, k: int, metric: str,
     # The work per query is far larger than the row: few queries are spread by key, many
     # have enough input splits and stay where they are.
     slots = _parallelism(q)
-    if q.count() < slots * SPREAD_ROWS:
+    if (q.count() if asked is None else asked) < slots * SPREAD_ROWS:
         q = q.repartition(slots, "qid")
     return q.mapInArrow(run, out)
 

@@ -11,15 +11,22 @@ from counterpoise.functions.features import (
 from counterpoise.functions.keys import with_row_key
 from counterpoise.materialize import materialize
 from counterpoise.operators.classes import (
-    SamplingPlan, is_minority, majority_rows, minority_rows, partners_per_row, sampling_plan)
-from counterpoise.operators.neighbors import knn_join
+    SamplingPlan, is_minority, majority_rows, measured_minority, partners_per_row, plan_of_counts,
+    sampling_plan)
+from counterpoise.operators.neighbors import Known, knn_join
 from counterpoise.operators.sampling import (
     SEED, choose_nearest, choose_random, number_copies, replicate_rows, with_copies)
 from counterpoise.operators.synthesis import (
     gap_draw, interpolate, interpolate_entries, synthetic_key)
 
+__all__ = ["chosen_partners", "oversample", "oversample_keyless", "oversample_report",
+           "passed_through", "sampling_plan", "synthetic_rows"]
+
 CHOICES = ("nearest", "random")
 
+# Bytes of a row key: a hash in hex digits, a colon, a number and its offset.
+KEY_BYTES = 104
+
 
 def check_choice(choose: str, k: int, pct: float) -> None:
     if choose not in CHOICES:
@@ -32,18 +39,18 @@ def check_choice(choose: str, k: int, pct: float) -> None:
 def chosen_partners(
     minority: DataFrame, key: str, features: Features, plan: SamplingPlan, *,
     k: int = 5, seed: int = SEED, choose: str = "nearest", metric: str = "euclidean",
-    strategy: str = "auto",
+    strategy: str = "auto", known: Known | None = None,
 ) -> DataFrame:
     """Sampled base rows with their n chosen partners, both vectors carried along.
 
     (qid, copy, rank, nid, dist, qvec, nvec). Choosing the nearest n of k needs no more
-    than n neighbours to be found.
+    than n neighbours to be found. ``known`` are sizes that need not be measured again.
     """
     # Copies of a base row share its neighbours: they are found once, then repeated.
     found = knn_join(
         with_copies(minority, key, plan.fraction, seed), minority,
         k=plan.n if choose == "nearest" else k, key=key, features=features, metric=metric,
-        query_columns=["copies"], vectors=True, strategy=strategy)
+        query_columns=["copies"], vectors=True, strategy=strategy, known=known)
     found = number_copies(found, "q_copies")
     found = found.select("qid", "copy", "rank", "nid", "dist", "qvec", "nvec")
     if choose == "nearest":
@@ -68,11 +75,11 @@ def passed_through(df: DataFrame, key: str, features: Features, label: str, mino
 def synthetic_rows(
     rare: DataFrame, key: str, features: Features, plan: SamplingPlan, *,
     k: int = 5, seed: int = SEED, choose: str = "nearest", metric: str = "euclidean",
-    strategy: str = "auto",
+    strategy: str = "auto", known: Known | None = None,
 ) -> DataFrame:
     """Interpolated rows (id, features…) for the sampled rows of the minority."""
     partners = chosen_partners(rare, key, features, plan, k=k, seed=seed, choose=choose,
-                               metric=metric, strategy=strategy)
+                               metric=metric, strategy=strategy, known=known)
     drawn = partners.withColumn("_u", gap_draw(seed))
     qvec, nvec, u = F.col("qvec"), F.col("nvec"), F.col("_u")
     if is_array_column(rare, features):
@@ -84,6 +91,14 @@ def synthetic_rows(
     return drawn.select(synthetic_key().alias("id"), *values)
 
 
+def _row_bytes(df: DataFrame, key: str | None, features: Features) -> Column:
+    """Bytes of a row of key and features, or somewhat more."""
+    size = F.lit(16.0) if key is None else F.octet_length(F.col(key).cast("string")) + F.lit(32.0)
+    if is_array_column(df, features):
+        return size + 8 * F.size(features)
+    return size + 8 * len(feature_names(df, features))
+
+
 def _feature_values(df: DataFrame, features: Features) -> list[Column]:
     if is_array_column(df, features):
         return [feature_vector(df, features).alias(features)]
@@ -107,12 +122,13 @@ def oversample(
     """
     check_choice(choose, k, pct)
     check_metric(metric)
-    columns = dict.fromkeys([key, *feature_names(df, features)])
+    columns = list(dict.fromkeys([key, *feature_names(df, features)]))
     # Measured, cut into cells, searched and searched for: read the table for it only once.
-    rare = materialize(minority_rows(df, label, minority).select(*columns))
-    plan = sampling_plan(df, label, minority, pct, rare.count())
+    rare, n_pos, n_neg, size = measured_minority(
+        df, label, minority, columns, _row_bytes(df, key, features))
+    plan = plan_of_counts(n_pos, n_neg, minority, pct)
     made = synthetic_rows(rare, key, features, plan, k=k, seed=seed, choose=choose,
-                          metric=metric, strategy=strategy)
+                          metric=metric, strategy=strategy, known=Known(n_pos, size))
     made = _labelled(made, F.lit(minority).cast(df.schema[label].dataType), "synthetic")
     return made.unionByName(passed_through(df, key, features, label, minority, plan, seed))
 
@@ -130,10 +146,12 @@ def oversample_keyless(
     check_choice(choose, k, pct)
     check_metric(metric)
     values = _feature_values(df, features)
-    rare = materialize(with_row_key(minority_rows(df, label, minority).select(*values), "_key"))
-    plan = sampling_plan(df, label, minority, pct, rare.count())
-    made = synthetic_rows(rare, "_key", features, plan, k=k, seed=seed, choose=choose,
-                          metric=metric, strategy=strategy).drop("id")
+    content, n_pos, n_neg, size = measured_minority(
+        df, label, minority, values, _row_bytes(df, None, features))
+    plan = plan_of_counts(n_pos, n_neg, minority, pct)
+    rare = materialize(with_row_key(content, "_key"))
+    made = synthetic_rows(rare, "_key", features, plan, k=k, seed=seed, choose=choose, metric=metric,
+                          strategy=strategy, known=Known(n_pos, size + n_pos * KEY_BYTES)).drop("id")
     name = F.lit(minority).cast(df.schema[label].dataType)
     sampled = replicate_rows(rare, "_key", plan.fraction, seed).drop("_key", "copy")
     rest = majority_rows(df, label, minority)

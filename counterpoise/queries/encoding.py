@@ -88,7 +88,7 @@ def q_encode_wide(spark, folder):
     """A column with a category per row, in all three modes."""
     customer = V.table(spark, folder, "customer").select("c_custkey", "c_acctbal", "c_name",
                                                          "c_mktsegment")
-    spec = S.Spec.from_table(S.infer_spec(customer, ["c_acctbal"], ["c_name"], "c_mktsegment"))
+    spec = S.Spec.of_data(customer, ["c_acctbal"], ["c_name"], "c_mktsegment")
     coded = [E.encode(customer, spec, mode, keep=["c_custkey"]).withColumn("mode", F.lit(mode))
              for mode in ("lenient", "strict", "minmax")]
     return coded[0].unionByName(coded[1]).unionByName(coded[2])
@@ -118,7 +118,7 @@ def q_class_number(spark, folder):
 
 def q_encode_docs(spark, folder):
     docs = V.docs_quality(spark, folder)
-    spec = S.Spec.from_table(S.infer_spec(docs, ["n_chars"], ["lang", "source"], "class"))
+    spec = S.Spec.of_data(docs, ["n_chars"], ["lang", "source"], "class")
     return E.encode(docs, spec, "strict", keep=["doc_id"])
 
 
@@ -139,7 +139,7 @@ def q_minmax(spark, folder):
 
 def q_minmax_docs(spark, folder):
     docs = V.docs_quality(spark, folder)
-    spec = S.Spec.from_table(S.infer_spec(docs, ["n_chars"], ["lang", "source"], "class"))
+    spec = S.Spec.of_data(docs, ["n_chars"], ["lang", "source"], "class")
     return E.encode(docs, spec, "minmax", keep=["doc_id"])
 
 

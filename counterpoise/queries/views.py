@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpoise.operators.encode import encode_features
-from counterpoise.sources.spec import Spec, infer_spec
+from counterpoise.sources.spec import Spec
 
 MINORITY = "positive"
 
@@ -30,7 +30,7 @@ def part_imb(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part").select(
         F.col("p_partkey").alias("id"), *PART_FEATURES,
         either(F.col("p_size") >= 46).alias("label"))
-    spec = Spec.from_table(infer_spec(part, PART_FEATURES[:2], PART_FEATURES[2:], "label"))
+    spec = Spec.of_data(part, PART_FEATURES[:2], PART_FEATURES[2:], "label")
     return encode_features(part, spec, keep=["id"])
 
 

@@ -211,3 +211,31 @@ def test_fixed_decimals(spark):
     df = spark.createDataFrame([(1.234, "x")], "a double, b string")
     assert df.select(line).first()[0] == "1.23;x"
     assert df.select(F.length(D.delimited_line(["a", "b"]))).first()[0] == len("1.234,x")
+
+
+def test_spec_of_data_reads_the_table_once(spark, monkeypatch):
+    df = spark.createDataFrame([(k, float(k), f"c{k % 40:02d}", "ny"[k % 2]) for k in range(90)] + [
+        (90, -0.0, None, None)], "id long, x double, c string, y string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("of_data", "")
+    whole = S.Spec.of_data(df, ["x"], ["c"], "y")
+    table = S.infer_spec(df, ["x"], ["c"], "y")
+    assert len(tracker.getJobIdsForGroup("of_data")) <= 4  # two for each of both aggregates
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert whole.attributes == S.Spec.from_table(table).attributes
+    assert whole.attributes[1].categories == tuple(f"c{k:02d}" for k in range(40))
+    for listed in (5, 20, 39):
+        monkeypatch.setattr(S, "LISTED", listed)
+        short = S.Spec.of_data(df, ["x"], ["c"], "y")
+        assert short.attributes[1].codes is not None and short.label.categories == ("n", "y")
+        assert sorted(map(tuple, S.infer_codes(df, ["c", "y"]).collect())) == sorted(
+            [("c", f"c{k:02d}", float(k)) for k in range(40)] + [("y", "n", 0.0), ("y", "y", 1.0)])
+        assert sorted(map(str, S.infer_spec(df, ["x"], ["c"], "y").collect())) == sorted(
+            map(str, table.collect()))
+
+
+def test_spec_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "x double, c string, y string")
+    spec = S.Spec.of_data(df, ["x"], ["c"], "y")
+    assert (spec.attributes[0].low, spec.attributes[1].categories) == (None, ())
+    assert [r["name"] for r in S.infer_spec(df, ["x"], ["c"], "y").collect()] == ["x"]
