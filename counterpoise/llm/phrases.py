@@ -45,7 +45,10 @@ LEAST, TOP, SHARE = 10, 2000, 50
 MERGED_BYTES = 4 << 20
 
 #: Suffixes that a task sorts at a time, about.
-SORTED = 1 << 20
+SORTED = 1 << 19
+
+#: Parts of a language's phrases that are ranked by themselves first.
+RANKED_PARTS = 64
 
 #: Occurrences from which a word counts as very frequent.
 HOT = 1 << 20
@@ -353,9 +356,12 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
         .groupBy("w1", "w2").agg(F.max("a").alias("longer")))
     two = found.filter("w3 = 0").join(inside, ["w1", "w2"], "left")
     two = two.filter(F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True))).drop("longer")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = (two.unionByName(three).withColumn("rank", F.row_number().over(order))
-              .filter(F.col("rank") <= top))
+    best = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    kept = two.unionByName(three)  # first the best of each of some parts of a language
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_PARTS))).orderBy(*best)
+    kept = kept.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
+    whole = Window.partitionBy("lang").orderBy(*best)
+    ranked = kept.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= top)
     sizes = words.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("n"))
     return ranked.join(sizes, F.col("lang") == F.col("_lang")).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
