@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from counterpoise.llm.common import (
+    SLICE_BYTES,
     byte_view,
     id_and_text,
     mixed,
@@ -83,7 +84,13 @@ def units(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarra
     if not words:
         return data, offsets
     starts, stops, first = word_places(data, offsets)
-    return run_hash(prefix_hash(data), starts, stops), first
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.flatnonzero(np.diff(starts // SLICE_BYTES)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(starts)]):
+        if a < b:
+            low, high = starts[a], stops[b - 1]
+            out[a:b] = run_hash(prefix_hash(data[low:high]), starts[a:b] - low, stops[a:b] - low)
+    return out, first
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -217,12 +224,17 @@ def anchor_table(docs: DataFrame, window: int, gram: int, words: bool = False) -
         for batch in batches:
             for part in slices(batch):
                 data, offsets = units(*byte_view(part.column("text")), words)
-                text, begin, count, h, ctx = anchors(data, offsets, window, gram)
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id").take(pa.array(text)), part.column("txt").take(pa.array(text)),
-                    pa.array((begin - offsets[text]).astype(np.int32)),
-                    pa.array(count.astype(np.int32)), pa.array(h.view(np.int64)),
-                    pa.array(ctx.view(np.int64))], ["doc_id", "txt", "begin", "cnt", "h", "ctx"])
+                for low in range(0, max(1, len(data) - window + 1), SLICE_BYTES):
+                    # a long text in blocks of starts; a context ends where its block does
+                    high = min(len(data), low + SLICE_BYTES + window - 1)
+                    inside = np.clip(offsets, low, high) - low
+                    text, begin, count, h, ctx = anchors(data[low:high], inside, window, gram)
+                    yield pa.RecordBatch.from_arrays([
+                        part.column("doc_id").take(pa.array(text)),
+                        part.column("txt").take(pa.array(text)),
+                        pa.array((begin + low - offsets[text]).astype(np.int32)),
+                        pa.array(count.astype(np.int32)), pa.array(h.view(np.int64)),
+                        pa.array(ctx.view(np.int64))], ["doc_id", "txt", "begin", "cnt", "h", "ctx"])
 
     return stored(docs.select("doc_id", "txt", "text").mapInArrow(run, ANCHOR), "anchors")
 
@@ -421,18 +433,34 @@ def repeated_spans(docs: DataFrame, window: int, gram: int, words: bool = False)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with ``found``, an array of what ``spans`` has for a row besides its keys."""
+    """``docs`` with ``found``, an array of what ``spans`` has for a row besides its keys.
+
+    Rows that repeat wholly have one another's spans; they are listed once.
+    """
     rest = [c for c in spans.columns if c not in ("doc_id", "txt")]
-    lists = (spans.groupBy("doc_id", "txt").agg(F.collect_list(F.struct(*rest)).alias("found"))
+    lists = (spans.groupBy("doc_id", "txt").agg(F.collect_set(F.struct(*rest)).alias("found"))
              .withColumnsRenamed({"doc_id": "_id", "txt": "_t"}))
     return docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_id"))
                      & (F.col("txt") == F.col("_t")), "left").drop("_id", "_t")
 
 
-def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` (doc_id, txt, text) with the spans of strings that occur again: ``found`` is
-    an array of (begin, spans); byte starts are begin + first ... begin + beyond - 1."""
-    return with_spans(docs, repeated_spans(docs, window, gram))
+def _united(first: np.ndarray, beyond: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that the ranges first ... beyond - 1 cover, in order."""
+    if not len(first):
+        return first, beyond
+    turn = np.argsort(first, kind="stable")
+    first, reach = first[turn], np.maximum.accumulate(beyond[turn])
+    new = np.ones(len(first), bool)
+    new[1:] = first[1:] > reach[:-1]
+    start = np.flatnonzero(new)
+    return first[start], reach[np.append(start[1:], len(first)) - 1]
+
+
+def _starts(found: list, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    edges = [np.array(x["spans"], np.int64) + x["begin"] for x in found
+             if bool(x.get("words")) == words]
+    edge = np.concatenate(edges) if edges else np.empty(0, np.int64)
+    return edge[0::2], edge[1::2]
 
 
 def kept_bytes(raw: bytes, found: list | None, window: int, passage: int = 0) -> tuple[bytes, int]:
@@ -443,21 +471,16 @@ def kept_bytes(raw: bytes, found: list | None, window: int, passage: int = 0) ->
     """
     if not found:
         return raw, 0
-    data = np.frombuffer(raw, np.uint8)
-    if any(x.get("words") for x in found):
-        starts, stops, _ = word_places(data, np.array([0, len(raw)]))
-    change = np.zeros(len(raw) + 1, np.int64)
-    for x in found:
-        edge = np.array(x["spans"], np.int64) + x["begin"]
-        if x.get("words"):
-            first, beyond = starts[edge[0::2]], stops[edge[1::2] + passage - 2]
-        else:
-            first, beyond = edge[0::2], edge[1::2] + window - 1
-        np.add.at(change, first, 1)
-        np.add.at(change, beyond, -1)
-    gone = np.cumsum(change[:-1]) > 0
-    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return data[~gone].tobytes(), runs
+    first, beyond = _starts(found, False)
+    beyond = beyond + window - 1
+    a, b = _starts(found, True)
+    if len(a):
+        starts, stops, _ = word_places(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        first = np.concatenate([first, starts[a]])
+        beyond = np.concatenate([beyond, stops[b + passage - 2]])
+    first, beyond = _united(first, beyond)
+    gaps = zip([0, *beyond.tolist()], [*first.tolist(), len(raw)])
+    return b"".join(raw[i:j] for i, j in gaps), len(first)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -466,14 +489,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("txt"), "text")
 
 
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+DIGEST = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+          "n_passage_words long, n_passages long")
+
+
+def _both_spans(docs: DataFrame, window: int, gram: int, passage: int, passage_gram: int) -> DataFrame:
+    """Repeated strings of bytes and repeated runs of words, the latter marked ``words``."""
+    by_byte = repeated_spans(docs, window, gram).withColumn("words", F.lit(False))
+    by_word = repeated_spans(docs, passage, min(passage, passage_gram), words=True)
+    return by_byte.unionByName(by_word.withColumn("words", F.lit(True)))
 
 
-def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``.
+def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, passage: int = PASSAGE,
+            passage_gram: int = PASSAGE_GRAM) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``, and
+    n_passage_words, n_passages.
 
     Removed is each byte that a string of ``window`` bytes covers which starts at another
-    place too, in the same text or any other; all places are judged on the input. A null
+    place too, in the same text or any other; all places are judged on the input. The last
+    two say how many words lie in runs of ``passage`` words that come again, however few
+    bytes these have, and in how many maximal runs; nothing is removed for them. A null
     text is empty; rows that repeat hold each other's strings; a null doc_id is kept; other
     columns are not read; an empty table gives no rows.
     """
@@ -482,15 +517,20 @@ def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
             ids, out = batch.column("doc_id"), []
             for k in range(batch.num_rows):
                 raw = batch.column("text")[k].as_py().encode()
-                kept, runs = kept_bytes(raw, batch.column("found")[k].as_py(), window)
-                out.append((len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out)) or [[]] * 4
+                found = batch.column("found")[k].as_py() or []
+                kept, runs = kept_bytes(raw, [x for x in found if not x["words"]], window)
+                a, b = _starts(found, True)
+                a, b = _united(a, b + passage - 1)
+                out.append((len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(),
+                            int((b - a).sum()), len(a)))
+            columns = list(zip(*out)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [ids, *(pa.array(c, pa.int64()) for c in columns[:3]),
-                 pa.array(columns[3], pa.string())], [c.split()[0] for c in DIGEST.split(", ")])
+                [ids, *(pa.array(c, pa.string() if k == 3 else pa.int64())
+                        for k, c in enumerate(columns))], [c.split()[0] for c in DIGEST.split(", ")])
 
-    return removed_spans(_keyed(docs), window, gram).select("doc_id", "text", "found").mapInArrow(
-        run, DIGEST)
+    rows = _keyed(docs)
+    spans = _both_spans(rows, window, gram, passage, passage_gram)
+    return with_spans(rows, spans).select("doc_id", "text", "found").mapInArrow(run, DIGEST)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
@@ -504,7 +544,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     """
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(
-        F.struct(*others).alias("row"), F.col("text").isNull().alias("none"),
+        F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col("text").isNull().alias("none"),
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("txt", F.xxhash64("text"))
 
@@ -520,11 +560,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
 
     schema = T.StructType([rows.schema["row"], rows.schema["none"], rows.schema["text"],
                            T.StructField("cut", T.BooleanType())])
-    spans = repeated_spans(rows, window, gram)
-    if passage:
-        by_word = repeated_spans(rows, passage, min(passage, passage_gram), words=True)
-        spans = spans.withColumn("words", F.lit(False)).unionByName(
-            by_word.withColumn("words", F.lit(True)))
+    spans = (_both_spans(rows, window, gram, passage, passage_gram) if passage
+             else repeated_spans(rows, window, gram))
     out = with_spans(rows, spans).select("row", "none", "text", "found").mapInArrow(run, schema)
     columns = {c: F.col("row")[c] for c in others}
     columns["text"] = F.when(~F.col("none"), F.col("text"))

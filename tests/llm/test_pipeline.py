@@ -2,6 +2,7 @@
 
 import collections
 import os
+import re
 import zlib
 
 import pytest
@@ -22,6 +23,20 @@ def rows_of(df):
     return {r.doc_id: r for r in df.collect()}
 
 
+def word_runs(text, n=51):
+    words = text.split()
+    return [tuple(words[k:k + n]) for k in range(len(words) - n + 1)]
+
+
+def passages_of(rows, doc_id, runs, n=51):
+    """Byte ranges of the runs of n words of a text that occur several times in all."""
+    text = rows[doc_id].text
+    places = [m.span() for m in re.finditer(r"\S+", text)]
+    for k, run in enumerate(word_runs(text, n)):
+        if runs[run] > 1:
+            yield len(text[:places[k][0]].encode()), len(text[:places[k + n - 1][1]].encode())
+
+
 def test_stages(spark, tmp_path):
     docs = table(spark, FOLDER, "documents")
     columns, kept = docs.columns, []
@@ -48,11 +63,14 @@ def test_stages(spark, tmp_path):
     raws = {i: r.text.encode() for i, r in before.items()}
     count = collections.Counter(r[k:k + suffix.WINDOW] for r in raws.values()
                                 for k in range(len(r) - suffix.WINDOW + 1))
+    runs = collections.Counter(w for r in before.values() for w in word_runs(r.text))
     for i, r in raws.items():
         gone = bytearray(len(r))
         for k in range(len(r) - suffix.WINDOW + 1):
             if count[r[k:k + suffix.WINDOW]] > 1:
                 gone[k:k + suffix.WINDOW] = b"\x01" * suffix.WINDOW
+        for a, b in passages_of(before, i, runs):
+            gone[a:b] = b"\x01" * (b - a)
         want = bytes(x for x, g in zip(r, gone) if not g).decode(errors="ignore")
         assert after[i].text == want
         assert after[i].n_chars == (len(want) if any(gone) else before[i].n_chars)
@@ -83,4 +101,4 @@ def test_run_is_registered_and_gives_pieces(spark):
 
 def test_all_operators_are_registered():
     names = [n for n in driver.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))

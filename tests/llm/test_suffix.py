@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from counterpoise.llm import suffix
@@ -30,10 +31,24 @@ def brute(rows, window):
     return sorted(out, key=str)
 
 
+def passages(rows, n):
+    """(doc_id, words in runs of n words that come again, maximal runs)."""
+    lists = [(i, (t or "").split()) for i, t in rows]
+    count = collections.Counter(tuple(w[k:k + n]) for _, w in lists for k in range(len(w) - n + 1))
+    out = []
+    for i, w in lists:
+        hit = [k for k in range(len(w) - n + 1) if count[tuple(w[k:k + n])] > 1]
+        inside = {k + j for k in hit for j in range(n)}
+        out.append((i, len(inside), sum(k - 1 not in inside for k in inside)))
+    return sorted(out, key=str)
+
+
 def check(spark, rows, window, gram, partitions=3):
     docs = documents(spark, [t for _, t in rows], [i for i, _ in rows], partitions)
-    found = sorted(map(tuple, suffix.digests(docs, window, gram).collect()), key=str)
+    out = suffix.digests(docs, window, gram, 6, 3).collect()
+    found = sorted((tuple(r)[:5] for r in out), key=str)
     assert found == brute(rows, window)
+    assert sorted(((r.doc_id, r.n_passage_words, r.n_passages) for r in out), key=str) == passages(rows, 6)
     return found
 
 
@@ -109,7 +124,9 @@ def test_whole_documents(spark):
         pytest.skip("no test tables")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert sorted(map(tuple, suffix.digests(docs).collect()), key=str) == brute(rows, 400)
+    found = suffix.digests(docs).collect()
+    assert sorted((tuple(r)[:5] for r in found), key=str) == brute(rows, 400)
+    assert sorted(((r.doc_id, r.n_passage_words, r.n_passages) for r in found), key=str) == passages(rows, 51)
 
 
 def test_texts_without_repeats_stay(spark):
@@ -190,3 +207,22 @@ def test_the_stage_cuts_short_passages(spark):
     assert "x" not in kept[4] and kept[5] == "y"
     assert kept == without_passages(texts, suffix.WINDOW, 51)
     assert all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_many_equal_rows_and_a_long_text(spark):
+    text = " ".join(f"w{k}" for k in range(900))
+    rows = [(7, text)] * 300
+    found = suffix.digests(documents(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert {tuple(r)[1:4] + tuple(r)[5:] for r in found} == {(len(text), len(text), 1, 900, 1)}
+    long = " ".join(f"t{k * 7919 % 1_000_003}" for k in range(600_000))
+    part = long[2_000_000:2_000_700]
+    texts = [long, "head " + part + " tail", "alone"]
+    by_id = {r.doc_id: r for r in suffix.digests(documents(spark, texts)).collect()}
+    assert [by_id[k].n_removed for k in range(3)] == [700, 700, 0]
+    assert by_id[0].n_spans == by_id[0].n_passages == by_id[1].n_passages == 1
+
+
+def test_dotted_column_names(spark):
+    docs = documents(spark, ["a b c d e f"] * 2).withColumn("a.b", F.lit(3)).withColumn("row", F.lit(1))
+    kept = suffix.without_repeats(docs, 5, 2, 3, 2)
+    assert kept.columns == docs.columns and [r.text for r in kept.collect()] == ["", ""]
