@@ -147,15 +147,25 @@ def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int | None = Non
 
 
 def simhash_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, print): the fingerprint of every row's whole text as a signed long."""
+    """(doc_id, txt, print): hash of the text and the fingerprint of every row's whole text,
+    as signed longs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 prints = fingerprints(*byte_view(part.column("text")), shingle)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+                    [part.column("doc_id"), part.column("txt"), pa.array(prints.view(np.int64))],
+                    ["doc_id", "txt", "print"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, print long")
+    rows = id_and_text(docs).withColumn("txt", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, txt long, print long")
+
+
+def rooted(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """``prints`` (print and more, one row each) with ``root``, the name of its component."""
+    roots = components(near_links(prints.select("print"), radius, blocks))
+    return prints.join(roots, prints["print"] == roots["node"], "left").select(
+        *(prints[c] for c in prints.columns), F.coalesce("root", "print").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
@@ -170,31 +180,38 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """
     rows = stored(simhash_table(docs, shingle), "simhash")
     classes = stored(rows.groupBy("print").agg(F.min("doc_id").alias("first")), "prints")
-    roots = components(near_links(classes.select("print"), radius, blocks))
-    classes = (classes.join(roots, classes["print"] == roots["node"], "left")
-               .select("print", "first", F.coalesce("root", "print").alias("root")))
+    classes = rooted(classes, radius, blocks)
     named = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = classes.join(named, "root").select("print", "component_id")
     return rows.join(classes, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs``, all its columns, with one document of each group: the smallest doc_id.
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs``, all its columns, with one document of each group: that with the smallest
+    doc_id, null last, and of several with that id the one whose text has the least hash.
 
-    Rows without a doc_id belong to no group and stay. Of rows that repeat an id one stays.
+    Different texts under one id, and rows without an id, are documents of their own. Of
+    rows that repeat both id and text one stays.
     """
-    found = near_duplicates(docs.filter("doc_id IS NOT NULL"))
-    kept = stored(found.filter("doc_id = component_id").groupBy("doc_id").agg(
-        F.count("*").alias("n")), "kept")
-    chosen = kept.select(F.col("doc_id").alias("_kept"))
-    out = docs.join(chosen, docs["doc_id"] == chosen["_kept"], "left_semi")
-    again = kept.filter("n > 1").select(F.col("doc_id").alias("_again"))
-    if not again.isEmpty():
-        same = out["doc_id"] == again["_again"]
-        once = out.join(again, same, "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(again, same, "left_anti").unionByName(once)
-    return out.unionByName(docs.filter("doc_id IS NULL"))
+    rows = stored(simhash_table(docs, shingle), "simhash")
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "txt")
+    classes = rooted(stored(rows.groupBy("print").agg(F.min(one).alias("first")), "prints"), radius)
+    kept = classes.groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.txt").alias("_text"))
+    chosen = stored(rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("txt") == F.col("_text")))
+                    .groupBy("_id", "_text").agg(F.count("*").alias("_copies")), "kept")
+    marked = docs.select(
+        F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["doc_id"].alias("_own"),
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_hash"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
+    again = chosen.filter("_copies > 1")
+    if again.isEmpty():
+        out = marked.join(chosen, same, "left_semi")
+    else:
+        once = marked.join(again, same, "left_semi").dropDuplicates(["_own", "_hash"])
+        out = marked.join(chosen.filter("_copies = 1"), same, "left_semi").unionByName(once)
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op8_simhash(spark, folder: str) -> DataFrame:

@@ -104,7 +104,18 @@ def test_first_of_each_group_stays(spark):
             (9, "other words here", None, None, None), (None, "x y z", "en", "s", 5)]
     kept = simhash.keep_first(spark.createDataFrame(rows, DOC_SCHEMA))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 9, None]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 9]
+
+
+def test_different_texts_under_one_id_stay(spark):
+    rows = [(1, "first text of this id"), (1, "something else altogether here"), (2, "a third text"),
+            (None, "only text without id"), (None, "only text without ID"), (None, "one more of them"),
+            (3, "First text of this id"), (2, "a third text"), (4, None), (5, "")]
+    kept = simhash.keep_first(documents(spark, [t for _, t in rows], [i for i, _ in rows]))
+    found = sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=str)
+    assert found == sorted({(1, "first text of this id"), (1, "something else altogether here"),
+                            (2, "a third text"), (None, "only text without id"),
+                            (None, "one more of them"), (4, "")}, key=str)
 
 
 def test_extra_columns_with_clashing_names(spark):
