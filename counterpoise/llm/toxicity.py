@@ -18,6 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from counterpoise.llm.common import fold, id_and_text, table
 
@@ -36,6 +37,10 @@ GRAM, GRAM_SHARE, GRAM_LIFT = 5, 0.03, 10.0
 
 ORDINARY_DICTIONARY, TOXIC_DICTIONARY = 32_768, 1_024
 
+#: Windows of ordinary fit texts that train its dictionary: of all of them, those with the
+#: least hash.
+PLAIN_WINDOWS = 60_000
+
 #: Bytes that a window must be shorter by before the difference counts.
 NOISE = 1
 
@@ -190,7 +195,8 @@ def fit(toxic: list[bytes], ordinary: list[bytes], n_toxic: int, n_ordinary: int
     own = _marks(*train)
     parts = [p for text in train[0] for p in _own_parts(text, own)]
     plain = [w for text in train[1] for w in windows(text) if not _own_parts(w, own)]
-    model = Toxicity(_trained(ORDINARY_DICTIONARY, plain[:60_000]),
+    plain.sort(key=lambda w: (xxh64_intdigest(w), w))
+    model = Toxicity(_trained(ORDINARY_DICTIONARY, plain[:PLAIN_WINDOWS]),
                      _trained(TOXIC_DICTIONARY, parts) or b" ", (0.0,) * 4)
     both = model.compressors()
     rows = np.array([features(both, t) for k in range(2) for t in check[k]])
