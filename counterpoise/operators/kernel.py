@@ -6,6 +6,7 @@ done by Spark in ``neighbors.py``.
 
 from __future__ import annotations
 
+import pickle
 import sys
 from dataclasses import dataclass
 
@@ -21,6 +22,12 @@ TILE = 1 << 18  # distances held at once per task
 # Largest sums that still round to a 32-bit distance of zero.
 ZERO_SQUARE = 2.0**-300 * (1 + 2.0**-52)
 ZERO_SUM = 2.0**-150
+# Pivots whose distances travel with a row.
+NEAR_PIVOTS = 16
+# A bound of the relative error of distances of up to some million features.
+ROUNDING = 2.0**-30
+# Bits of a cell's number that tell the finer cells of one cell apart.
+FINER_BITS = 24
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -364,6 +371,140 @@ class Cells:
         return qi[keep], cell[keep], radius
 
 
+@dataclass
+class Pivots:
+    """Cells around pivots, for points too wide for axis-parallel cells.
+
+    Pivots are sample points far from one another; a point belongs to its nearest pivot,
+    and pivots that lie together to one cell. Distances from pivots bound distances between
+    points by the triangle inequality. Each pivot keeps some of its sample points, real
+    candidates, for radii.
+    """
+
+    metric: str
+    pivots: np.ndarray  # (pivot, feature)
+    points: np.ndarray  # per pivot: its sample points, padded with NaN
+    cell: np.ndarray    # per pivot: its cell
+
+    @classmethod
+    def from_sample(cls, sample: np.ndarray, wanted: int, cells: int, per_cell: int,
+                    metric: str) -> Pivots:
+        def away(q, pivots):
+            return cls(metric, pivots, pivots[:0], pivots[:0]).distances(q)
+
+        points = np.unique(sample, axis=0)
+        if not len(points):
+            return cls(metric, np.zeros((1, sample.shape[1])), np.full((1, 1, sample.shape[1]), np.nan),
+                       np.zeros(1, np.int64))
+        finite = points[np.isfinite(points).all(axis=1)]
+        chosen = (finite if len(finite) else points)[:1]
+        apart = away(finite, chosen)[:, 0]
+        while len(chosen) < wanted and len(apart) and apart.max() > 0:
+            chosen = np.concatenate([chosen, finite[[apart.argmax()]]])
+            apart = np.minimum(apart, away(finite, chosen[-1:])[:, 0])
+        home = away(points, chosen).argmin(axis=1)
+        groups = [points[home == p] for p in range(len(chosen))]
+        groups = [g[np.linspace(0, len(g) - 1, min(len(g), per_cell)).astype(int)] for g in groups]
+        padded = np.full((len(groups), max(1, *map(len, groups), 1), points.shape[1]), np.nan)
+        for i, group in enumerate(groups):
+            padded[i, :len(group)] = group
+        # The first pivots are the furthest apart: each is the middle of a cell.
+        return cls(metric, chosen, padded, away(chosen, chosen[:cells]).argmin(axis=1))
+
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        """Distance of every point from every pivot; infinite where it is undefined."""
+        out = np.empty((len(q), len(self.pivots)))
+        step = max(1, TILE // max(1, len(self.pivots)))
+        for start in range(0, len(q), step):
+            part = slice(start, start + step)
+            raw = raw_distance((q[part, j, None] - self.pivots[None, :, j]
+                                for j in range(q.shape[1])), self.metric)
+            out[part] = raw if self.metric == "manhattan" else np.sqrt(raw)
+        out[np.isnan(out)] = np.inf
+        return out
+
+    def house(self, q: np.ndarray):
+        """(cell, place, near): near are the distances from the first pivots, place brings
+        rows at about the same distance from the same pivot together."""
+        away = self.distances(q)
+        home = away.argmin(axis=1)
+        own = away[np.arange(len(q)), home].astype(np.float32)
+        place = home << 32 | own.view(np.int32).astype(np.int64)
+        return self.cell[home], place, away[:, :NEAR_PIVOTS]
+
+    def route(self, q: np.ndarray, k: int):
+        """(query position, cell, radius per query, place per query, near per query).
+
+        A point of a pivot is no further from its own pivot than from the query's, so it is
+        at least half as far from the query as the two pivots are apart, seen from there.
+        """
+        away = self.distances(q)
+        home = away.argmin(axis=1)
+        own = away[np.arange(len(q)), home]
+        radius = np.empty(len(q), np.float32)
+        step = max(1, TILE // max(1, self.points.shape[1]))
+        for start in range(0, len(q), step):
+            part = slice(start, start + step)
+            near = self.points[home[part]]
+            with np.errstate(invalid="ignore", over="ignore"):
+                total = raw_distance((q[part, j, None] - near[:, :, j]
+                                      for j in range(q.shape[1])), self.metric)
+            total[total <= floor_of(self.metric)] = np.nan
+            radius[part] = rounded(kth_smallest(total, k), self.metric)
+        with np.errstate(invalid="ignore"):
+            gap = (away - own[:, None]) / 2
+            meets = ~(gap > loose(radius, own)[:, None] + ROUNDING * away)
+        turn = np.argsort(self.cell, kind="stable")
+        first = np.flatnonzero(np.diff(self.cell[turn], prepend=-1))
+        qi, cell = np.nonzero(np.logical_or.reduceat(meets[:, turn], first, axis=1))
+        return qi, self.cell[turn][first][cell], radius, home << 32, away[:, :NEAR_PIVOTS]
+
+
+def loose(radius: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``radius``, a rounded distance, and what sums of about ``size`` may be wrong by."""
+    return radius.astype(np.float64) * (1 + 2.0**-20) + ROUNDING * size
+
+
+def beyond_pivots(near: np.ndarray, low: np.ndarray, high: np.ndarray,
+                  radius: np.ndarray) -> np.ndarray:
+    """Whether queries (``near``: distances from pivots) have no candidate within ``radius``
+    in a block whose distances from the pivots lie between ``low`` and ``high``."""
+    with np.errstate(invalid="ignore"):
+        gap = np.maximum(low - near, near - high)
+        return (gap > loose(radius, high.max())[:, None] + ROUNDING * near).any(axis=1)
+
+
+def cut_cells(points: np.ndarray, per_cell: int, min_cell: int, metric: str) -> bytes:
+    """Cells of a sample, as bytes that travel in a row."""
+    return pickle.dumps(vars(Cells.from_sample(points, per_cell, min_cell, metric)))
+
+
+def cut_again(batches, rows: str, vector: str, k: int):
+    """Rows of packed blocks (cell, rows, grid) in the finer cells of their cell's grid.
+
+    A row with a ``radius`` goes to every finer cell within it, the radius made smaller
+    where the grid's own sample allows.
+    """
+    for batch in batches:
+        for i in range(batch.num_rows):
+            grid = Cells(**pickle.loads(batch.column("grid")[i].as_py()))
+            block = pa.RecordBatch.from_struct_array(batch.column(rows)[i].values)
+            points = matrix(block.column(vector))
+            if "radius" in block.schema.names:
+                radius = block.column("radius").to_numpy(zero_copy_only=False)
+                radius = np.minimum(radius, grid.radius(points, k))
+                at, sub, _ = grid.reached(points, radius)
+                block = block.set_column(
+                    block.schema.get_field_index("radius"), "radius", pa.array(radius, pa.float32()))
+                block = block.take(pa.array(at))
+            else:
+                at, sub = np.arange(len(points)), grid.home(points)
+            cell = (batch.column("cell")[i].as_py() << FINER_BITS) + sub
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell), pa.array(grid.place(points[at], sub)), *block.columns],
+                names=["cell", "place", *block.schema.names])
+
+
 def nearest_in_cells(q: np.ndarray, c: np.ndarray, cells: Cells, starts: np.ndarray,
                      order: np.ndarray, k: int, metric: str):
     """``nearest`` over candidates laid out cell by cell.
@@ -457,12 +598,12 @@ def _blocks(batch: pa.RecordBatch, cuts: np.ndarray, vector: str,
     fields = [f for f in batch.schema if f.name not in ("cell", "place")]
     rows = pa.StructArray.from_arrays([batch.column(f.name) for f in fields], fields=fields)
     return pa.RecordBatch.from_arrays(
-        [batch.column("cell").take(pa.array(cuts[:-1])), _lists(low), _lists(high), pa.array(reach),
+        [batch.column("cell").take(pa.array(cuts[:-1])), lists(low), lists(high), pa.array(reach),
          pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rows)],
         names=["cell", "low", "high", "reach", "rows"])
 
 
-def _lists(values: np.ndarray) -> pa.ListArray:
+def lists(values: np.ndarray) -> pa.ListArray:
     n, d = values.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d),
                                     pa.array(values.ravel()))

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,10 +41,13 @@ PRUNED_WIDTH = 8
 CELL_ROWS = 512
 CELL_BYTES = 256 << 20
 TASKS_PER_SLOT = 4
+# Candidates of a block in a pivot cell.
+PIVOT_ROWS = 512
 # Queries per task slot from which on they are searched in their input splits.
 SPREAD_ROWS = 100_000
 # Bounds of what the driver plans with.
 MAX_CELLS = 65_536
+MAX_PIVOTS = 1_024
 SAMPLE_BYTES = 64 << 20
 # Bounds of what one call of the kernel holds.
 BLOCK_ROWS = 32_768
@@ -75,12 +79,14 @@ def knn_join(
     vectors: bool = False,
     strategy: str = "auto",
     known: Known | None = None,
+    compared: Accumulator | None = None,
 ) -> DataFrame:
     """k nearest candidates of every query row.
 
     ``query_columns`` / ``candidate_columns`` travel along as ``q_<name>`` / ``n_<name>``,
     ``vectors`` adds both feature vectors as ``qvec`` and ``nvec``; carrying them saves
-    joining neighbours back to the table. What ``known`` says is not measured by a job.
+    joining neighbours back to the table. What ``known`` says is not measured by a job;
+    ``compared`` counts the pairs of points that the cells strategy looks at.
     """
     check_metric(metric)
     if k < 1:
@@ -107,7 +113,7 @@ def knn_join(
             return _broadcast_join(q, c, k, metric, out, asked)
         if strategy == "broadcast":
             raise ValueError(f"candidate rows of {size} bytes are too many to broadcast")
-    return _cell_join(q, c, k, metric, out)
+    return _cell_join(q, c, k, metric, out, compared)
 
 
 def _measure(c: DataFrame) -> tuple[int, int, float]:
@@ -194,7 +200,8 @@ def _broadcast_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.Stru
     return q.mapInArrow(run, out)
 
 
-def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructType) -> DataFrame:
+def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructType,
+               compared: Accumulator | None = None) -> DataFrame:
     # Among exact copies only the k lowest keys can ever be chosen. The row limit is
     # applied before the shuffle too, so a hot copy shrinks to k rows per map task.
     # The hash in front spares the sort most comparisons of whole vectors.
@@ -207,40 +214,51 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
         return q.sparkSession.createDataFrame([], out)
     tasks = TASKS_PER_SLOT * _parallelism(q)
     prune = d <= PRUNED_WIDTH
+    salts = 1
     if prune:
-        wanted, salts = -(-n // CELL_ROWS), 1
+        cells = _cut_cells(c, n, d, -(-n // CELL_ROWS), k, metric)
     else:
-        # Boxes prune little in many dimensions: nearly every query visits every cell.
-        # A grid of (cell, salt) then copies queries and candidates about equally often.
+        # Where pivots do not help, nearly every query visits every cell. A grid of
+        # (cell, salt) then copies queries and candidates about equally often.
         wanted = max(math.isqrt(tasks), n * 8 * d // CELL_BYTES, 1)
-        salts = -(-tasks // wanted)
-    cells = _cut_cells(c, n, d, wanted, k, metric)
+        cells = _choose_pivots(c, n, d, wanted, k, metric)
+        salts = -(-tasks // len(np.unique(cells.cell)))
+    kind = type(cells)
     shared = q.sparkSession.sparkContext.broadcast(vars(cells))
 
     def house(batches):
-        grid = kernel.Cells(**shared.value)
+        grid = kind(**shared.value)
         for batch in batches:
             if batch.num_rows:
                 points = kernel.matrix(batch.column("nvec"))
-                home = grid.home(points)
+                if prune:
+                    home = grid.home(points)
+                    place, near = grid.place(points, home), points[:, :0]
+                else:
+                    home, place, near = grid.house(points)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(home, pa.int32()), pa.array(grid.place(points, home)),
-                     *batch.columns], names=["cell", "place", *batch.schema.names])
+                    [pa.array(home, pa.int64()), pa.array(place), kernel.lists(near), *batch.columns],
+                    names=["cell", "place", "near", *batch.schema.names])
 
     def route(batches):
-        grid = kernel.Cells(**shared.value)
+        grid = kind(**shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, ROUTE_ROWS):
                 part = batch.slice(start, ROUTE_ROWS)
                 points = kernel.matrix(part.column("qvec"))
-                qi, cell, radius = grid.route(points, k, prune)
+                if prune:
+                    qi, cell, radius = grid.route(points, k)
+                    near = points[:, :0]
+                else:
+                    qi, cell, radius, own, near = grid.route(points, k)
                 for at in range(0, len(qi), SENT_ROWS):
                     rows, there = qi[at:at + SENT_ROWS], cell[at:at + SENT_ROWS]
                     sent = part.take(pa.array(rows))
+                    place = grid.place(points[rows], there) if prune else own[rows]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(there, pa.int32()), pa.array(grid.place(points[rows], there)),
+                        [pa.array(there, pa.int64()), pa.array(place), kernel.lists(near[rows]),
                          pa.array(radius[rows]), *sent.columns],
-                        names=["cell", "place", "radius", *sent.schema.names])
+                        names=["cell", "place", "near", "radius", *sent.schema.names])
 
     # Neighbours are found per distinct query vector, which two independent 64-bit hashes
     # stand for from here on; the query's own columns come back by a join on them.
@@ -260,6 +278,8 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
             points = kernel.matrix(lrows.column("qvec"))
             targets = kernel.matrix(rrows.column("nvec"))
             radius = lrows.column("radius").to_numpy(zero_copy_only=False)
+            if not prune:
+                qnear, cnear = kernel.matrix(lrows.column("near")), kernel.matrix(rrows.column("near"))
             loff = left.offsets.to_numpy() - left.offsets[0].as_py()
             roff = right.offsets.to_numpy() - right.offsets[0].as_py()
             for i in range(batch.num_rows):
@@ -268,10 +288,16 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
                 if this != last:  # else: the same queries meet the cell's next block
                     last, best = this, np.full((ls.stop - ls.start, k), np.inf, np.float32)
                 bound = np.minimum(radius[ls], best[:, -1])
-                low, high = targets[rs].min(axis=0), targets[rs].max(axis=0)
-                near = np.flatnonzero(kernel.outside(points[ls], low, high, metric) <= bound)
+                if prune:
+                    low, high = targets[rs].min(axis=0), targets[rs].max(axis=0)
+                    near = np.flatnonzero(kernel.outside(points[ls], low, high, metric) <= bound)
+                else:
+                    low, high = cnear[rs].min(axis=0), cnear[rs].max(axis=0)
+                    near = np.flatnonzero(~kernel.beyond_pivots(qnear[ls], low, high, bound))
                 if not len(near):
                     continue
+                if compared is not None:
+                    compared.add(len(near) * (rs.stop - rs.start))
                 qi, ci, dist, rank = kernel.nearest(
                     points[ls][near], targets[rs], k, metric, bound[near])
                 qi = near[qi]
@@ -280,26 +306,34 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
                     yield kernel.side_by_side(lrows, pa.array(qi + ls.start), rrows,
                                               pa.array(ci + rs.start), dist, rank, names)
 
-    cell_field = T.StructField("cell", T.IntegerType())
+    cell_field = T.StructField("cell", T.LongType())
     radius_field = T.StructField("radius", T.FloatType())
     place_field = T.StructField("place", T.LongType())
-    housed = c.mapInArrow(house, T.StructType([cell_field, place_field, *c.schema.fields]))
-    routed = vectors.mapInArrow(
-        route, T.StructType([cell_field, place_field, radius_field, *vectors.schema.fields]))
-    blocks = _pack_by_cell(housed, "crows", min(BLOCK_ROWS, BLOCK_BYTES // (8 * d) + 1),
-                           "nvec", "nid")
-    asked = _pack_by_cell(routed, "qrows",
-                          min(QUERY_BLOCK_ROWS, QUERY_BLOCK_BYTES // (8 * d) + 1), "qvec")
+    near_field = T.StructField("near", T.ArrayType(T.DoubleType()))
+    housed = c.mapInArrow(house, T.StructType([cell_field, place_field, near_field, *c.schema.fields]))
+    routed = vectors.mapInArrow(route, T.StructType(
+        [cell_field, place_field, near_field, radius_field, *vectors.schema.fields]))
+    # In pivot cells a block is smaller, so that more of them can be left out.
+    block_rows = min(BLOCK_ROWS if prune else PIVOT_ROWS, BLOCK_BYTES // (8 * d) + 1)
+    asked_rows = min(QUERY_BLOCK_ROWS, QUERY_BLOCK_BYTES // (8 * d) + 1)
+    if prune and -(-n // CELL_ROWS) > MAX_CELLS:
+        grids = _finer_cells(housed, k, metric)
+        housed = _cut_again(_pack_by_cell(housed, "rows", block_rows, "nvec", "nid"), grids, "nvec",
+                            k, housed.schema)
+        routed = _cut_again(_pack_by_cell(routed, "rows", asked_rows, "qvec"), grids, "qvec",
+                            k, routed.schema)
+    blocks = _pack_by_cell(housed, "crows", block_rows, "nvec" if prune else "near", "nid")
+    asked = _pack_by_cell(routed, "qrows", asked_rows, "qvec" if prune else "near")
     on = ["cell"]
     if salts > 1:
         on = ["cell", "salt"]
         salt = F.pmod(F.col("qrows")[0]["_h1"], F.lit(salts)).cast("int")
         asked = asked.withColumn("salt", salt)
         blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # Blocks of one cell whose boxes lie further apart than any radius never meet.
+    # Blocks of one cell that lie further apart than any radius never meet.
     asked = asked.withColumnsRenamed({"low": "q_low", "high": "q_high"})
     blocks = blocks.drop("reach")
-    met = (asked.join(blocks, on).where(_box_gap(metric) <= F.col("reach"))
+    met = (asked.join(blocks, on).where(_box_gap(metric) <= F.col("reach") if prune else ~_pivot_gap())
            .select("cell", "qrows", "crows").mapInArrow(meet, found))
     order = Window.partitionBy("_h1", "_h2").orderBy("dist", "nid")
     near = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -325,6 +359,17 @@ def _box_gap(metric: str):
     return F.sqrt(F.aggregate(apart, F.lit(0.0), lambda t, g: t + g * g)).cast("float")
 
 
+def _pivot_gap():
+    """Whether a query block and a candidate block, told by their distances from the pivots,
+    lie further apart than the queries' radius and what rounding may add."""
+    apart = F.zip_with(
+        F.zip_with("q_low", "high", lambda a, b: a - b),
+        F.zip_with("low", "q_high", lambda a, b: a - b), lambda a, b: F.greatest(a, b))
+    size = F.array_max("high") + F.array_max("q_high")
+    reach = F.col("reach").cast("double") * (1 + 2.0**-20) + size * kernel.ROUNDING
+    return F.exists(apart, lambda g: ~F.isnan(g) & (g > reach))
+
+
 def _pack_by_cell(rows: DataFrame, name: str, block_rows: int, vector: str,
                   order: str | None = None) -> DataFrame:
     """Bring a cell's rows together and pack them into compact blocks of bounded size.
@@ -335,7 +380,7 @@ def _pack_by_cell(rows: DataFrame, name: str, block_rows: int, vector: str,
     """
     corner = T.ArrayType(T.DoubleType())
     packed = T.StructType([
-        T.StructField("cell", T.IntegerType()), T.StructField("low", corner),
+        T.StructField("cell", T.LongType()), T.StructField("low", corner),
         T.StructField("high", corner), T.StructField("reach", T.FloatType()),
         T.StructField("rows", T.ArrayType(T.StructType(
             [f for f in rows.schema.fields if f.name not in ("cell", "place")])))])
@@ -347,6 +392,50 @@ def _pack_by_cell(rows: DataFrame, name: str, block_rows: int, vector: str,
             .mapInArrow(run, packed).withColumnRenamed("rows", name))
 
 
+def _finer_cells(housed: DataFrame, k: int, metric: str) -> DataFrame:
+    """(cell, grid): cells of about CELL_ROWS candidates inside each of the cells that the
+    driver cut, from a sample of their rows, which a task per cell holds."""
+    per_cell = _sample_per_cell(k)
+    draw = F.pmod(F.xxhash64("nid"), F.lit(1 << 30)) < F.lit(int(per_cell / CELL_ROWS * (1 << 30)))
+
+    def cut(rows: pa.Table) -> pa.Table:
+        points = kernel.matrix(rows.column("nvec").combine_chunks())
+        return pa.table({"cell": rows.column("cell")[:1].cast(pa.int64()), "grid": pa.array(
+            [kernel.cut_cells(points, per_cell, k + 1, metric)], pa.binary())})
+
+    return housed.where(draw).select("cell", "nvec").groupBy("cell").applyInArrow(
+        cut, "cell long, grid binary")
+
+
+def _cut_again(packed: DataFrame, grids: DataFrame, vector: str, k: int,
+               schema: T.StructType) -> DataFrame:
+    """Rows of packed cells in finer cells; those of a cell without a grid stay as they are."""
+    def run(batches):
+        return kernel.cut_again(batches, "rows", vector, k)
+
+    def unpack(batches):
+        for batch in batches:
+            rows = batch.column("rows")
+            cell = np.repeat(batch.column("cell").to_numpy() << kernel.FINER_BITS,
+                             rows.value_lengths().to_numpy())
+            block = pa.RecordBatch.from_struct_array(rows.flatten())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell), pa.array(np.zeros(len(cell), np.int64)), *block.columns],
+                names=["cell", "place", *block.schema.names])
+
+    rows = packed.select("cell", "rows")
+    finer = rows.join(grids, "cell").mapInArrow(run, schema)
+    return finer.unionByName(rows.join(grids, "cell", "left_anti").mapInArrow(unpack, schema))
+
+
+def _choose_pivots(c: DataFrame, n: int, d: int, cells: int, k: int, metric: str) -> kernel.Pivots:
+    """Pivots for wide points, from a candidate sample whose size is bounded."""
+    per_pivot = 4 * _sample_per_cell(k)
+    wanted = max(1, min(MAX_PIVOTS, max(cells, n // CELL_ROWS), SAMPLE_BYTES // (8 * d * per_pivot)))
+    return kernel.Pivots.from_sample(
+        _sampled(c, n, d, wanted * per_pivot), wanted, cells, per_pivot, metric)
+
+
 def _sample_per_cell(k: int) -> int:
     return max(32, 2 * (k + 1))
 
@@ -355,9 +444,13 @@ def _cut_cells(c: DataFrame, n: int, d: int, wanted: int, k: int, metric: str) -
     """About ``wanted`` cells, cut from a candidate sample whose size is bounded."""
     per_cell = _sample_per_cell(k)
     wanted = min(wanted, MAX_CELLS, max(1, SAMPLE_BYTES // (8 * d * per_cell)))
-    share = min(1.0, wanted * per_cell / n)
+    return kernel.Cells.from_sample(_sampled(c, n, d, wanted * per_cell), per_cell, k + 1, metric)
+
+
+def _sampled(c: DataFrame, n: int, d: int, rows: int) -> np.ndarray:
+    """About ``rows`` points, drawn by the hash of their key."""
+    share = min(1.0, rows / n)
     draw = F.pmod(F.xxhash64("nid"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
     sample = (c.where(draw) if share < 1.0 else c).select("nvec")
-    drawn = sample.limit(2 * wanted * per_cell + per_cell).toArrow().column(0).combine_chunks()
-    points = kernel.matrix(drawn) if len(drawn) else np.empty((0, d))
-    return kernel.Cells.from_sample(points, per_cell, k + 1, metric)
+    drawn = sample.limit(2 * rows + 64).toArrow().column(0).combine_chunks()
+    return kernel.matrix(drawn) if len(drawn) else np.empty((0, d))

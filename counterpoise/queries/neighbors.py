@@ -44,15 +44,29 @@ def q_knn_embeddings(spark, folder):
     return _plain(knn_join(rows, rows, k=K, key="id", features="embedding"))
 
 
+def q_knn_embeddings_cells(spark, folder):
+    """Wide vectors, cells around pivots."""
+    rows = V.embeddings(spark, folder)
+    return _plain(knn_join(rows, rows, k=K, key="id", features="embedding", strategy="cells"))
+
+
 def q_knn_customer_supplier(spark, folder):
     """Two different tables: suppliers with the balance nearest to each customer's."""
+    return _customer_supplier(spark, folder)
+
+
+def q_knn_customer_supplier_cells(spark, folder):
+    return _customer_supplier(spark, folder, strategy="cells")
+
+
+def _customer_supplier(spark, folder, **options):
     customer = V.table(spark, folder, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("bal"),
         F.col("c_nationkey").alias("nation"))
     supplier = V.table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("bal"),
         F.col("s_nationkey").alias("nation"))
-    return _plain(knn_join(customer, supplier, k=K, key="id", features=["bal", "nation"]))
+    return _plain(knn_join(customer, supplier, k=K, key="id", features=["bal", "nation"], **options))
 
 
 QUERIES = {
@@ -85,3 +99,5 @@ ORACLE = {
                  FROM supplier), {V.knn('cust', 'supp', ['bal', 'nation'], K)}
         SELECT qid, rank, nid, dist::DOUBLE AS dist FROM nn""",
 }
+ORACLE["q_knn_embeddings_cells"] = ORACLE["q_knn_embeddings"]
+ORACLE["q_knn_customer_supplier_cells"] = ORACLE["q_knn_customer_supplier"]

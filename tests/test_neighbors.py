@@ -207,3 +207,50 @@ def test_distances_that_round_to_zero_crowd_nobody_out(spark, strategy, metric):
             got.setdefault(r["qid"], []).append((r["nid"], r["dist"]))
         pairs = [(i, [x]) for i, x in points]
         assert got == brute_force(pairs, pairs, k, metric)
+
+
+def counted(spark, points, k, **options):
+    """The neighbours found, and the share of all pairs that was looked at."""
+    seen = spark.sparkContext.accumulator(0)
+    got = run(frame(spark, points), points, k, strategy="cells", compared=seen, **options)
+    return got, seen.value / len(points) ** 2
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+@pytest.mark.parametrize("k", [1, 4])
+def test_pivots_leave_out_most_pairs_of_wide_clusters(spark, monkeypatch, metric, k):
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 30)
+    monkeypatch.setattr(neighbors, "PIVOT_ROWS", 16)
+    monkeypatch.setattr(neighbors, "QUERY_BLOCK_ROWS", 16)
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=(12, 20)) * 10
+    points = np.repeat(centre, 40, axis=0) + rng.normal(size=(480, 20)) * 0.5
+    points[::37] = points[5]  # copies
+    points[3, 4] = np.inf
+    got, share = counted(spark, points, k, metric=metric)
+    assert got == expected(points, k, metric)
+    assert share < 0.5
+
+
+@pytest.mark.parametrize("points", [
+    np.zeros((30, 10)), np.full((5, 9), np.inf), np.eye(12), np.arange(12.0)[None] * 1e300,
+    np.repeat(np.random.default_rng(3).normal(size=(50, 9)), 3, axis=0)])
+def test_odd_wide_points(spark, points):
+    assert run(frame(spark, points), points, 3, strategy="cells") == expected(points, 3)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_cells_inside_cells(spark, monkeypatch, metric):
+    rng = np.random.default_rng(12)
+    points = np.concatenate([rng.normal(size=(900, 2)), rng.normal(size=(300, 2)) * 0.01 + 3,
+                             np.full((100, 2), 7.0)]).round(4)
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 40)
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 100_000)
+    monkeypatch.setattr(neighbors, "MAX_CELLS", 2)
+    got, finer = counted(spark, points, 3, metric=metric)
+    assert got == expected(points, 3, metric)
+    monkeypatch.setattr(neighbors, "_finer_cells", lambda housed, k, metric: spark.createDataFrame(
+        [], "cell long, grid binary"))
+    got, coarse = counted(spark, points, 3, metric=metric)
+    assert got == expected(points, 3, metric)
+    assert finer < coarse / 4  # each row meets its finer cells, not its whole cell
