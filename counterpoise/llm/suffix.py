@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -98,7 +99,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     n = len(data)
     symbols = data.dtype == np.uint64
     key = data if symbols else words_at(data)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = np.empty(n, np.int64)
     first = np.empty(n, bool)
     first[:1] = True
@@ -108,7 +109,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     at = np.arange(n)
     depth = 1 if symbols else 0 if n < 8 or (data[-8:] == 0).any() else 8
     if not depth:
-        order = np.argsort(data, kind="stable")
+        order = np.argsort(data)
         first[1:] = data[order[1:]] != data[order[:-1]]
         rank[order] = np.maximum.accumulate(np.where(first, at, 0))
         depth = 1
@@ -121,7 +122,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         beyond = members + depth
         second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
         key = rank[members] * (n + 1) + second
-        turn = np.argsort(key, kind="stable")
+        turn = np.argsort(key)
         members, key = members[turn], key[turn]
         order[open_] = members
         new = np.empty(len(open_), bool)
@@ -217,24 +218,32 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
 
 ANCHOR = "doc_id long, txt long, begin int, cnt int, h long, ctx long"
 
+#: (window, gram) of strings of bytes and, if there are two, of runs of words. The lowest
+#: bit of an anchor's hash says which it is.
+Sizes = tuple[tuple[int, int], ...]
 
-def anchor_table(docs: DataFrame, window: int, gram: int, words: bool = False) -> DataFrame:
+
+def anchor_table(docs: DataFrame, sizes: Sizes) -> DataFrame:
     """One row per anchor of every text: where its context begins, how many strings it has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                data, offsets = units(*byte_view(part.column("text")), words)
-                for low in range(0, max(1, len(data) - window + 1), SLICE_BYTES):
-                    # a long text in blocks of starts; a context ends where its block does
-                    high = min(len(data), low + SLICE_BYTES + window - 1)
-                    inside = np.clip(offsets, low, high) - low
-                    text, begin, count, h, ctx = anchors(data[low:high], inside, window, gram)
-                    yield pa.RecordBatch.from_arrays([
-                        part.column("doc_id").take(pa.array(text)),
-                        part.column("txt").take(pa.array(text)),
-                        pa.array((begin + low - offsets[text]).astype(np.int32)),
-                        pa.array(count.astype(np.int32)), pa.array(h.view(np.int64)),
-                        pa.array(ctx.view(np.int64))], ["doc_id", "txt", "begin", "cnt", "h", "ctx"])
+                for words, (window, gram) in enumerate(sizes):
+                    yield from found(part, bool(words), window, gram)
+
+    def found(part: pa.RecordBatch, words: bool, window: int, gram: int) -> Iterator[pa.RecordBatch]:
+        data, offsets = units(*byte_view(part.column("text")), words)
+        for low in range(0, max(1, len(data) - window + 1), SLICE_BYTES):
+            # a long text in blocks of starts; a context ends where its block does
+            high = min(len(data), low + SLICE_BYTES + window - 1)
+            inside = np.clip(offsets, low, high) - low
+            text, begin, count, h, ctx = anchors(data[low:high], inside, window, gram)
+            h = h & ~np.uint64(1) | np.uint64(words)
+            yield pa.RecordBatch.from_arrays([
+                part.column("doc_id").take(pa.array(text)), part.column("txt").take(pa.array(text)),
+                pa.array((begin + low - offsets[text]).astype(np.int32)),
+                pa.array(count.astype(np.int32)), pa.array(h.view(np.int64)),
+                pa.array(ctx.view(np.int64))], ["doc_id", "txt", "begin", "cnt", "h", "ctx"])
 
     return stored(docs.select("doc_id", "txt", "text").mapInArrow(run, ANCHOR), "anchors")
 
@@ -242,8 +251,7 @@ def anchor_table(docs: DataFrame, window: int, gram: int, words: bool = False) -
 NEEDED = "h long, ctx long, n long, shards int, cnt int, bytes binary"
 
 
-def context_bytes(docs: DataFrame, needed: DataFrame, window: int,
-                  words: bool = False) -> DataFrame:
+def context_bytes(docs: DataFrame, needed: DataFrame, sizes: Sizes) -> DataFrame:
     """The bytes of the contexts in ``needed``, each read from the row that it names."""
     lists = needed.groupBy("doc_id", "txt").agg(F.collect_list(F.struct(
         "h", "ctx", "n", "shards", "begin", "cnt")).alias("wanted"))
@@ -257,11 +265,14 @@ def context_bytes(docs: DataFrame, needed: DataFrame, window: int,
                 wanted = part.column("wanted")
                 flat = wanted.flatten()
                 row = np.repeat(np.arange(part.num_rows), wanted.value_lengths().to_numpy())
-                starts, stops, first = word_places(data, offsets) if words else (None, None, offsets)
-                begin = flat.field("begin").to_numpy() + first[row]
-                size = flat.field("cnt").to_numpy() + window - 1
-                if words:
-                    begin, size = starts[begin], stops[begin + size - 1] - starts[begin]
+                words = (flat.field("h").to_numpy() & 1).astype(bool)
+                begin = flat.field("begin").to_numpy() + offsets[row]
+                size = flat.field("cnt").to_numpy() + sizes[0][0] - 1
+                if words.any():
+                    starts, stops, first = word_places(data, offsets)
+                    place = flat.field("begin").to_numpy()[words] + first[row[words]]
+                    last = place + flat.field("cnt").to_numpy()[words] + sizes[1][0] - 2
+                    begin[words], size[words] = starts[place], stops[last] - starts[place]
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [flat.field(c) for c in ("h", "ctx", "n", "shards", "cnt")] + [pa.array(
@@ -297,7 +308,7 @@ def _spans(flags: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def shard_search(contexts: DataFrame, window: int, words: bool = False) -> DataFrame:
+def shard_search(contexts: DataFrame, sizes: Sizes) -> DataFrame:
     """What the suffix arrays of the shards find, stored.
 
     Rows with ``spans``: the strings of a context that occur again. Rows with ``keys``: for
@@ -313,7 +324,12 @@ def shard_search(contexts: DataFrame, window: int, words: bool = False) -> DataF
         unique: dict[tuple, int] = {}
         for k, x in enumerate(held):  # rows that repeat in the documents come once
             unique.setdefault((x[0], x[1]), k)
-        held = [held[k] for k in unique.values()]
+        for words, (window, _) in enumerate(sizes):
+            own = [held[k] for (h, _), k in unique.items() if h & 1 == words]
+            if own:
+                yield from searched(own, window, bool(words))
+
+    def searched(held: list, window: int, words: bool) -> Iterator[pa.RecordBatch]:
         h, ctx, times, shards, count, raw = zip(*held)
         data, begin = units(np.frombuffer(b"".join(raw), np.uint8),
                             np.cumsum([0] + [len(r) for r in raw]), words)
@@ -415,21 +431,21 @@ def merged(found: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "h long, ctx long, spans array<int>")
 
 
-def repeated_spans(docs: DataFrame, window: int, gram: int, words: bool = False) -> DataFrame:
-    """(doc_id, txt, begin, spans) of the strings of ``docs`` (doc_id, txt, text) that occur
-    again; starts, in bytes or words, are begin + first ... begin + beyond - 1."""
-    places = anchor_table(docs, window, gram, words)
+def repeated_spans(docs: DataFrame, sizes: Sizes) -> DataFrame:
+    """(doc_id, txt, begin, spans, words) of the strings of ``docs`` (doc_id, txt, text) that
+    occur again; starts, in bytes or words, are begin + first ... begin + beyond - 1."""
+    places = anchor_table(docs, sizes)
     contexts = stored(places.groupBy("h", "ctx").agg(
         F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "txt", "begin", "cnt"))),
         "contexts")
     shared = (contexts.groupBy("h").agg(F.sum("n").alias("_all"), F.count("*").alias("_k"))
               .filter("_all > 1")
               .select("h", F.ceil(F.col("_k") / SHARD_CONTEXTS).cast("int").alias("shards")))
-    needed = context_bytes(docs, contexts.join(shared, "h"), window, words)
-    found = shard_search(needed, window, words)
+    found = shard_search(context_bytes(docs, contexts.join(shared, "h"), sizes), sizes)
     spans = stored(found.filter("spans IS NOT NULL").select("h", "ctx", "spans")
                    .unionByName(merged(found)), "spans")
-    return places.join(spans, ["h", "ctx"]).select("doc_id", "txt", "begin", "spans")
+    return places.join(spans, ["h", "ctx"]).select(
+        "doc_id", "txt", "begin", "spans", (F.col("h").bitwiseAND(F.lit(1)) == 1).alias("words"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -456,28 +472,36 @@ def _united(first: np.ndarray, beyond: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first[start], reach[np.append(start[1:], len(first)) - 1]
 
 
-def _starts(found: list, words: bool) -> tuple[np.ndarray, np.ndarray]:
-    edges = [np.array(x["spans"], np.int64) + x["begin"] for x in found
-             if bool(x.get("words")) == words]
-    edge = np.concatenate(edges) if edges else np.empty(0, np.int64)
-    return edge[0::2], edge[1::2]
+@dataclass
+class Spans:
+    """The column ``found`` of a batch of rows, as ranges of starts for each row."""
 
+    row: np.ndarray    # first range of each row, and beyond the last
+    words: np.ndarray  # per range
+    first: np.ndarray
+    beyond: np.ndarray
 
-def kept_bytes(raw: bytes, found: list | None, window: int, passage: int = 0) -> tuple[bytes, int]:
-    """What is left of a text, and the number of maximal removed runs.
+    @classmethod
+    def of(cls, found: pa.Array) -> Spans:
+        flat = found.flatten()
+        many = np.nan_to_num(found.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        spans = flat.field("spans")
+        size = spans.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) // 2
+        edge = spans.flatten().to_numpy().astype(np.int64).reshape(-1, 2)
+        edge += np.repeat(flat.field("begin").to_numpy().astype(np.int64), size)[:, None]
+        words = np.repeat(flat.field("words").to_numpy(zero_copy_only=False).astype(bool), size)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return cls(ends[np.concatenate([[0], np.cumsum(many)])], words, edge[:, 0], edge[:, 1])
 
-    Entries of ``found`` that are marked ``words`` count in words and cover ``passage`` of
-    them, with the white space between.
-    """
-    if not found:
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = slice(self.row[k], self.row[k + 1])
+        return self.words[at], self.first[at], self.beyond[at]
+
+
+def kept_bytes(raw: bytes, first: np.ndarray, beyond: np.ndarray) -> tuple[bytes, int]:
+    """What is left of a text without ranges of bytes, and the number of maximal runs of them."""
+    if not len(first):
         return raw, 0
-    first, beyond = _starts(found, False)
-    beyond = beyond + window - 1
-    a, b = _starts(found, True)
-    if len(a):
-        starts, stops, _ = word_places(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        first = np.concatenate([first, starts[a]])
-        beyond = np.concatenate([beyond, stops[b + passage - 2]])
     first, beyond = _united(first, beyond)
     gaps = zip([0, *beyond.tolist()], [*first.tolist(), len(raw)])
     return b"".join(raw[i:j] for i, j in gaps), len(first)
@@ -493,13 +517,6 @@ DIGEST = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
           "n_passage_words long, n_passages long")
 
 
-def _both_spans(docs: DataFrame, window: int, gram: int, passage: int, passage_gram: int) -> DataFrame:
-    """Repeated strings of bytes and repeated runs of words, the latter marked ``words``."""
-    by_byte = repeated_spans(docs, window, gram).withColumn("words", F.lit(False))
-    by_word = repeated_spans(docs, passage, min(passage, passage_gram), words=True)
-    return by_byte.unionByName(by_word.withColumn("words", F.lit(True)))
-
-
 def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, passage: int = PASSAGE,
             passage_gram: int = PASSAGE_GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``, and
@@ -514,22 +531,23 @@ def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, passage: in
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = batch.column("doc_id"), []
-            for k in range(batch.num_rows):
-                raw = batch.column("text")[k].as_py().encode()
-                found = batch.column("found")[k].as_py() or []
-                kept, runs = kept_bytes(raw, [x for x in found if not x["words"]], window)
-                a, b = _starts(found, True)
-                a, b = _united(a, b + passage - 1)
+            data, at = byte_view(batch.column("text"))
+            spans, out = Spans.of(batch.column("found")), []
+            for k, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
+                raw = data[a:b].tobytes()
+                words, first, beyond = spans[k]
+                kept, runs = kept_bytes(raw, first[~words], beyond[~words] + window - 1)
+                first, beyond = _united(first[words], beyond[words] + passage - 1)
                 out.append((len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(),
-                            int((b - a).sum()), len(a)))
+                            int((beyond - first).sum()), len(first)))
             columns = list(zip(*out)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [ids, *(pa.array(c, pa.string() if k == 3 else pa.int64())
-                        for k, c in enumerate(columns))], [c.split()[0] for c in DIGEST.split(", ")])
+                [batch.column("doc_id"), *(pa.array(c, pa.string() if k == 3 else pa.int64())
+                                           for k, c in enumerate(columns))],
+                [c.split()[0] for c in DIGEST.split(", ")])
 
     rows = _keyed(docs)
-    spans = _both_spans(rows, window, gram, passage, passage_gram)
+    spans = repeated_spans(rows, ((window, gram), (passage, min(passage, passage_gram))))
     return with_spans(rows, spans).select("doc_id", "text", "found").mapInArrow(run, DIGEST)
 
 
@@ -551,17 +569,27 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = part.column("found").to_pylist()
-                texts = [text if f is None else kept_bytes(
-                    text.encode(), f, window, passage)[0].decode(errors="ignore") for text, f in zip(part.column("text").to_pylist(), found)]
+                data, at = byte_view(part.column("text"))
+                spans, texts = Spans.of(part.column("found")), []
+                for k, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
+                    raw = data[a:b].tobytes()
+                    words, first, beyond = spans[k]
+                    if words.any():
+                        starts, stops, _ = word_places(data[a:b], np.array([0, b - a]))
+                    beyond = np.concatenate([beyond[~words] + window - 1, stops[
+                        beyond[words] + passage - 2] if words.any() else beyond[:0]])
+                    first = np.concatenate([first[~words], starts[first[words]] if words.any() else first[:0]])
+                    texts.append(kept_bytes(raw, first, beyond)[0].decode(errors="ignore"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), part.column("none"), pa.array(texts, pa.string()),
                      part.column("found").is_valid()], ["row", "none", "text", "cut"])
 
     schema = T.StructType([rows.schema["row"], rows.schema["none"], rows.schema["text"],
                            T.StructField("cut", T.BooleanType())])
-    spans = (_both_spans(rows, window, gram, passage, passage_gram) if passage
-             else repeated_spans(rows, window, gram))
+    sizes: Sizes = ((window, gram),)
+    if passage:
+        sizes += ((passage, min(passage, passage_gram)),)
+    spans = repeated_spans(rows, sizes)
     out = with_spans(rows, spans).select("row", "none", "text", "found").mapInArrow(run, schema)
     columns = {c: F.col("row")[c] for c in others}
     columns["text"] = F.when(~F.col("none"), F.col("text"))
