@@ -31,6 +31,7 @@ from counterpoise.functions.distance import check_metric
 from counterpoise.functions.features import Features, feature_vector, measurable
 from counterpoise.materialize import materialize
 from counterpoise.operators import kernel
+from counterpoise.operators.sampling import task_count
 
 STRATEGIES = ("auto", "broadcast", "cells")
 
@@ -140,12 +141,6 @@ def _found_schema(q: DataFrame, c: DataFrame, vectors: bool) -> T.StructType:
     return T.StructType([T.StructField(n, types[n]) for n in names])
 
 
-def _parallelism(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism,
-               int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def _broadcast_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructType,
                     asked: int | None = None) -> DataFrame:
     """Join with candidates whose size was measured: they are handed to every task.
@@ -194,7 +189,7 @@ def _broadcast_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.Stru
 
     # The work per query is far larger than the row: few queries are spread by key, many
     # have enough input splits and stay where they are.
-    slots = _parallelism(q)
+    slots = task_count(q)
     if (q.count() if asked is None else asked) < slots * SPREAD_ROWS:
         q = q.repartition(slots, "qid")
     return q.mapInArrow(run, out)
@@ -212,7 +207,7 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
     n, d, _ = _measure(c)
     if not n:
         return q.sparkSession.createDataFrame([], out)
-    tasks = TASKS_PER_SLOT * _parallelism(q)
+    tasks = TASKS_PER_SLOT * task_count(q)
     prune = d <= PRUNED_WIDTH
     salts = 1
     if prune:

@@ -11,11 +11,11 @@ from counterpoise.functions.features import (
 from counterpoise.functions.keys import with_row_key
 from counterpoise.materialize import materialize
 from counterpoise.operators.classes import (
-    SamplingPlan, is_minority, majority_rows, measured_minority, partners_per_row, plan_of_counts,
-    sampling_plan)
+    SamplingPlan, is_minority, majority_rows, measured_minority, minority_rows, partners_per_row,
+    plan_of_counts, sampling_plan)
 from counterpoise.operators.neighbors import Known, knn_join
 from counterpoise.operators.sampling import (
-    SEED, choose_nearest, choose_random, number_copies, replicate_rows, with_copies)
+    SEED, SLICE_COPIES, choose_nearest, choose_random, number_copies, replicate_rows, with_copies)
 from counterpoise.operators.synthesis import (
     gap_draw, interpolate, interpolate_entries, synthetic_key)
 
@@ -51,7 +51,7 @@ def chosen_partners(
         with_copies(minority, key, plan.fraction, seed), minority,
         k=plan.n if choose == "nearest" else k, key=key, features=features, metric=metric,
         query_columns=["copies"], vectors=True, strategy=strategy, known=known)
-    found = number_copies(found, "q_copies")
+    found = number_copies(found, "q_copies", mean=plan.fraction)
     found = found.select("qid", "copy", "rank", "nid", "dist", "qvec", "nvec")
     if choose == "nearest":
         return choose_nearest(found, plan.n)
@@ -60,10 +60,16 @@ def chosen_partners(
 
 def passed_through(df: DataFrame, key: str, features: Features, label: str, minority,
                    plan: SamplingPlan, seed: int = SEED) -> DataFrame:
-    """Majority rows as they are and sampled minority rows with their copies, in one scan."""
+    """Majority rows as they are and sampled minority rows with their copies, in one scan;
+    in two where minority rows have so many copies that these are dealt out."""
     positive = is_minority(label, minority)
-    kept = number_copies(with_copies(df, key, plan.fraction, seed, "_copies", among=positive),
-                         "_copies", "_copy")
+    if plan.fraction <= SLICE_COPIES / 2:
+        kept = number_copies(with_copies(df, key, plan.fraction, seed, "_copies", among=positive),
+                             "_copies", "_copy")
+    else:
+        rare = replicate_rows(minority_rows(df, label, minority), key, plan.fraction, seed)
+        kept = (majority_rows(df, label, minority).withColumn("_copy", F.lit(1))
+                .unionByName(rare.withColumnRenamed("copy", "_copy")))
     name = F.col(key).cast("string")
     own = F.when(positive, F.concat_ws(":", F.lit("orig"), name, F.col("_copy").cast("string"))
                  ).otherwise(F.concat_ws(":", F.lit("maj"), name))

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from counterpoise.functions.distance import distance
 from counterpoise.operators import classes as C
 from counterpoise.operators.sampling import (
+    HALF_STEP,
     LADDER_MEAN,
+    TRIES,
+    Rejection,
     poisson_ladder,
     replicate_rows,
     sample_rows,
@@ -20,6 +23,7 @@ from counterpoise.queries import views as V
 PLAIN_PCT = 10
 COPIES_PCT = 250
 HEAVY = 70.5
+REJECTED = 123_456.75
 
 
 def q_class_counts(spark, folder):
@@ -53,6 +57,13 @@ def q_sample_heavy(spark, folder):
     return drawn.select("id", F.col("copies").cast("long").alias("copies"))
 
 
+def q_sample_rejection(spark, folder):
+    """Very many copies: counts by transformed rejection."""
+    lines = V.lineitem_imb(spark, folder)
+    drawn = with_copies(C.minority_rows(lines, "label", V.MINORITY), "id", REJECTED)
+    return drawn.select("id", F.col("copies").cast("long").alias("copies"))
+
+
 def _line_part(spark, folder, metric):
     """Each line compared with its own part: one pair per line."""
     line = V.table(spark, folder, "lineitem").select(
@@ -110,8 +121,26 @@ def _heavy() -> str:
         SELECT id, copies::BIGINT AS copies FROM drawn WHERE copies > 0"""
 
 
+def _rejected() -> str:
+    r = Rejection.of(REJECTED)
+    u, v = (f"{V.uniform(tag, 'id', 'i::VARCHAR')} + {HALF_STEP!r}::DOUBLE" for tag in ("reject", "accept"))
+    mean = f"{REJECTED!r}::DOUBLE"
+    return f"""WITH {V.LINEITEM_IMB},
+        draws AS (SELECT id, i, {u} - 0.5::DOUBLE AS u, {v} AS v
+                  FROM lineitem_imb, range(1, {TRIES + 1}) AS t(i) WHERE label = {V.MINORITY!r}),
+        tries AS (SELECT id, i, v, 0.5::DOUBLE - abs(u) AS edge,
+                         floor(({2 * r.bend!r}::DOUBLE / (0.5::DOUBLE - abs(u)) + {r.scale!r}::DOUBLE) * u
+                               + {REJECTED + 0.43!r}::DOUBLE) AS n FROM draws)
+        SELECT id, arg_min(n, i)::BIGINT AS copies FROM tries
+        WHERE (edge >= 0.07 AND v <= {r.inner!r}::DOUBLE) OR (n >= 1 AND NOT (edge < 0.013 AND v > edge)
+          AND ln(v) + {r.log_alpha!r}::DOUBLE - ln({r.bend!r}::DOUBLE / (edge * edge) + {r.scale!r}::DOUBLE)
+            <= n - {mean} - n * ln(n / {mean}) - 0.5 * ln(n * {2 * math.pi!r}::DOUBLE) - 1 / (12 * n))
+        GROUP BY id"""
+
+
 ORACLE = {
     "q_sample_heavy": _heavy(),
+    "q_sample_rejection": _rejected(),
     "q_class_counts": f"WITH {_plan(PLAIN_PCT)} SELECT n_pos, n_neg FROM counts",
     "q_class_distribution": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
     "q_sampling_plan": f"WITH {_plan(COPIES_PCT)} SELECT n_pos, n_neg, n, fraction FROM plan",

@@ -117,3 +117,34 @@ def test_rows_a_microsecond_apart_have_two_keys(spark):
     rows = spark.sql("""SELECT * FROM VALUES (timestamp'2024-01-01 00:00:00.000001', 1),
         (timestamp'2024-01-01 00:00:00.000002', 1), (NULL, 1), (NULL, NULL) AS t(at, x)""")
     assert keys.with_row_key(rows).select("id").distinct().count() == 4
+
+
+@pytest.mark.parametrize("mean", [3_500.0, 2e6, 1e11])
+def test_copies_of_any_mean(spark, mean):
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("id"))
+    drawn = S.with_copies(rows, "id", mean)
+    got = drawn.agg(F.avg("copies").alias("m"), F.var_samp("copies").alias("v"),
+                    F.skewness("copies").alias("s"), F.count_distinct("copies").alias("n")).first()
+    assert abs(got["m"] / mean - 1) < 5 / math.sqrt(4000 * mean)
+    assert abs(got["v"] / mean - 1) < 0.1 and abs(got["s"]) < 0.15 and got["n"] > 300
+    assert drawn.repartition(7).orderBy("id").collect() == drawn.orderBy("id").collect()
+
+
+def test_rejection_follows_the_distribution(spark):
+    mean, n = 400.0, 200_000
+    drawn = spark.range(n).select(S.poisson_rejection("id", mean, 3).alias("k"))
+    got = {r["k"]: r["count"] for r in drawn.groupBy("k").count().collect()}
+    chance = {k: math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(300, 501)}
+    chi = sum((got.get(k, 0) - n * p) ** 2 / (n * p) for k, p in chance.items() if n * p > 20)
+    freedom = sum(n * p > 20 for p in chance.values())
+    assert chi < freedom + 5 * math.sqrt(2 * freedom)
+
+
+def test_few_rows_with_many_copies_are_dealt_to_all_tasks(spark):
+    base = spark.createDataFrame([("a", 1.0), ("b", None)], "id string, x double")
+    made = S.replicate_rows(base, "id", 50_000.0)
+    parts = made.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(parts) == S.task_count(made) and max(r["count"] for r in parts) < 60_000
+    each = made.groupBy("id").agg(F.min("copy").alias("lo"), F.max("copy").alias("hi"),
+                                  F.count_distinct("copy").alias("n")).collect()
+    assert len(each) == 2 and all(r["lo"] == 1 and r["hi"] == r["n"] > 49_000 for r in each)
