@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from counterpoise.materialize import materialize
 from counterpoise.sources.delimited import delimited_line
 from counterpoise.sources.spec import Attribute, Spec
 
@@ -45,31 +46,35 @@ def _refuse(attribute: Attribute, token: Column) -> Column:
                                   F.coalesce(token, F.lit("missing value")))).cast("double")
 
 
-def lenient_code(df: DataFrame, attribute: Attribute) -> Column:
-    """Code of a listed category, else the token as a number, else an error."""
+def _missing(attribute: Attribute, token: Column) -> Column:
+    return F.lit(None).cast("double")
+
+
+def lenient_code(df: DataFrame, attribute: Attribute, refuse=_refuse) -> Column:
+    """Code of a listed category, else the token as a number, else ``refuse``, an error."""
     listed = attribute.categories or attribute.codes is not None
     if isinstance(df.schema[attribute.name].dataType, T.NumericType) and not listed:
         value = F.col(attribute.name).cast("double")
-        return F.coalesce(value, _refuse(attribute, F.lit(None).cast("string")))
+        return F.coalesce(value, refuse(attribute, F.lit(None).cast("string")))
     token = _token(attribute.name)
     number = token.try_cast("double")
     known = F.coalesce(_code(attribute, token), number) if listed else number
-    return F.coalesce(known, _refuse(attribute, token))
+    return F.coalesce(known, refuse(attribute, token))
 
 
-def strict_code(df: DataFrame, attribute: Attribute) -> Column:
+def strict_code(df: DataFrame, attribute: Attribute, refuse=_refuse) -> Column:
     """Numbers as they are; a category must be listed."""
     if attribute.kind == "numeric":
-        return lenient_code(df, attribute)
+        return lenient_code(df, attribute, refuse)
     token = _token(attribute.name)
-    return F.coalesce(_code(attribute, token), _refuse(attribute, token))
+    return F.coalesce(_code(attribute, token), refuse(attribute, token))
 
 
-def minmax_code(df: DataFrame, attribute: Attribute) -> Column:
+def minmax_code(df: DataFrame, attribute: Attribute, refuse=_refuse) -> Column:
     """Numbers scaled to the declared range (0 for a constant), categories strict."""
     if attribute.kind != "numeric":
-        return strict_code(df, attribute)
-    value = lenient_code(df, attribute)
+        return strict_code(df, attribute, refuse)
+    value = lenient_code(df, attribute, refuse)
     if attribute.high == attribute.low:
         return value * 0.0
     return (value - F.lit(attribute.low)) / F.lit(attribute.high - attribute.low)
@@ -89,6 +94,28 @@ def encode(df: DataFrame, spec: Spec, mode: str = "lenient", keep: Sequence[str]
                      code(df, spec.label).alias(label))
 
 
+def encode_or_reject(df: DataFrame, spec: Spec, mode: str = "lenient", keep: Sequence[str] = (),
+                     label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """``encode`` without an error: encoded rows, and (keep, reason) of those that cannot be.
+
+    The reason names the first attribute without a code. Rows are encoded once, and both
+    results are read from what that wrote.
+    """
+    if mode not in ENCODERS:
+        raise ValueError(f"mode must be one of {tuple(ENCODERS)}, not {mode!r}")
+    code = ENCODERS[mode]
+    df = _prepared(df, spec.attributes)
+    reason = F.coalesce(*[F.when(code(df, a, _missing).isNull(), F.concat(
+        F.lit(f"cannot encode {a.name}: "), F.coalesce(_token(a.name), F.lit("missing value"))))
+        for a in spec.attributes])
+    coded = materialize(df.select(
+        *keep, *[code(df, a, _missing).alias(a.name) for a in spec.features],
+        code(df, spec.label, _missing).alias(label), reason.alias("_reason")))
+    bad = coded.where(F.col("_reason").isNotNull())
+    return (coded.where(F.col("_reason").isNull()).drop("_reason"),
+            bad.select(*keep, F.col("_reason").alias("reason")))
+
+
 def encode_features(df: DataFrame, spec: Spec, keep: Sequence[str] = (),
                     label: str = "label") -> DataFrame:
     """Features encoded leniently, the class as its own trimmed token."""

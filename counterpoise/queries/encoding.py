@@ -101,12 +101,57 @@ def q_empty_tokens(spark, folder):
     return E.encode_strict_line(tokens, part_spec(spark, folder), keep=["id"])
 
 
+def _document_lines(spark, folder):
+    """The lines of the documents' texts, numbered from 1."""
+    text = V.table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias(
+        "pos", "line"))
+    return text.select("doc_id", (F.col("pos") + 1).alias("number"), "line")
+
+
 def q_arity_wrong(spark, folder):
     """How many lines of the documents' text are not of two tokens."""
-    tokens = F.size(F.split("line", ",", -1))
-    lines = V.table(spark, folder, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
-    return lines.agg(F.count(F.lit(1)).alias("n_lines"),
-                     F.count_if(tokens != 2).alias("n_wrong"))
+    fault = D.width_fault(D.line_tokens("line"), 2)
+    return _document_lines(spark, folder).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(fault.isNotNull()).alias("n_wrong"))
+
+
+def q_arity_rejects(spark, folder):
+    """Every line that is not of two tokens, with its place and what is wrong."""
+    _, bad = D.parse_or_reject(_document_lines(spark, folder), "line", ["left", "right"],
+                               keep=["doc_id", "number"])
+    return bad
+
+
+def q_arity_kept(spark, folder):
+    """The lines of two tokens, parsed in the pass that rejects the others."""
+    good, _ = D.parse_or_reject(_document_lines(spark, folder), "line", ["left", "right"],
+                                keep=["doc_id", "number"], trim=False)
+    return good
+
+
+def _odd_tokens(spark, folder):
+    """Parts, some with an unknown category, some without a price, some with a bad size."""
+    return part_tokens(spark, folder).withColumns({
+        "p_type": F.when(F.col("id") % 10 == 0, "UNHEARD OF").otherwise(F.col("p_type")),
+        "p_retailprice": F.when(F.col("id") % 7 != 0, F.col("p_retailprice")),
+        "p_size": F.when(F.col("id") % 13 == 0, "large").otherwise(F.col("p_size"))})
+
+
+def q_encode_rejects(spark, folder):
+    """Rows that strict encoding refuses, each with its reason."""
+    _, bad = E.encode_or_reject(_odd_tokens(spark, folder), part_spec(spark, folder), "strict", ["id"])
+    return bad
+
+
+def q_encode_kept(spark, folder):
+    good, _ = E.encode_or_reject(_odd_tokens(spark, folder), part_spec(spark, folder), "strict", ["id"])
+    return good
+
+
+def q_numeric_inferred(spark, folder):
+    """Which columns of the customers hold numbers only, as their tokens tell."""
+    customer = V.table(spark, folder, "customer")
+    return S.numeric_columns(customer, customer.columns)
 
 
 def q_class_number(spark, folder):
@@ -306,6 +351,27 @@ ORACLE = {
     "q_arity_wrong": r"""SELECT count(*) AS n_lines,
         count(*) FILTER (len(string_split(line, ',')) <> 2) AS n_wrong
         FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)""",
+    "q_arity_rejects": r"""SELECT doc_id, number::INTEGER AS number, line,
+        'expected 2 tokens, found ' || len(string_split(line, ',')) AS reason
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                     generate_subscripts(string_split(text, chr(10)), 1) AS number FROM documents)
+        WHERE len(string_split(line, ',')) <> 2""",
+    "q_arity_kept": r"""SELECT doc_id, number::INTEGER AS number,
+        string_split(line, ',')[1] AS left, string_split(line, ',')[2] AS right
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                     generate_subscripts(string_split(text, chr(10)), 1) AS number FROM documents)
+        WHERE len(string_split(line, ',')) = 2""",
+    "q_encode_rejects": """SELECT p_partkey AS id, CASE
+          WHEN p_partkey % 13 = 0 THEN 'cannot encode p_size: large'
+          WHEN p_partkey % 7 = 0 THEN 'cannot encode p_retailprice: missing value'
+          ELSE 'cannot encode p_type: UNHEARD OF' END AS reason
+        FROM part WHERE p_partkey % 13 = 0 OR p_partkey % 7 = 0 OR p_partkey % 10 = 0""",
+    "q_encode_kept": f"""WITH {_CODES} SELECT id, p_size, p_retailprice, p_type, label FROM enc
+        WHERE id % 13 <> 0 AND id % 7 <> 0 AND id % 10 <> 0""",
+    "q_numeric_inferred": " UNION ALL ".join(
+        f"""SELECT {i}::INTEGER AS pos, '{c}' AS name FROM customer HAVING count({c}) > 0 AND count(*)
+            FILTER ({c} IS NOT NULL AND try_cast(trim({c}::VARCHAR) AS DOUBLE) IS NULL) = 0"""
+        for i, c in enumerate(["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])),
     "q_class_number": "SELECT count(DISTINCT o_orderstatus) AS n_classes FROM orders",
     "q_row_key": """SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n_rows,
         count(*) AS n_keys FROM lineitem GROUP BY ALL""",

@@ -160,6 +160,18 @@ def numeric_positions(spec: DataFrame) -> DataFrame:
     return spec.where(F.col("kind").isin("numeric", "class")).select("pos", "name").distinct()
 
 
+def numeric_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(pos, name) of the columns whose tokens are all numbers, at least one, from one
+    aggregate over one scan; missing tokens do not count."""
+    token = lambda c: F.trim(F.col(c).cast("string"))
+    found = df.agg(*[f(token(c)).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (
+        ("all", F.count), ("odd", lambda t: F.count_if(t.isNotNull() & t.try_cast("double").isNull())))])
+    rows = [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("name"),
+                     ((F.col(f"all_{i}") > 0) & (F.col(f"odd_{i}") == 0)).alias("numeric"))
+            for i, c in enumerate(columns)]
+    return found.select(F.inline(F.array(*rows))).where("numeric").select("pos", "name")
+
+
 # --- from the data -------------------------------------------------------------------
 
 def infer_ranges(df: DataFrame, numeric: Sequence[str]) -> DataFrame:

@@ -239,3 +239,54 @@ def test_spec_of_an_empty_table(spark):
     spec = S.Spec.of_data(df, ["x"], ["c"], "y")
     assert (spec.attributes[0].low, spec.attributes[1].categories) == (None, ())
     assert [r["name"] for r in S.infer_spec(df, ["x"], ["c"], "y").collect()] == ["x"]
+
+
+def test_lines_know_their_file_and_number(spark, tmp_path):
+    want = set()
+    for name, n in (("a.txt", 4000), ("b.txt", 1), ("c.txt", 0), ("d.txt", 700)):
+        lines = [f"{name},{k}" + (",extra" if k % 500 == 7 else "") for k in range(n)]
+        (tmp_path / name).write_text("".join(f"{x}\n" for x in lines))
+        want |= {(name, k + 1, x) for k, x in enumerate(lines)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = D.read_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() >= 1
+        found = {(r["file"].rsplit("/", 1)[1], r["number"], r["line"]) for r in lines.collect()}
+        assert found == want
+        good, bad = D.parse_or_reject(lines, "line", ["name", "k"], keep=["file", "number"])
+        rows = {(r["file"].rsplit("/", 1)[1], r["number"], r["reason"]) for r in bad.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert rows == {(f, n, "expected 2 tokens, found 3") for f, n, x in want if x.endswith("extra")}
+    assert good.count() == len(want) - len(rows) and good.columns == ["file", "number", "name", "k"]
+
+
+def test_rejects_have_the_first_reason(spark, spec):
+    rows = [("5.0", "2", "green", "positive"), ("x", "2", "blue", "positive"), ("1", None, "red", "n"),
+            ("1", "3", "mauve", "positive"), ("1", "3", "red", "odd")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], ", ".join(
+        ["id long", *(f"{n} string" for n in NAMES)]))
+    for mode in ("strict", "minmax"):
+        good, bad = E.encode_or_reject(df, spec, mode, keep=["id"])
+        assert [r["id"] for r in good.collect()] == [0]
+        assert sorted(r["reason"] for r in bad.collect()) == sorted([
+            f"cannot encode {NAMES[0]}: x", f"cannot encode {NAMES[1]}: missing value",
+            f"cannot encode {NAMES[2]}: mauve", f"cannot encode {NAMES[3]}: odd"])
+    with pytest.raises(ValueError):
+        E.encode_or_reject(df, spec, "loose")
+
+
+def test_null_lines_are_rejected(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "a,b")], "id long, line string")
+    good, bad = D.parse_or_reject(df, "line", ["x", "y"], keep=["id"])
+    assert [tuple(r) for r in good.collect()] == [(3, "a", "b")]
+    assert sorted((r["id"], r["reason"]) for r in bad.collect()) == [
+        (1, "expected 2 tokens, found 0"), (2, "expected 2 tokens, found 1")]
+
+
+def test_numeric_columns(spark):
+    df = spark.createDataFrame([("1", "a", None, " 2.5 "), ("-3e4", "1", None, None)],
+                               "a string, b string, c string, d string")
+    assert [tuple(r) for r in S.numeric_columns(df, df.columns).collect()] == [(0, "a"), (3, "d")]
