@@ -434,14 +434,15 @@ def merged(found: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, sizes: Sizes) -> DataFrame:
     """(doc_id, txt, begin, spans, words) of the strings of ``docs`` (doc_id, txt, text) that
     occur again; starts, in bytes or words, are begin + first ... begin + beyond - 1."""
-    places = anchor_table(docs, sizes)
+    every = anchor_table(docs, sizes)
+    shared = every.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1").select("h")
+    places = stored(every.join(shared, "h", "left_semi"), "places")
     contexts = stored(places.groupBy("h", "ctx").agg(
         F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "txt", "begin", "cnt"))),
         "contexts")
-    shared = (contexts.groupBy("h").agg(F.sum("n").alias("_all"), F.count("*").alias("_k"))
-              .filter("_all > 1")
-              .select("h", F.ceil(F.col("_k") / SHARD_CONTEXTS).cast("int").alias("shards")))
-    found = shard_search(context_bytes(docs, contexts.join(shared, "h"), sizes), sizes)
+    shards = contexts.groupBy("h").agg(
+        F.ceil(F.count("*") / SHARD_CONTEXTS).cast("int").alias("shards"))
+    found = shard_search(context_bytes(docs, contexts.join(shards, "h"), sizes), sizes)
     spans = stored(found.filter("spans IS NOT NULL").select("h", "ctx", "spans")
                    .unionByName(merged(found)), "spans")
     return places.join(spans, ["h", "ctx"]).select(
