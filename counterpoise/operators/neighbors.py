@@ -16,14 +16,16 @@ Two ways to run, one result:
 
 from __future__ import annotations
 
+import json
 import math
+import pickle
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Accumulator
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +61,65 @@ ROUTE_ROWS = 4_096
 SENT_ROWS = 65_536
 
 
+@dataclass(frozen=True)
+class Index:
+    """Candidates laid out for the cells strategy, for any number of joins.
+
+    ``blocks`` are packed candidates (cell, low, high, crows), ``grids`` the finer cells of
+    oversized ones, ``fields`` the columns of a candidate. Up to ``k`` neighbours can be
+    asked for.
+    """
+
+    blocks: DataFrame
+    grids: DataFrame | None
+    cells: kernel.Cells | kernel.Pivots
+    fields: T.StructType
+    k: int
+    metric: str
+    width: int
+    salts: int
+
+    @property
+    def prune(self) -> bool:
+        return isinstance(self.cells, kernel.Cells)
+
+    def write(self, path: str) -> Index:
+        """Store everything under ``path``; returns what ``open_index`` gives."""
+        spark = self.blocks.sparkSession
+        self.blocks.write.parquet(f"{path}/blocks")
+        if self.grids is not None:
+            self.grids.write.parquet(f"{path}/grids")
+        facts = pa.table({
+            "cells": pa.array([pickle.dumps(vars(self.cells))], pa.binary()),
+            "pivots": [not self.prune], "finer": [self.grids is not None],
+            "fields": [self.fields.json()], "k": [self.k], "metric": [self.metric],
+            "width": [self.width], "salts": [self.salts]})
+        spark.createDataFrame(facts).write.parquet(f"{path}/manifest")
+        return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """An index that ``Index.write`` stored."""
+    row = spark.read.parquet(f"{path}/manifest").first()
+    kind = kernel.Pivots if row["pivots"] else kernel.Cells
+    return Index(
+        spark.read.parquet(f"{path}/blocks"),
+        spark.read.parquet(f"{path}/grids") if row["finer"] else None,
+        kind(**pickle.loads(bytes(row["cells"]))), T.StructType.fromJson(json.loads(row["fields"])),
+        row["k"], row["metric"], row["width"], row["salts"])
+
+
+def knn_index(candidates: DataFrame, *, k: int, key: str, features: Features,
+              metric: str = "euclidean", candidate_columns: Sequence[str] = ()) -> Index:
+    """An index of ``candidates`` for ``knn_join``, not yet stored; no rows is an error."""
+    check_metric(metric)
+    c = _candidates(candidates, key, features, candidate_columns)
+    index = _build_index(c, k, metric, TASKS_PER_SLOT * task_count(c))
+    if index is None:
+        raise ValueError("no candidate has measurable features")
+    return index
+
+
 @dataclass(frozen=True)
 class Known:
     """Upper bounds of sizes that a caller has measured already."""
@@ -69,7 +130,7 @@ class Known:
 
 def knn_join(
     queries: DataFrame,
-    candidates: DataFrame,
+    candidates: DataFrame | Index,
     *,
     k: int,
     key: str,
@@ -87,7 +148,9 @@ def knn_join(
     ``query_columns`` / ``candidate_columns`` travel along as ``q_<name>`` / ``n_<name>``,
     ``vectors`` adds both feature vectors as ``qvec`` and ``nvec``; carrying them saves
     joining neighbours back to the table. What ``known`` says is not measured by a job;
-    ``compared`` counts the pairs of points that the cells strategy looks at.
+    ``compared`` counts the pairs of points that the cells strategy looks at. With an
+    ``Index`` as candidates nothing is read but its blocks; key and features are those of
+    the queries.
     """
     check_metric(metric)
     if k < 1:
@@ -97,13 +160,13 @@ def knn_join(
     q = queries.select(
         F.col(key).alias("qid"), feature_vector(queries, features).alias("qvec"),
         *[F.col(c).alias(f"q_{c}") for c in query_columns])
-    c = candidates.select(
-        F.col(key).alias("nid"), feature_vector(candidates, features).alias("nvec"),
-        *[F.col(n).alias(f"n_{n}") for n in candidate_columns])
     q = q.where(measurable(F.col("qvec")))
-    c = c.where(measurable(F.col("nvec")))
-
-    out = _found_schema(q, c, vectors)
+    if isinstance(candidates, Index):
+        if candidates.metric != metric or k > candidates.k:
+            raise ValueError(f"the index is for {candidates.metric} and k up to {candidates.k}")
+        return _search_index(q, candidates, k, _found_schema(q, candidates.fields, vectors), compared)
+    c = _candidates(candidates, key, features, candidate_columns)
+    out = _found_schema(q, c.schema, vectors)
     if strategy != "cells":
         known = known or Known()
         asked, size = known.query_rows, known.candidate_bytes
@@ -114,7 +177,18 @@ def knn_join(
             return _broadcast_join(q, c, k, metric, out, asked)
         if strategy == "broadcast":
             raise ValueError(f"candidate rows of {size} bytes are too many to broadcast")
-    return _cell_join(q, c, k, metric, out, compared)
+    index = _build_index(c, k, metric, TASKS_PER_SLOT * task_count(q))
+    if index is None:
+        return q.sparkSession.createDataFrame([], out)
+    return _search_index(q, index, k, out, compared)
+
+
+def _candidates(candidates: DataFrame, key: str, features: Features,
+                columns: Sequence[str]) -> DataFrame:
+    c = candidates.select(
+        F.col(key).alias("nid"), feature_vector(candidates, features).alias("nvec"),
+        *[F.col(n).alias(f"n_{n}") for n in columns])
+    return c.where(measurable(F.col("nvec")))
 
 
 def _measure(c: DataFrame) -> tuple[int, int, float]:
@@ -133,8 +207,8 @@ def _measure(c: DataFrame) -> tuple[int, int, float]:
     return row["n"], row["width"] or 0, row["bytes"] or 0.0
 
 
-def _found_schema(q: DataFrame, c: DataFrame, vectors: bool) -> T.StructType:
-    types = {f.name: f.dataType for f in [*q.schema.fields, *c.schema.fields]}
+def _found_schema(q: DataFrame, candidate: T.StructType, vectors: bool) -> T.StructType:
+    types = {f.name: f.dataType for f in [*q.schema.fields, *candidate.fields]}
     types |= {"rank": T.IntegerType(), "dist": T.FloatType()}
     names = ["qid", "rank", "nid", "dist", *[n for n in types if n[:2] in ("q_", "n_")]]
     names += ["qvec", "nvec"] if vectors else []
@@ -195,8 +269,13 @@ def _broadcast_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.Stru
     return q.mapInArrow(run, out)
 
 
-def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructType,
-               compared: Accumulator | None = None) -> DataFrame:
+CELL, PLACE = T.StructField("cell", T.LongType()), T.StructField("place", T.LongType())
+NEAR = T.StructField("near", T.ArrayType(T.DoubleType()))
+REACH = T.StructField("radius", T.FloatType())
+
+
+def _build_index(c: DataFrame, k: int, metric: str, tasks: int) -> Index | None:
+    """Blocks of candidates (nid, nvec and more); None without rows."""
     # Among exact copies only the k lowest keys can ever be chosen. The row limit is
     # applied before the shuffle too, so a hot copy shrinks to k rows per map task.
     # The hash in front spares the sort most comparisons of whole vectors.
@@ -206,8 +285,7 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
                     .where(F.col("_copy") <= k).drop("_hash", "_copy"))
     n, d, _ = _measure(c)
     if not n:
-        return q.sparkSession.createDataFrame([], out)
-    tasks = TASKS_PER_SLOT * task_count(q)
+        return None
     prune = d <= PRUNED_WIDTH
     salts = 1
     if prune:
@@ -219,7 +297,7 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
         cells = _choose_pivots(c, n, d, wanted, k, metric)
         salts = -(-tasks // len(np.unique(cells.cell)))
     kind = type(cells)
-    shared = q.sparkSession.sparkContext.broadcast(vars(cells))
+    shared = c.sparkSession.sparkContext.broadcast(vars(cells))
 
     def house(batches):
         grid = kind(**shared.value)
@@ -235,6 +313,25 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
                     [pa.array(home, pa.int64()), pa.array(place), kernel.lists(near), *batch.columns],
                     names=["cell", "place", "near", *batch.schema.names])
 
+    housed = c.mapInArrow(house, T.StructType([CELL, PLACE, NEAR, *c.schema.fields]))
+    # In pivot cells a block is smaller, so that more of them can be left out.
+    block_rows = min(BLOCK_ROWS if prune else PIVOT_ROWS, BLOCK_BYTES // (8 * d) + 1)
+    grids = None
+    if prune and -(-n // CELL_ROWS) > MAX_CELLS:
+        grids = materialize(_finer_cells(housed, k, metric))
+        housed = _cut_again(_pack_by_cell(housed, "rows", block_rows, "nvec", "nid"), grids, "nvec",
+                            k, housed.schema)
+    blocks = _pack_by_cell(housed, "crows", block_rows, "nvec" if prune else "near", "nid")
+    return Index(blocks.drop("reach"), grids, cells, c.schema, k, metric, d, salts)
+
+
+def _search_index(q: DataFrame, index: Index, asked_k: int, out: T.StructType,
+                  compared: Accumulator | None = None) -> DataFrame:
+    # As many neighbours are looked for as a point may have copies in the index.
+    k, metric, prune, salts = index.k, index.metric, index.prune, index.salts
+    kind = type(index.cells)
+    shared = q.sparkSession.sparkContext.broadcast(vars(index.cells))
+
     def route(batches):
         grid = kind(**shared.value)
         for batch in batches:
@@ -261,7 +358,7 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
     vectors = q.select("_h1", "_h2", "qvec").distinct()
     found = T.StructType([
         vectors.schema["_h1"], vectors.schema["_h2"], T.StructField("dist", T.FloatType()),
-        *[f for f in c.schema.fields if f.name in out.fieldNames()]])
+        *[f for f in index.fields.fields if f.name in out.fieldNames()]])
     names = found.fieldNames()
 
     def meet(batches):
@@ -301,24 +398,13 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
                     yield kernel.side_by_side(lrows, pa.array(qi + ls.start), rrows,
                                               pa.array(ci + rs.start), dist, rank, names)
 
-    cell_field = T.StructField("cell", T.LongType())
-    radius_field = T.StructField("radius", T.FloatType())
-    place_field = T.StructField("place", T.LongType())
-    near_field = T.StructField("near", T.ArrayType(T.DoubleType()))
-    housed = c.mapInArrow(house, T.StructType([cell_field, place_field, near_field, *c.schema.fields]))
-    routed = vectors.mapInArrow(route, T.StructType(
-        [cell_field, place_field, near_field, radius_field, *vectors.schema.fields]))
-    # In pivot cells a block is smaller, so that more of them can be left out.
-    block_rows = min(BLOCK_ROWS if prune else PIVOT_ROWS, BLOCK_BYTES // (8 * d) + 1)
-    asked_rows = min(QUERY_BLOCK_ROWS, QUERY_BLOCK_BYTES // (8 * d) + 1)
-    if prune and -(-n // CELL_ROWS) > MAX_CELLS:
-        grids = _finer_cells(housed, k, metric)
-        housed = _cut_again(_pack_by_cell(housed, "rows", block_rows, "nvec", "nid"), grids, "nvec",
-                            k, housed.schema)
-        routed = _cut_again(_pack_by_cell(routed, "rows", asked_rows, "qvec"), grids, "qvec",
+    routed = vectors.mapInArrow(route, T.StructType([CELL, PLACE, NEAR, REACH, *vectors.schema.fields]))
+    asked_rows = min(QUERY_BLOCK_ROWS, QUERY_BLOCK_BYTES // (8 * index.width) + 1)
+    if index.grids is not None:
+        routed = _cut_again(_pack_by_cell(routed, "rows", asked_rows, "qvec"), index.grids, "qvec",
                             k, routed.schema)
-    blocks = _pack_by_cell(housed, "crows", block_rows, "nvec" if prune else "near", "nid")
     asked = _pack_by_cell(routed, "qrows", asked_rows, "qvec" if prune else "near")
+    blocks = index.blocks
     on = ["cell"]
     if salts > 1:
         on = ["cell", "salt"]
@@ -327,11 +413,10 @@ def _cell_join(q: DataFrame, c: DataFrame, k: int, metric: str, out: T.StructTyp
         blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     # Blocks of one cell that lie further apart than any radius never meet.
     asked = asked.withColumnsRenamed({"low": "q_low", "high": "q_high"})
-    blocks = blocks.drop("reach")
     met = (asked.join(blocks, on).where(_box_gap(metric) <= F.col("reach") if prune else ~_pivot_gap())
            .select("cell", "qrows", "crows").mapInArrow(meet, found))
     order = Window.partitionBy("_h1", "_h2").orderBy("dist", "nid")
-    near = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    near = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= asked_k)
     # Joined on the swapped pair, which is not the window's own partitioning: so the join
     # has an exchange on both sides, and a vector shared by very many queries can be split
     # at run time.

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from counterpoise.operators.neighbors import knn_join
+from counterpoise.materialize import shared_folder
+from counterpoise.operators.neighbors import knn_index, knn_join
 from counterpoise.queries import views as V
 
 K = 5
@@ -50,6 +53,14 @@ def q_knn_embeddings_cells(spark, folder):
     return _plain(knn_join(rows, rows, k=K, key="id", features="embedding", strategy="cells"))
 
 
+def q_knn_stored_index(spark, folder):
+    """The parts against an index of them that was stored and opened again."""
+    rows = V.part_types(spark, folder)
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index = knn_index(rows, k=K, key="id", features=V.TYPE_FEATURES).write(path)
+    return _plain(knn_join(rows, index, k=K, key="id", features=V.TYPE_FEATURES))
+
+
 def q_knn_customer_supplier(spark, folder):
     """Two different tables: suppliers with the balance nearest to each customer's."""
     return _customer_supplier(spark, folder)
@@ -101,3 +112,4 @@ ORACLE = {
 }
 ORACLE["q_knn_embeddings_cells"] = ORACLE["q_knn_embeddings"]
 ORACLE["q_knn_customer_supplier_cells"] = ORACLE["q_knn_customer_supplier"]
+ORACLE["q_knn_stored_index"] = ORACLE["q_knn_euclidean"]

@@ -254,3 +254,28 @@ def test_cells_inside_cells(spark, monkeypatch, metric):
     got, coarse = counted(spark, points, 3, metric=metric)
     assert got == expected(points, 3, metric)
     assert finer < coarse / 4  # each row meets its finer cells, not its whole cell
+
+
+@pytest.mark.parametrize("width", [2, 11])
+def test_a_stored_index_serves_many_joins(spark, monkeypatch, tmp_path, width):
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 40)
+    monkeypatch.setattr(neighbors, "MAX_CELLS", 4)
+    rng = np.random.default_rng(13)
+    points = rng.normal(size=(400, width)).round(1)
+    points[:60] = points[0]
+    path = str(tmp_path / "candidates")
+    frame(spark, points).withColumn("tag", F.col("id") * 2).write.parquet(path)
+    table = spark.read.parquet(path)
+    made = neighbors.knn_index(table, k=5, key="id", features=names(points), candidate_columns=["tag"])
+    index = made.write(str(tmp_path / "index"))
+    for k in (1, 5):
+        found = knn_join(frame(spark, points), index, k=k, key="id", features=names(points))
+        assert path not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert all(r["n_tag"] == 2 * r["nid"] for r in found.collect())
+        assert collected(found) == expected(points, k)
+    with pytest.raises(ValueError):
+        knn_join(table, index, k=6, key="id", features=names(points))
+    with pytest.raises(ValueError):
+        knn_join(table, index, k=1, key="id", features=names(points), metric="manhattan")
+    with pytest.raises(ValueError):
+        neighbors.knn_index(table.where("id < 0"), k=1, key="id", features=names(points))
