@@ -160,3 +160,21 @@ def test_file_jobs(spark, tmp_path):
     clean_files(spark, str(numeric), str(tmp_path / "clean"), 1)
     assert sorted(float(r["_c0"]) for r in spark.read.csv(str(tmp_path / "clean")).collect()) == [
         10.0, 11.0]
+
+
+def test_a_local_warehouse_is_no_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from counterpoise.materialize import shared_folder
+
+    def session(master, warehouse, folder=""):
+        conf = {"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": warehouse}
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k) or d), sparkContext=context)
+
+    assert shared_folder(session("local[4]", "/tmp/w")) == "/tmp/w/_checkpoints"
+    assert shared_folder(session("yarn", "hdfs://a/w/")) == "hdfs://a/w/_checkpoints"
+    assert shared_folder(session("yarn", "/tmp/w", "hdfs://a/c")) == "hdfs://a/c"
+    for warehouse in ("/tmp/w", "file:/tmp/w"):
+        with pytest.raises(RuntimeError, match="checkpoint.dir"):
+            shared_folder(session("spark://host:7077", warehouse))
