@@ -102,3 +102,25 @@ def test_run_is_registered_and_gives_pieces(spark):
 def test_all_operators_are_registered():
     names = [n for n in driver.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
+
+
+def test_odd_rows_through_all_stages(spark):
+    """Nulls, empty and repeated rows, one id for several texts, extra and clashing columns."""
+    lone = [" ".join(f"{a}{k}" for k in range(80)) for a in "abcdef"]
+    rows = [(1, None, None, None, None), (1, "", "en", "s", 0), (2, "", "en", "s", 0),
+            (3, lone[0], "en", "s", 1), (3, lone[0], "en", "s", 1), (3, lone[1], "de", None, 2),
+            (None, lone[2], "en", "s", 3), (None, lone[3], "en", "s", 4), (4, lone[4] + " " + lone[5][:40], "en", "s", 5),
+            (5, lone[5], None, "s", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "'x' AS print", "1 AS root", "2 AS row", "3 AS txt", "4 AS `a.b`", "5 AS _id")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, FOLDER)
+        if name != "packing":
+            assert docs.columns == columns
+            docs = spark.createDataFrame(docs.collect(), before.schema)
+    left = collections.Counter(r.doc_id for r in docs.collect() if r.start == 0)
+    assert left == {1: 1, 3: 2, 4: 1, 5: 1, None: 2}
+    empty = before.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, FOLDER).count() == 0
