@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Identical rows are re-expanded from their count in slices of this many rows, so
-# that a row repeated billions of times is rebuilt by many tasks.
-COPIES_PER_SLICE = 1_000_000
+# Identical rows are re-expanded from their count. Where there are more than a few, in
+# slices of at most this many rows that are dealt to many tasks: what a task writes is then
+# a share of all rows, however few rows are distinct.
+COPIES_IN_PLACE = 16
+COPIES_PER_SLICE = 10_000
+TASKS_PER_SLOT = 4
 
 # The content that is hashed must differ wherever rows differ: microseconds, the offset of
 # repeated hours and absent fields all show.
@@ -45,15 +48,23 @@ def with_row_key(df: DataFrame, name: str = "id", key: Column | None = None) ->
     content = F.sha2(F.to_json(F.struct(*columns), CONTENT), 256)
     first = F.lit(1).cast("bigint")
     step = F.lit(COPIES_PER_SLICE).cast("bigint")
-    usual = counted.where(F.col("_n") <= step).select(
+    usual = counted.where(F.col("_n") <= COPIES_IN_PLACE).select(
         *columns, content.alias("_content"), first.alias("_from"), F.col("_n").alias("_to"))
-    # Only rows repeated more often than a slice are worth another exchange.
-    hot = counted.where(F.col("_n") > step).select(
+    # Slices are small rows of much work, so their number, not their size, says how many
+    # tasks share them.
+    hot = counted.where(F.col("_n") > COPIES_IN_PLACE).select(
         *columns, content.alias("_content"), "_n",
         F.explode(F.sequence(first, F.col("_n"), step)).alias("_from"),
-    ).hint("rebalance").select(
+    ).repartition(_expanding_tasks(df)).select(
         *columns, "_content", "_from",
         F.least(F.col("_n"), F.col("_from") + step - 1).alias("_to"))
     return usual.unionByName(hot).select(
         *columns, "_content", F.explode(F.sequence("_from", "_to")).alias("_copy"),
     ).select(F.concat_ws(":", "_content", "_copy").alias(name), *columns)
+
+
+def _expanding_tasks(df: DataFrame) -> int:
+    """Some tasks per slot, or partitions of a shuffle if they are more."""
+    spark = df.sparkSession
+    return max(TASKS_PER_SLOT * spark.sparkContext.defaultParallelism,
+               int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -27,6 +27,17 @@ def test_own_key_is_rendered_as_text(spark):
     assert [r["key"] for r in df.orderBy("id").collect()] == ["0", "1", "2"]
 
 
+def test_copies_of_few_rows_are_dealt_to_many_tasks(spark):
+    rows = spark.range(300_000).select((F.col("id") % 3).alias("a"), F.lit(None).alias("b"))
+    rows = rows.unionAll(spark.createDataFrame([(7, None)] * 2 + [(8, None)] * 17, "a long, b void"))
+    keyed = keys.with_row_key(rows)
+    seen = keyed.groupBy("a").agg(F.count("*").alias("n"), F.count_distinct("id").alias("k"))
+    assert sorted(tuple(r) for r in seen.collect()) == [
+        (0, 100_000, 100_000), (1, 100_000, 100_000), (2, 100_000, 100_000), (7, 2, 2), (8, 17, 17)]
+    of_task = [r["count"] for r in keyed.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(of_task) < 60_000
+
+
 def test_uniform_draws(spark):
     df = spark.range(20_000).select(keys.hash_uniform(1, "t", "id").alias("u"))
     low, mean, high = df.agg(F.min("u"), F.avg("u"), F.max("u")).first()
