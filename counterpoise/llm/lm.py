@@ -229,7 +229,8 @@ def _texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Training:
-    """Settings of noise-contrastive estimation."""
+    """Settings of noise-contrastive estimation: ``batch`` contexts a step, and ``noise``
+    noise classes to each observed one."""
 
     width: int = 24
     noise: int = 32
@@ -244,12 +245,25 @@ def _summed(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(kinds, column, CLASSES) for column in rows.T], 1)
 
 
+def _dealt(cell: np.ndarray, n: np.ndarray, batch: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All counted cells as (contexts, counts by class) of at most ``batch`` contexts each,
+    which weigh about the same."""
+    context, row = np.unique(cell // CLASSES, return_inverse=True)
+    seen = np.zeros((len(context), CLASSES))
+    np.add.at(seen, (row, cell % CLASSES), n)
+    order = np.argsort(-seen.sum(1), kind="stable")
+    parts = -(-len(context) // batch)
+    return [(context[order[k::parts]], seen[order[k::parts]]) for k in range(parts)]
+
+
 def train(cell: np.ndarray, n: np.ndarray, how: Training = Training()) -> np.ndarray:
     """Log10-probabilities, contexts x classes, of the log-bilinear model.
 
-    Every step draws a batch of observed (context, class) pairs by their counts and noise
-    classes by their frequency, and moves the weights (Adagrad) to tell them apart.
-    Afterwards the scores are normalised over all classes.
+    Nothing is drawn: a step takes some of the contexts with the counts of all classes that
+    follow them, and the noise at its expectation, and moves the weights (Adagrad) to tell
+    them apart. Steps go on to the end of a pass over all contexts, so each counted trigram
+    trains as often as it was counted, pass by pass. Afterwards the scores are normalised
+    over all classes.
     """
     rng = np.random.default_rng(how.seed)
     share = np.full(CLASSES, 0.5)
@@ -262,25 +276,26 @@ def train(cell: np.ndarray, n: np.ndarray, how: Training = Training()) -> np.nda
     bias = np.log(share)
     weights = [vectors, words, near, far, bias]
     speed = [np.full_like(w, 1e-2) for w in weights]
-    edges = np.cumsum(n) if len(n) else np.empty(0)
     log_noise = np.log(how.noise * share)
-    for _ in range(how.steps if len(n) else 0):
-        drawn = cell[np.searchsorted(edges, rng.random(how.batch) * edges[-1], side="right")]
-        target, one, two = drawn % CLASSES, drawn // CLASSES % CLASSES, drawn // CLASSES ** 2
-        other = rng.choice(CLASSES, how.noise, p=share)
+    parts = _dealt(cell, n, how.batch)
+    scale = CLASSES * len(parts) / max(1, n.sum())
+    passes = -(-how.steps // len(parts)) if parts else 0
+    for at in (k for _ in range(passes) for k in rng.permutation(len(parts))):
+        context, seen = parts[at]
+        two, one = np.divmod(context, CLASSES)
         guess = vectors[one] * near + vectors[two] * far
-        right = (guess * words[target]).sum(1) + bias[target] - log_noise[target]
-        wrong = guess @ words[other].T + bias[other] - log_noise[other]
-        up = 1 / (1 + np.exp(np.clip(right, -30, 30)))         # 1 - P(data)
-        down = 1 / (1 + np.exp(-np.clip(wrong, -30, 30)))      # P(data) of noise
-        by_guess = up[:, None] * words[target] - down @ words[other]
+        odds = guess @ words.T + (bias - log_noise)
+        data = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))       # P(data)
+        # observed classes go up by 1 - P(data), noise classes down by P(data)
+        up = seen - data * (seen + how.noise * seen.sum(1, keepdims=True) * share)
+        by_guess = up @ words
         slopes = [
             _summed(one, by_guess * near) + _summed(two, by_guess * far),
-            _summed(target, up[:, None] * guess) - _summed(other, down.T @ guess),
+            up.T @ guess,
             (by_guess * vectors[one]).sum(0), (by_guess * vectors[two]).sum(0),
-            np.bincount(target, up, CLASSES) - np.bincount(other, down.sum(0), CLASSES)]
+            up.sum(0)]
         for w, g, s in zip(weights, slopes, speed):
-            g = g / how.batch * CLASSES
+            g = g * scale
             s += g * g
             w += how.rate * g / np.sqrt(s)
     two, one = np.divmod(np.arange(CLASSES ** 2), CLASSES)

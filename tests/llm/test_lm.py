@@ -79,6 +79,26 @@ def test_model_is_normalised_and_learns():
     assert model[context, target].mean() > unigram + 0.3
 
 
+def test_every_counted_trigram_trains():
+    """Two trigrams in 100,000, which draws would miss, change classes with each other."""
+    def trained(a, b):
+        cell = np.array([5 * lm.CLASSES + 5, 70 * lm.CLASSES + a, 71 * lm.CLASSES + b])
+        return lm.train(cell, np.array([100_000, 1, 1]), lm.Training(steps=2, batch=64))
+
+    one, other = trained(90, 91), trained(91, 90)
+    assert one[70, 90] - one[70, 91] > other[70, 90] - other[70, 91]
+    assert one[71, 91] - one[71, 90] > other[71, 91] - other[71, 90]
+
+
+def test_steps_end_with_a_whole_pass():
+    cell = np.arange(0, 1000 * lm.CLASSES, lm.CLASSES) + np.arange(1000) % lm.CLASSES
+    parts = lm._dealt(cell, np.ones(1000, int), 300)
+    assert sorted(np.concatenate([c for c, _ in parts]).tolist()) == list(range(1000))
+    assert max(len(c) for c, _ in parts) <= 300 and sum(s.sum() for _, s in parts) == 1000
+    whole = lm.train(cell, np.ones(1000, int), lm.Training(steps=4, batch=300))
+    assert np.array_equal(whole, lm.train(cell, np.ones(1000, int), lm.Training(steps=1, batch=300)))
+
+
 def test_probabilities_of_all_tokens_sum_to_one(spark):
     """Class probability times probability within the class, over all known and one unknown."""
     found = lm.Classes(20, 6, np.array([5, 6, 9] + [0] * 125), np.array([1, 1, 4] + [0] * 125),
