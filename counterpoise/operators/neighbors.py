@@ -114,7 +114,7 @@ def knn_index(candidates: DataFrame, *, k: int, key: str, features: Features,
     """An index of ``candidates`` for ``knn_join``, not yet stored; no rows is an error."""
     check_metric(metric)
     c = _candidates(candidates, key, features, candidate_columns)
-    index = _build_index(c, k, metric, TASKS_PER_SLOT * task_count(c))
+    index = _build_index(c, k, metric)
     if index is None:
         raise ValueError("no candidate has measurable features")
     return index
@@ -177,7 +177,7 @@ def knn_join(
             return _broadcast_join(q, c, k, metric, out, asked)
         if strategy == "broadcast":
             raise ValueError(f"candidate rows of {size} bytes are too many to broadcast")
-    index = _build_index(c, k, metric, TASKS_PER_SLOT * task_count(q))
+    index = _build_index(c, k, metric)
     if index is None:
         return q.sparkSession.createDataFrame([], out)
     return _search_index(q, index, k, out, compared)
@@ -274,7 +274,7 @@ NEAR = T.StructField("near", T.ArrayType(T.DoubleType()))
 REACH = T.StructField("radius", T.FloatType())
 
 
-def _build_index(c: DataFrame, k: int, metric: str, tasks: int) -> Index | None:
+def _build_index(c: DataFrame, k: int, metric: str) -> Index | None:
     """Blocks of candidates (nid, nvec and more); None without rows."""
     # Among exact copies only the k lowest keys can ever be chosen. The row limit is
     # applied before the shuffle too, so a hot copy shrinks to k rows per map task.
@@ -292,7 +292,9 @@ def _build_index(c: DataFrame, k: int, metric: str, tasks: int) -> Index | None:
         cells = _cut_cells(c, n, d, -(-n // CELL_ROWS), k, metric)
     else:
         # Where pivots do not help, nearly every query visits every cell. A grid of
-        # (cell, salt) then copies queries and candidates about equally often.
+        # (cell, salt) then copies queries and candidates about equally often, and the
+        # copies grow with its size: it has some tasks per slot, not one per partition.
+        tasks = TASKS_PER_SLOT * c.sparkSession.sparkContext.defaultParallelism
         wanted = max(math.isqrt(tasks), n * 8 * d // CELL_BYTES, 1)
         cells = _choose_pivots(c, n, d, wanted, k, metric)
         salts = -(-tasks // len(np.unique(cells.cell)))

@@ -279,3 +279,20 @@ def test_a_stored_index_serves_many_joins(spark, monkeypatch, tmp_path, width):
         knn_join(table, index, k=1, key="id", features=names(points), metric="manhattan")
     with pytest.raises(ValueError):
         neighbors.knn_index(table.where("id < 0"), k=1, key="id", features=names(points))
+
+
+def test_copies_of_wide_points_do_not_follow_the_shuffle_partitions(spark):
+    points = np.random.default_rng(5).normal(size=(600, 12))
+    slots = spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        index = neighbors.knn_index(frame(spark, points), k=2, key="id", features=names(points))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # a query is copied once per cell, a candidate once per salt
+    cells = len(np.unique(index.cells.cell))
+    assert cells * index.salts >= neighbors.TASKS_PER_SLOT * slots
+    assert cells + index.salts <= 2 * neighbors.TASKS_PER_SLOT * slots // 3 + 2
+    found = knn_join(frame(spark, points), index, k=2, key="id", features=names(points))
+    assert collected(found) == expected(points, 2)
