@@ -265,6 +265,10 @@ class Cells:
         return cls(metric, np.array(dim), np.array(cut), np.array(child), np.array(leaf),
                    np.array(low), np.array(high), padded)
 
+    def routed_rows(self, rows: int) -> int:
+        """Rows of one call, ``rows`` at most."""
+        return rows
+
     def home(self, q: np.ndarray) -> np.ndarray:
         node = np.zeros(len(q), np.int64)
         rows = np.arange(len(q))
@@ -411,6 +415,10 @@ class Pivots:
         # The first pivots are the furthest apart: each is the middle of a cell.
         return cls(metric, chosen, padded, away(chosen, chosen[:cells]).argmin(axis=1))
 
+    def routed_rows(self, rows: int) -> int:
+        """Rows of one call, ``rows`` at most, whose distances from all pivots are bounded."""
+        return max(1, min(rows, 2 * TILE // len(self.pivots)))
+
     def distances(self, q: np.ndarray) -> np.ndarray:
         """Distance of every point from every pivot; infinite where it is undefined."""
         out = np.empty((len(q), len(self.pivots)))
@@ -442,7 +450,7 @@ class Pivots:
         home = away.argmin(axis=1)
         own = away[np.arange(len(q)), home]
         radius = np.empty(len(q), np.float32)
-        step = max(1, TILE // max(1, self.points.shape[1]))
+        step = max(1, 4 * TILE // max(1, self.points[0].size))  # sample points of a query are copied
         for start in range(0, len(q), step):
             part = slice(start, start + step)
             near = self.points[home[part]]

@@ -59,6 +59,7 @@ QUERY_BLOCK_ROWS = 1_024
 QUERY_BLOCK_BYTES = 1 << 20
 ROUTE_ROWS = 4_096
 SENT_ROWS = 65_536
+SENT_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -304,16 +305,17 @@ def _build_index(c: DataFrame, k: int, metric: str) -> Index | None:
     def house(batches):
         grid = kind(**shared.value)
         for batch in batches:
-            if batch.num_rows:
-                points = kernel.matrix(batch.column("nvec"))
+            for start in range(0, batch.num_rows, grid.routed_rows(ROUTE_ROWS)):
+                part = batch.slice(start, grid.routed_rows(ROUTE_ROWS))
+                points = kernel.matrix(part.column("nvec"))
                 if prune:
                     home = grid.home(points)
                     place, near = grid.place(points, home), points[:, :0]
                 else:
                     home, place, near = grid.house(points)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(home, pa.int64()), pa.array(place), kernel.lists(near), *batch.columns],
-                    names=["cell", "place", "near", *batch.schema.names])
+                    [pa.array(home, pa.int64()), pa.array(place), kernel.lists(near), *part.columns],
+                    names=["cell", "place", "near", *part.schema.names])
 
     housed = c.mapInArrow(house, T.StructType([CELL, PLACE, NEAR, *c.schema.fields]))
     # In pivot cells a block is smaller, so that more of them can be left out.
@@ -337,16 +339,17 @@ def _search_index(q: DataFrame, index: Index, asked_k: int, out: T.StructType,
     def route(batches):
         grid = kind(**shared.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, ROUTE_ROWS):
-                part = batch.slice(start, ROUTE_ROWS)
+            for start in range(0, batch.num_rows, grid.routed_rows(ROUTE_ROWS)):
+                part = batch.slice(start, grid.routed_rows(ROUTE_ROWS))
                 points = kernel.matrix(part.column("qvec"))
                 if prune:
                     qi, cell, radius = grid.route(points, k)
                     near = points[:, :0]
                 else:
                     qi, cell, radius, own, near = grid.route(points, k)
-                for at in range(0, len(qi), SENT_ROWS):
-                    rows, there = qi[at:at + SENT_ROWS], cell[at:at + SENT_ROWS]
+                step = min(SENT_ROWS, SENT_BYTES // (8 * max(1, points.shape[1])) + 1)
+                for at in range(0, len(qi), step):
+                    rows, there = qi[at:at + step], cell[at:at + step]
                     sent = part.take(pa.array(rows))
                     place = grid.place(points[rows], there) if prune else own[rows]
                     yield pa.RecordBatch.from_arrays(
@@ -399,6 +402,9 @@ def _search_index(q: DataFrame, index: Index, asked_k: int, out: T.StructType,
                     best = kernel.tighten(best, qi, dist, rank)
                     yield kernel.side_by_side(lrows, pa.array(qi + ls.start), rrows,
                                               pa.array(ci + rs.start), dist, rank, names)
+            # Block pairs are large: a batch goes before the next one is read.
+            del batch, left, right, lrows, rrows, points, targets, radius
+            qnear = cnear = None
 
     routed = vectors.mapInArrow(route, T.StructType([CELL, PLACE, NEAR, REACH, *vectors.schema.fields]))
     asked_rows = min(QUERY_BLOCK_ROWS, QUERY_BLOCK_BYTES // (8 * index.width) + 1)

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from conftest import brute_force
@@ -134,3 +136,20 @@ def test_copies_among_queries_are_searched_once():
     assert sizes == [25, 200]
     for a, b in zip(got, want):
         assert a.tolist() == b.tolist()
+
+
+def test_routing_by_many_pivots_holds_little():
+    rng = np.random.default_rng(8)
+    pivots = rng.normal(size=(1024, 64))
+    grid = kernel.Pivots("euclidean", pivots, rng.normal(size=(1024, 128, 64)), np.arange(1024) % 6)
+    asked = rng.normal(size=(4096, 64))
+    found = [grid.route(asked[at:at + 512], 5) for at in range(0, 4096, grid.routed_rows(4096))]
+    whole = grid.route(asked, 5)
+    assert grid.routed_rows(4096) == 512
+    assert np.array_equal(np.concatenate([f[2] for f in found]), whole[2])
+    assert sum(len(f[0]) for f in found) == len(whole[0])
+    tracemalloc.start()
+    grid.route(asked[:512], 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
